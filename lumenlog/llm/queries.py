@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.ids import plain_id
+from lumenlog.llm.neardup import similar_records
 from lumenlog.llm.runs import collapse_runs
 from lumenlog.llm.sql import SQL
 from lumenlog.sources.tables import table
@@ -24,4 +25,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.select(columns).unionByName(b.select(columns))
 
 
-QUERIES = {"p2_found": p2_found}
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    fatal = table(spark, folder, "messages").where("severity = 4").select(F.lit("messages").alias("record_kind"), F.col("instance_id").alias("id"), "text")
+    return fatal.unionByName(table(spark, folder, "message_summaries").select(F.lit("message_summaries").alias("record_kind"), F.col("summary_id").alias("id"), F.col("text_summary").alias("text")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of similar fatal messages, and of similar summaries."""
+    return similar_records(_texts(spark, folder), "record_kind", "id", "text", 0.7).withColumnRenamed("kind", "record_kind")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
