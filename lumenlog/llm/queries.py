@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.ids import plain_id
+from lumenlog.llm.bpe import encode
 from lumenlog.llm.neardup import similar_records
+from lumenlog.llm.packing import pack
+from lumenlog.llm.residue import judged
 from lumenlog.llm.runs import collapse_runs
 from lumenlog.llm.sql import SQL
 from lumenlog.sources.tables import table
@@ -35,4 +38,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_records(_texts(spark, folder), "record_kind", "id", "text", 0.7).withColumnRenamed("kind", "record_kind")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of every piece of one longer than a container: 2,048 tokens of byte_bpe_50k."""
+    sizes = encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.size("ids").alias("tokens"))
+    return pack(sizes, "doc_id", "tokens", 2048).select("container", "doc_id", "piece", F.col("size").alias("tokens"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are template residue, filler, error pages or script notices."""
+    return judged(table(spark, folder, "documents"), "doc_id", "text").where("residue").select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
