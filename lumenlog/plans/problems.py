@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.ids import plain_id
@@ -19,35 +19,41 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return got.where("utc_ms is not null").select("instance_id", "utc_ms")
 
 
+def _keys() -> Column:
+    """Every row counts for its source, its message id, and the pair of both."""
+    source, message, none = plain_id("source_id"), plain_id("message_id"), F.lit(None).cast("string")
+    kinds = (("source", source, none), ("message", none, message), ("source and message", source, message))
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), s.alias("source_id"), m.alias("message_id")) for k, s, m in kinds])).alias("k")
+
+
 def p3_key_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Complete results per source and per message id of both tables (null: rows without the id)."""
+    """Complete results per source, per message id and per pair of both, of both tables (null: rows without the id)."""
     m = table(spark, folder, "messages").select(
-        F.lit("messages").alias("record_kind"),
-        F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), plain_id(k).alias("key")) for k in ("source_id", "message_id")])).alias("k"),
+        F.lit("messages").alias("record_kind"), _keys(),
         F.col("cnt").cast("long").alias("n"), F.col("cnt_failed").cast("long").alias("failed"), "severity", F.expr("unix_micros(ts)").alias("at"), F.length("text").cast("long").alias("chars"),
     )
     i = table(spark, folder, "interval_messages").select(
-        F.lit("interval_messages").alias("record_kind"),
-        F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), plain_id(k).alias("key")) for k in ("source_id", "message_id")])).alias("k"),
+        F.lit("interval_messages").alias("record_kind"), _keys(),
         F.col("num_occurrences").cast("long").alias("n"), F.lit(None).cast("long").alias("failed"), "severity", F.expr("unix_micros(interval_start)").alias("at"), F.lit(None).cast("long").alias("chars"),
     )
-    rows = m.unionByName(i).select("record_kind", "k.key_kind", "k.key", "n", "failed", "severity", "at", "chars")
-    got = tree_aggregate(
-        rows, ["record_kind", "key_kind", "key"],
+    rows = m.unionByName(i).select("record_kind", "k.key_kind", "k.source_id", "k.message_id", "n", "failed", "severity", "at", "chars")
+    return tree_aggregate(
+        rows, ["record_kind", "key_kind", "source_id", "message_id"],
         {"n_rows": ("count", None), "sum_n": ("sum", "n"), "sum_failed": ("sum", "failed"), "max_n": ("max", "n"), "max_severity": ("max", "severity"), "first_us": ("min", "at"), "last_us": ("max", "at"), "sum_chars": ("sum", "chars")},
     )
-    return got
 
 
 P3_SQL = """
 with r as (
-  select 'messages' record_kind, 'source_id' key_kind, nullif(lower(trim(source_id, ' \t\r\n')), '') k, cnt n, cnt_failed failed, severity, epoch_us(ts) as at_us, length(text) chars from messages
-  union all select 'messages', 'message_id', nullif(lower(trim(message_id, ' \t\r\n')), ''), cnt, cnt_failed, severity, epoch_us(ts), length(text) from messages
-  union all select 'interval_messages', 'source_id', nullif(lower(trim(source_id, ' \t\r\n')), ''), num_occurrences, null, severity, epoch_us(interval_start), null from interval_messages
-  union all select 'interval_messages', 'message_id', nullif(lower(trim(message_id, ' \t\r\n')), ''), num_occurrences, null, severity, epoch_us(interval_start), null from interval_messages)
-select record_kind, key_kind, k as "key", count(*) n_rows, cast(sum(n) as bigint) sum_n, cast(sum(failed) as bigint) sum_failed, cast(max(n) as bigint) max_n, max(severity) max_severity,
+  select 'messages' record_kind, nullif(lower(trim(source_id, ' \t\r\n')), '') s, nullif(lower(trim(message_id, ' \t\r\n')), '') m, cnt n, cnt_failed failed, severity, epoch_us(ts) as at_us, length(text) chars from messages
+  union all select 'interval_messages', nullif(lower(trim(source_id, ' \t\r\n')), ''), nullif(lower(trim(message_id, ' \t\r\n')), ''), num_occurrences, null, severity, epoch_us(interval_start), null from interval_messages),
+k as (
+  select *, 'source' key_kind, s source_id, cast(null as varchar) message_id from r
+  union all select *, 'message', null, m from r
+  union all select *, 'source and message', s, m from r)
+select record_kind, key_kind, source_id, message_id, count(*) n_rows, cast(sum(n) as bigint) sum_n, cast(sum(failed) as bigint) sum_failed, cast(max(n) as bigint) max_n, max(severity) max_severity,
   min(at_us) first_us, max(at_us) last_us, cast(sum(chars) as bigint) sum_chars
-from r group by all
+from k group by record_kind, key_kind, source_id, message_id
 """
 
 
