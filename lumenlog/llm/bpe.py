@@ -17,13 +17,15 @@ import functools
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.sources.tables import fresh
+
 #: Folder of the public vocabularies.
 TOKENIZERS = "/opt/tokenizers"
 #: The vocabulary's split pattern; (?U) makes \s the Unicode white space.
@@ -39,12 +41,21 @@ def ranks(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> dict[bytes, i
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(folder, f"{name}.tiktoken").read_bytes().splitlines() if line)}
 
 
-def _literal(entries: dict[str, object], kind: str) -> Column:
-    """A literal array of BUCKETS small maps, by the checksum of the key."""
+def _literal(spark: SparkSession, entries: dict[str, object], kind: str) -> Column:
+    """A literal array of BUCKETS small maps, by the checksum of the key.
+
+    It is made by a scalar subquery of one row: tasks get its value as a literal, while plans and the driver's
+    log of them hold only its name instead of some megabytes of text each."""
     buckets: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
     for key, value in entries.items():
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
+    row = json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
+    return spark.createDataFrame([(row,)], "t string").select(F.from_json("t", f"array<map<string,{kind}>>").alias("t")).scalar()
+
+
+def _given(table: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a table column bound to a variable: mentioned once, the column is not written into rows but merged into the projection."""
+    return F.get(F.transform(F.array(table), body), F.lit(0))
 
 
 def _found(table: Column, key: Column) -> Column:
@@ -100,10 +111,10 @@ def _is_long(text: Column) -> Column:
 
 def word_table(df: DataFrame, text: str, table_words: int, name: str, folder: str) -> dict[str, list[int]]:
     """Ids of the ``table_words`` most frequent words of all texts; the bound keeps it fit for a literal."""
-    rank_table = _literal(_rank_json(name, folder), "int")
+    rank_table = _literal(df.sparkSession, _rank_json(name, folder), "int")
     counted = df.where(~_is_long(F.col(text))).select(F.explode(words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.desc("n"), "w").limit(table_words)
-    got = top.repartition(max(8, table_words // 2048)).select("w", fold(F.col("w"), rank_table).alias("ids")).toArrow()
+    got = top.repartition(max(8, table_words // 2048)).withColumn("ranks", rank_table).select("w", _given(F.col("ranks"), lambda t: fold(F.col("w"), t)).alias("ids")).toArrow()
     return dict(zip(got["w"].to_pylist(), got["ids"].to_pylist(), strict=True))
 
 
@@ -138,10 +149,12 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", table_words: int
     """
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
     body = F.col(f"`{text}`")
-    table = _literal(word_table(df.select(body.alias("text")), "text", table_words, name, folder), "array<int>")
-    rank_table = _literal(_rank_json(name, folder), "int")
-    ids = F.flatten(F.transform(words(body), lambda w: F.coalesce(_found(table, w), fold(w, rank_table))))
-    usual = df.where(~F.coalesce(_is_long(body), F.lit(False))).select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias(out))
+    spark = df.sparkSession
+    table = _literal(spark, word_table(df.select(body.alias("text")), "text", table_words, name, folder), "array<int>")
+    rank_table = _literal(spark, _rank_json(name, folder), "int")
+    k, r = fresh(df, "known"), fresh(df, "ranks")
+    ids = _given(F.col(k), lambda known: _given(F.col(r), lambda ranked: F.flatten(F.transform(words(body), lambda w: F.coalesce(_found(known, w), fold(w, ranked))))))
+    usual = df.where(~F.coalesce(_is_long(body), F.lit(False))).withColumn(k, table).withColumn(r, rank_table).select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias(out))
 
     def heaped(texts: pa.Array) -> pa.Array:
         import regex
@@ -156,5 +169,8 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", table_words: int
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``df`` with ``out``: the text of the ids, the binary pieces put together; null ids give null."""
     by_rank = sorted(((r, t.hex()) for t, r in ranks(name, folder).items()))
-    pieces = F.from_json(F.lit(json.dumps([h for _, h in by_rank])), "array<string>")
-    return df.withColumn(out, F.decode(F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(pieces, i)), "")), "UTF-8"))
+    row = df.sparkSession.createDataFrame([(json.dumps([h for _, h in by_rank]),)], "t string")
+    pieces = row.select(F.from_json("t", "array<string>").alias("t")).scalar()
+    t = fresh(df, "pieces")
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    return df.withColumn(t, pieces).select(*keep, _given(F.col(t), lambda p: F.decode(F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(p, i)), "")), "UTF-8")).alias(out))
