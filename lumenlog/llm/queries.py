@@ -9,6 +9,7 @@ from lumenlog.functions.ids import plain_id
 from lumenlog.llm.bpe import encode
 from lumenlog.llm.neardup import similar_records
 from lumenlog.llm.packing import pack
+from lumenlog.llm.pii import find_mentions, redact
 from lumenlog.llm.residue import judged
 from lumenlog.llm.runs import collapse_runs
 from lumenlog.llm.sql import SQL
@@ -43,6 +44,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of personal information in message texts."""
+    return find_mentions(table(spark, folder, "messages"), "instance_id", "text", table(spark, folder, "given_names")).select("instance_id", "kind", "start_pos")
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Message texts with each mention replaced by its kind."""
+    return redact(table(spark, folder, "messages").select("instance_id", "text"), "text", table(spark, folder, "given_names")).select("instance_id", "redacted")
+
+
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, or of every piece of one longer than a container: 2,048 tokens of byte_bpe_50k."""
     sizes = encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.size("ids").alias("tokens"))
@@ -54,4 +65,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"), "doc_id", "text").where("residue").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
