@@ -280,7 +280,7 @@ def jaccard_match(spark: SparkSession, folder: str) -> DataFrame:
 _CRIT = ", ".join(f"'{w}'" for w in T.CRITICAL_WORDS)
 
 
-@query(rf"select summary_id, len(list_filter(regexp_split_to_array(lower(text_summary), '\s+'), w -> list_contains([{_CRIT}], w))) score from message_summaries")
+@query(rf"select summary_id, len(list_filter(regexp_split_to_array(lower(text_summary), '\s+'), lambda w: list_contains([{_CRIT}], w))) score from message_summaries")
 def critical_word_score(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "message_summaries").select("summary_id", T.critical_score(F.col("text_summary")).cast("long").alias("score"))
 
@@ -334,7 +334,7 @@ def nan_safe_covariance(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.round(F.covar_samp(x, y), 4).alias("cov"), F.round(F.corr(x, y), 9).alias("cor"), F.round(F.median("l_discount"), 9).alias("med"))
 
 
-@query("select vec_id, round(list_sum(list_transform(embedding, x -> abs(cast(x as double)))), 4) l1, round(sqrt(list_sum(list_transform(embedding, x -> cast(x as double) * cast(x as double)))), 4) l2 from embeddings")
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda x: abs(cast(x as double)))), 4) l1, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 4) l2 from embeddings")
 def l1_l2_distance(spark: SparkSession, folder: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     add = lambda f: F.aggregate(F.transform(v, f), F.lit(0.0), lambda a, x: a + x)
