@@ -16,8 +16,8 @@ import numpy as np
 
 from lumenlog.llm.pii import CLASS, LABELS, Model, _plain, features, skips, tokens
 
-SENTENCES = 6000
-EPOCHS = 6
+SENTENCES = 9000
+EPOCHS = 8
 
 # Common given names in several languages, and plain words that stand in capitals without being names.
 GIVEN = "Adrian Alice Amina André Anna Bruno Chloé Clara Daniel Diego Elena Erik Fatima Felix Greta Helena Henrik Ingrid Irene Ivan José Julia Jürgen Karin Kenji Laura Lukas Marco Maria Martin Mei Monica Nadia Nora Olga Oliver Oscar Paula Peter Priya Ravi Samuel Simon Sofia Stefan Teresa Tomas Victor Yusuf Zoë".split()
@@ -74,7 +74,7 @@ rotated {path}, {n9} bytes written
 git remote {low}@{low}01 answered in {n} ms
 scp {low}@{low}02:{path} finished, {n10} bytes
 key {hex}@{low} not in ring
-dropped packet SRC={ip} DST={ip} LEN={n} MAC=02:f1:01:d6:1c:f3
+dropped packet SRC={ip} DST={ip} LEN={n} MAC=02:{mac}
 connection from {ip} port {n} closed after {n} ms
 DUMP SUPPRESSED BECAUSE LIMIT REACHED. ABEND AT {upper} {upper} {n}
 fault in {low} {low} {n10}, epoch {n10}
@@ -87,6 +87,9 @@ lane {n} of bus {n} retrained, avenue policy {low}
 {low} rejected by street rule {low}, road {n} via avenue {low}
 sms to {phone} rejected: {low} {low}
 could not resolve {low} for {low}
+{jargon}
+{jargon}
+{jargon}
 thread {n} blocked for {n} ms in {low}
 """.strip().splitlines()
 
@@ -95,8 +98,20 @@ def _word(r: random.Random, least: int = 2) -> str:
     return "".join(r.choice("b d f g k l m n p r s t v z br st tr pl qu".split()) + r.choice("a e i o u ai ou ea".split()) for _ in range(r.randint(least, 3))) + r.choice(["", "l", "n", "r", "sk", "x"])
 
 
+def _jargon(r: random.Random) -> str:
+    """Phrases of a crash report, all in capitals or the first word capitalised."""
+    phrases = []
+    for _ in range(r.randint(2, 6)):
+        words = [_word(r) if r.random() < 0.7 else r.choice("lost fault in dump of reset cursor page socket table heap unwound from abend at operator action needed on the owning system".split()) for _ in range(r.randint(2, 8))]
+        if r.random() < 0.4:
+            words.insert(r.randint(0, len(words)), r.choice([_digits(r, 7), f"{r.getrandbits(24):06x}"]))
+        phrases.append(" ".join(words))
+    text = r.choice([", ", ", ", " - ", "; ", " | ", ". "]).join(phrases)
+    return text.upper() if r.random() < 0.75 else text.capitalize()
+
+
 def _name(r: random.Random) -> str:
-    given = r.choice(GIVEN) if r.random() < 0.75 else _word(r).capitalize()
+    given = r.choice(GIVEN) if r.random() < 0.62 else _word(r).capitalize()
     if r.random() < 0.12:
         given += "-" + r.choice(GIVEN)
     family = _word(r).capitalize() + r.choice(["", "ström", "ović", "bach", "ham", "enko", "aro"])
@@ -132,7 +147,7 @@ def _phone(r: random.Random) -> str:
 
 def _id(r: random.Random) -> str:
     d = lambda n: _digits(r, n)
-    return r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), f"QQ{d(6)}A", f"QQ {d(2)} {d(2)} {d(2)} C", f"{d(8)}-{r.choice('KSV')}", f"{d(8)}{r.choice('KSV')}", f"X{d(8)}", f"X{d(2)} {d(6)}", d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(3)}/{d(5)}"])
+    return r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), d(9), d(9), f"QQ{d(6)}A", f"QQ {d(2)} {d(2)} {d(2)} C", f"{d(8)}-{r.choice('KSV')}", f"{d(8)}{r.choice('KSV')}", f"X{d(8)}", f"X{d(2)} {d(6)}", d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(3)}/{d(5)}"])
 
 
 def _address(r: random.Random) -> str:
@@ -170,7 +185,7 @@ def sentence(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         elif kind == "order":
             value = f"{_digits(r, 4)}-0{_digits(r, r.randint(1, 5))}-{_digits(r, r.randint(2, 5))}"
         else:
-            value = {"n": lambda: _digits(r, r.randint(6, 9)).lstrip("0") or "7" if r.random() < 0.35 else str(r.randint(1, 99999)), "n9": lambda: _digits(r, 9), "n10": lambda: _digits(r, 10), "hex": lambda: f"{r.getrandbits(32):08x}", "ver": lambda: f"{r.randint(1, 9)}.{r.randint(1, 30)}.{r.randint(1, 99)}", "ip": lambda: f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}", "path": lambda: f"/var/lib/{_word(r)}.log", "low": lambda: _word(r), "upper": lambda: _word(r).upper()}[kind]()
+            value = {"n": lambda: _digits(r, r.randint(6, 9)).lstrip("0") or "7" if r.random() < 0.35 else str(r.randint(1, 99999)), "n9": lambda: _digits(r, 9), "n10": lambda: _digits(r, 10), "jargon": lambda: _jargon(r), "mac": lambda: ":".join(f"{r.getrandbits(8):02x}" for _ in range(5)), "hex": lambda: f"{r.getrandbits(32):08x}", "ver": lambda: f"{r.randint(1, 9)}.{r.randint(1, 30)}.{r.randint(1, 99)}", "ip": lambda: f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}", "path": lambda: f"/var/lib/{_word(r)}.log", "low": lambda: _word(r), "upper": lambda: _word(r).upper()}[kind]()
         if kind in ("name", "email", "phone", "id", "addr"):
             spans.append((kind, len(text), len(text) + len(value)))
         text += value
