@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.llm.packing import checkpointed
+
 #: Slots of the table of hashed word counts: its size is fixed, whatever the corpus.
 SLOTS = 1 << 18
 #: 64-bit pieces of a bit vector.
@@ -235,3 +237,35 @@ def similar_records(df: DataFrame, kind: str, ident: str, text: str, threshold:
     within = shared.join(a, ["kind", "a"]).join(b.withColumnRenamed("b", "a"), ["kind", "a"]).where("x < y")
     pairs = across.select("kind", "x", "y").unionByName(within.select("kind", "x", "y"))
     return pairs.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, class, group): the least class of each connected component.
+
+    Rounds of taking the least label of the neighbours and then the label of one's label; lineage is cut by checkpoint() after
+    each round, and what comes to the driver is one sum that tells whether labels still change."""
+    both = checkpointed(edges.select("kind", F.col("a").alias("class"), F.col("b").alias("other")).unionByName(edges.select("kind", F.col("b").alias("class"), F.col("a").alias("other"))))
+    labels = checkpointed(both.select("kind", "class").distinct().withColumn("group", F.col("class")))
+    last = None
+    while True:
+        near = both.join(labels.withColumnRenamed("class", "other"), ["kind", "other"]).groupBy("kind", "class").agg(F.min("group").alias("near"))
+        lower = labels.join(near, ["kind", "class"]).select("kind", "class", F.least("group", "near").alias("group"))
+        jump = lower.select("kind", F.col("class").alias("group"), F.col("group").alias("jump"))
+        labels = checkpointed(lower.join(jump, ["kind", "group"]).select("kind", "class", F.least("group", "jump").alias("group")))
+        total = labels.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0]
+        if total == last:
+            break
+        last = total
+    return nodes.join(labels, ["kind", "class"], "left").select("kind", "class", F.coalesce("group", "class").alias("group"))
+
+
+def groups(df: DataFrame, kind: str, ident: str, text: str, threshold: float = 0.7) -> DataFrame:
+    """(kind, id, class, n_links, group) of every record with a text: its class of equal word sets, the number of other classes
+    that are similar to it, and the least class of its group of linked classes. Copies are not expanded into pairs."""
+    members, sets = classes(df, kind, ident, text)
+    members = members.distinct()
+    links = checkpointed(similar_classes(sets, threshold).select("kind", "a", "b"))
+    ends = links.select("kind", F.col("a").alias("class")).unionByName(links.select("kind", F.col("b").alias("class")))
+    degree = ends.groupBy("kind", "class").agg(F.count(F.lit(1)).alias("n_links"))
+    grouped = components(members.select("kind", "class").distinct(), links).join(degree, ["kind", "class"], "left")
+    return members.join(grouped, ["kind", "class"]).select("kind", "id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.ids import plain_id
-from lumenlog.llm.bpe import encode
-from lumenlog.llm.neardup import similar_records
+from lumenlog.llm.bpe import decode, encode
+from lumenlog.llm.neardup import groups, similar_records
 from lumenlog.llm.packing import pack
 from lumenlog.llm.pii import find_mentions, redact
 from lumenlog.llm.residue import judged
@@ -44,6 +44,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class, the number of links and the group of every text."""
+    return groups(_texts(spark, folder), "record_kind", "id", "text", 0.7).withColumnRenamed("kind", "record_kind").withColumnRenamed("group", "group_id").withColumnRenamed("class", "class_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Mentions of personal information in message texts."""
     return find_mentions(table(spark, folder, "messages"), "instance_id", "text", table(spark, folder, "given_names")).select("instance_id", "kind", "start_pos")
@@ -54,6 +59,12 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redact(table(spark, folder, "messages").select("instance_id", "text"), "text", table(spark, folder, "given_names")).select("instance_id", "redacted")
 
 
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text, put together from its ids: the exact round trip."""
+    ids = encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return decode(ids).select("doc_id", "text")
+
+
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, or of every piece of one longer than a container: 2,048 tokens of byte_bpe_50k."""
     sizes = encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.size("ids").alias("tokens"))
@@ -65,4 +76,9 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"), "doc_id", "text").where("residue").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are not excluded, with the share of residue in them."""
+    return judged(table(spark, folder, "documents"), "doc_id", "text").where("not residue").select("doc_id", F.round("coverage", 6).alias("coverage"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_kept": p10_kept}

@@ -19,4 +19,6 @@ b as (select 'interval_messages' record_kind, s source_id, i message_id, min(p)
 select * from a union all select * from b
 """
 
-SQL = {"p2_found": P2_SQL}
+P8_SQL = "select doc_id, coalesce(text, '') as text from documents"
+
+SQL = {"p2_found": P2_SQL, "p8_decoded": P8_SQL}

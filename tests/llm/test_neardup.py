@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 
 from lumenlog.llm import neardup
-from lumenlog.llm.neardup import similar_records
+from lumenlog.llm.neardup import groups, similar_records
 
 
 def brute(rows, t):
@@ -47,5 +47,25 @@ def test_all_pairs(spark, monkeypatch, tile, threshold):
     assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
 
 
+def test_groups(spark):
+    rows = make(11, 120)
+    pairs = brute(rows, 0.7)
+    parent = {(k, i): i for k, i, x in rows if x is not None}
+
+    def find(n):
+        while parent[n] != n[1]:
+            n = (n[0], parent[n])
+        return n
+
+    for k, a, b in pairs:
+        x, y = sorted((find((k, a)), find((k, b))), key=lambda n: n[1])
+        parent[y] = x[1]
+    got = {(r["kind"], r["id"]): r for r in groups(spark.createDataFrame(rows, "k string, i long, t string"), "k", "i", "t").collect()}
+    assert {n: r["group"] for n, r in got.items()} == {n: find(n)[1] for n in parent}
+    classes = {(r["kind"], r["class"]) for r in got.values()}
+    links = {(k, a, b) for k, a, b in pairs if (k, a) in classes and (k, b) in classes}
+    assert all(r["n_links"] == sum(1 for k, a, b in links if k == r["kind"] and r["class"] in (a, b)) for r in got.values())
+
+
 def test_empty(spark):
     assert similar_records(spark.createDataFrame([], "k string, i long, t string"), "k", "i", "t").count() == 0
