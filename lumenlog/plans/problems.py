@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.ids import plain_id
 from lumenlog.operators.hotkeys import tree_aggregate
-from lumenlog.operators.loglines import entry_heads
+from lumenlog.operators.loglines import entries, entry_heads
 from lumenlog.operators.records import MESSAGE_EXPORT, judged
 from lumenlog.operators.timestamps import utc_millis
 from lumenlog.sources.tables import table
@@ -62,6 +62,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return entry_heads(table(spark, folder, "log_lines")).select("file", "line_no", "n_lines", "stamp", "severity", "component", "msg_chars")
 
 
+def p6_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per log entry with its whole message."""
+    return entries(table(spark, folder, "log_lines"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records that can't be loaded, with the reason."""
     return judged(table(spark, folder, "raw_records").select("record_no", "record"), MESSAGE_EXPORT).where("reason is not null").select("record_no", "reason")
@@ -72,5 +77,16 @@ def p7_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "raw_records"), MESSAGE_EXPORT).where("reason is null").select("record_no", "row.*")
 
 
-QUERIES = {"p1_found": p1_found, "p3_key_results": p3_key_results, "p6_found": p6_found, "p7_found": p7_found, "p7_loaded": p7_loaded}
-SQL = {"p3_key_results": P3_SQL}
+_ANY = r'(?:"(?:[^"]|"")*"|[^",]*)'
+P7_SQL = rf"""
+with r as (select record_no, record, regexp_matches(record, '(?s)\A{_ANY}(?:,{_ANY})*\z') quoted, regexp_matches(record, '(?s)\A{_ANY}(?:,{_ANY}){{6}}\z') wide from raw_records),
+s as (select record_no, quoted, wide, case when wide then regexp_extract(record, '(?s)\A({_ANY}),({_ANY}),({_ANY}),({_ANY}),({_ANY}),({_ANY}),({_ANY})\z', ['a', 'b', 'c', 'd', 'e', 'f', 'g']) end x from r),
+v as (select record_no, quoted, wide, {", ".join(f"case when x.{c} like chr(34) || '%' then replace(x.{c}[2:-2], chr(34) || chr(34), chr(34)) else x.{c} end {c}" for c in "abef")} from s),
+j as (select record_no, case when not quoted then 'quoting' when not wide then 'columns'
+  when not regexp_matches(a, '\A[^ \t\r\n\f\v]{{1,200}}\z') or not regexp_matches(b, '\A[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\z') or try_strptime(b, '%Y-%m-%d %H:%M:%S') is null
+    or not regexp_matches(e, '\A[0-4]\z') or not regexp_matches(f, '\A0*[1-9][0-9]*\z') then 'value' end reason from v)
+select record_no, reason from j where reason is not null
+"""
+
+QUERIES = {"p1_found": p1_found, "p3_key_results": p3_key_results, "p6_found": p6_found, "p6_entries": p6_entries, "p7_found": p7_found, "p7_loaded": p7_loaded}
+SQL = {"p3_key_results": P3_SQL, "p7_found": P7_SQL}
