@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlog.sources.tables import fresh
+
 HOUR = 3_600_000
 
 
@@ -14,11 +16,28 @@ def frame_start(ms: Column, length: int, offset: int = 0) -> Column:
     return ms - F.pmod(ms - offset, F.lit(length))
 
 
-def runs(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
-    """``df`` with ``run``: a new run of a key begins where more than ``gap`` passed since the row before."""
-    w = W.partitionBy(*keys).orderBy(at)
-    begins = F.when(F.col(at) - F.lag(at).over(w) <= gap, 0).otherwise(1)
-    return df.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("begins")
+def previous(df: DataFrame, keys: list[str], at: str, block: int = 86_400_000, strict: bool = False) -> DataFrame:
+    """``df`` with ``previous``: the place in time of the key's row before (``strict``: the greatest one below), null for the first.
+
+    A key's rows are windowed per block of time; what comes before a block is carried by one row per block that has any, so no task
+    sorts all rows of a key."""
+    blk, last = fresh(df, "block"), fresh(df, "last")
+    rows = df.withColumn(blk, F.floor(F.col(at) / block))
+    ends = rows.groupBy(*keys, blk).agg(F.max(at).alias(last))
+    carried = ends.withColumn(last, F.lag(last).over(W.partitionBy(*keys).orderBy(blk)))
+    inside = W.partitionBy(*keys, blk).orderBy(at)
+    before = F.max(at).over(inside.rangeBetween(W.unboundedPreceding, -1)) if strict else F.lag(at).over(inside)
+    return rows.withColumn("previous", before).join(carried, [*keys, blk], "left").withColumn("previous", F.coalesce("previous", last)).drop(blk, last)
+
+
+def runs(df: DataFrame, keys: list[str], at: str, gap: int, block: int = 86_400_000) -> DataFrame:
+    """``df`` with ``run``: a new run of a key begins where more than ``gap`` passed since the row before; numbered from 1, in blocks of time."""
+    blk, begins, ahead = fresh(df, "block"), fresh(df, "begins"), fresh(df, "ahead")
+    rows = previous(df, keys, at, block).withColumn(begins, F.when(F.col(at) - F.col("previous") <= gap, 0).otherwise(1)).drop("previous").withColumn(blk, F.floor(F.col(at) / block))
+    sums = rows.groupBy(*keys, blk).agg(F.sum(begins).alias(ahead))
+    offsets = sums.withColumn(ahead, F.coalesce(F.sum(ahead).over(W.partitionBy(*keys).orderBy(blk).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = W.partitionBy(*keys, blk).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("run", F.sum(begins).over(inside)).join(offsets, [*keys, blk]).withColumn("run", F.col("run") + F.col(ahead)).drop(blk, begins, ahead)
 
 
 def dense_grid(df: DataFrame, keys: list[str], at: str, length: int) -> DataFrame:

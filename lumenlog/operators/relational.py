@@ -7,22 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import glob_pattern
+from lumenlog.operators.ordering import running_sum
 
 
 def dictionary(words: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
     """(word, id): ids of known words stay; new words get the next numbers in order of the words.
 
-    New words are numbered by range partition: places within partitions plus the counts before, so no task sorts all words."""
+    New words are numbered within pieces of their order plus the pieces' offsets, so no task sorts all words."""
     new = words.where(F.col(column).isNotNull()).select(F.col(column).alias("word")).distinct()
     base = F.lit(0)
     if known is not None:
         new = new.join(known.select("word"), "word", "left_anti")
         base = known.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("m")).scalar()
-    bucket = F.substring("word", 1, 1)
-    counts = new.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    offsets = counts.select("b", F.coalesce(F.sum("k").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = new.withColumn("b", bucket).withColumn("place", F.row_number().over(W.partitionBy("b").orderBy("word")) - 1).join(offsets, "b")
-    out = numbered.select("word", (F.col("place") + F.col("before")).cast("long").alias("id")).withColumn("id", F.col("id") + base)
+    numbered = running_sum(new.withColumn("one", F.lit(1)), "word", "one", "place")
+    out = numbered.withColumn("base", base).select("word", (F.col("place") - 1 + F.col("base")).cast("long").alias("id"))
     return out if known is None else known.select("word", "id").unionByName(out)
 
 

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlog.operators.framing import frame_start, previous
+from lumenlog.operators.ordering import running_sum
+
 TICKS = 120
 
 
 def interval_summaries(df: DataFrame, length: int) -> DataFrame:
     """(source_id, frame, message_id, n, first_ms, ticks): messages per source, frame and id; ticks are the sorted distinct 120ths of the frame."""
-    from lumenlog.operators.framing import frame_start
-
     frame = frame_start(F.col("ms"), length)
     tick = F.floor((F.col("ms") - frame) * TICKS / length).cast("int")
     return df.groupBy("source_id", frame.alias("frame"), "message_id").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("first_ms"), F.array_sort(F.collect_set(tick)).alias("ticks"))
@@ -112,8 +112,8 @@ def best_predictor(summaries: DataFrame, length: int) -> DataFrame:
 
 def deltas(df: DataFrame, unit: int = 1000) -> DataFrame:
     """(source_id, message_id, delta): whole seconds between successive messages of an id in a source."""
-    w = W.partitionBy("source_id", "message_id").orderBy("ms")
-    return df.withColumn("delta", F.floor((F.col("ms") - F.lag("ms").over(w)) / unit)).where("delta is not null").select("source_id", "message_id", "delta")
+    df = previous(df, ["source_id", "message_id"], "ms")
+    return df.withColumn("delta", F.floor((F.col("ms") - F.col("previous")) / unit)).where("delta is not null").select("source_id", "message_id", "delta")
 
 
 def delta_model(df: DataFrame, width: int = 600) -> DataFrame:
@@ -129,8 +129,7 @@ def percentile_table(df: DataFrame, value: str, buckets: int = 1000) -> DataFram
     Places come from a count per distinct value, so only distinct values are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("k"))
     n = counts.agg(F.sum("k").alias("n"))
-    # The running count needs one order over the distinct values.
-    placed = counts.withColumn("upto", F.sum("k").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", n.scalar())
+    placed = running_sum(counts, value, "k", "upto").withColumn("n", n.scalar())
     lower = placed.withColumn("from", F.col("upto") - F.col("k"))
     first, last = F.ceil(F.col("from") * buckets / F.col("n")), F.ceil(F.col("upto") * buckets / F.col("n")) - 1
     spread = lower.withColumn("bucket", F.explode(F.when(first <= F.least(last, F.lit(buckets - 1)), F.sequence(first, F.least(last, F.lit(buckets - 1)))).otherwise(F.array().cast("array<bigint>"))))

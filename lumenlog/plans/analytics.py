@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenlog.operators import clusters, framing, relational, scoring, training
+from lumenlog.operators import clusters, context, framing, relational, scoring, training
 from lumenlog.operators.templates import message_ids, templates
 from lumenlog.functions import text as T
 from lumenlog.functions.ids import plain_id
+from lumenlog.sources import writers
 from lumenlog.sources.tables import table
 
 HOUR = framing.HOUR
@@ -151,8 +152,7 @@ def delta_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {E} select event_id, (ms - max(ms) over (partition by message_id order by ms range between unbounded preceding and 1 preceding)) as since_ms from e")
 def last_seen_asof(spark: SparkSession, folder: str) -> DataFrame:
-    w = W.partitionBy("message_id").orderBy("ms").rangeBetween(W.unboundedPreceding, -1)
-    return events(spark, folder).select("event_id", (F.col("ms") - F.max("ms").over(w)).alias("since_ms"))
+    return framing.previous(events(spark, folder), ["message_id"], "ms", strict=True).select("event_id", (F.col("ms") - F.col("previous")).alias("since_ms"))
 
 
 @query(f"with {E} select source_id, message_id, min(ms) first_ms from e group by 1, 2")
@@ -162,7 +162,8 @@ def first_seen(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {S}, f as (select source_id, message_id, min(frame) f from s group by 1, 2) select s.source_id, s.frame, count(*) n_ids, cast(sum(case when s.frame = f then 1 else 0 end) as bigint) n_new from s join f on s.source_id = f.source_id and s.message_id = f.message_id group by 1, 2")
 def new_messages_per_interval(spark: SparkSession, folder: str) -> DataFrame:
-    s = hourly(spark, folder).withColumn("f", F.min("frame").over(W.partitionBy("source_id", "message_id")))
+    s = hourly(spark, folder)
+    s = s.join(s.groupBy("source_id", "message_id").agg(F.min("frame").alias("f")), ["source_id", "message_id"])
     return s.groupBy("source_id", "frame").agg(F.count(F.lit(1)).alias("n_ids"), F.sum(F.when(F.col("frame") == F.col("f"), 1).otherwise(0)).alias("n_new"))
 
 
@@ -343,8 +344,7 @@ def l1_l2_distance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {E}, d as (select source_id, ms - lag(ms) over (partition by source_id order by ms, event_id) d from e) select source_id, count(d) n, round(avg(d), 6) mean_ms, max(d) max_ms from d group by 1")
 def inter_arrival(spark: SparkSession, folder: str) -> DataFrame:
-    w = W.partitionBy("source_id").orderBy("ms", "event_id")
-    d = events(spark, folder).select("source_id", (F.col("ms") - F.lag("ms").over(w)).alias("d"))
+    d = framing.previous(events(spark, folder), ["source_id"], "ms").select("source_id", (F.col("ms") - F.col("previous")).alias("d"))
     return d.groupBy("source_id").agg(F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("mean_ms"), F.max("d").alias("max_ms"))
 
 
@@ -362,16 +362,10 @@ def severity_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {E}, g as (select source_id, ms, lag(ms) over (partition by source_id order by ms) p from e) select source_id, ms - ms % 600000 as until, (ms // 600000 - p // 600000 - 1) missing from g where ms // 600000 - p // 600000 > 1")
 def logger_gaps(spark: SparkSession, folder: str) -> DataFrame:
     slot = F.floor(F.col("ms") / 600_000)
-    g = events(spark, folder).withColumn("missing", slot - F.lag(slot).over(W.partitionBy("source_id").orderBy("ms")) - 1)
+    g = framing.previous(events(spark, folder), ["source_id"], "ms").withColumn("missing", slot - F.floor(F.col("previous") / 600_000) - 1)
     return g.where("missing > 0").select("source_id", (slot * 600_000).alias("until"), "missing")
 
 
-@query("select e.event_id, w.n_before from events e join (select event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) n_before from events) w using (event_id)")
-def trailing_hour_count(spark: SparkSession, folder: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ms").rangeBetween(-HOUR, 0)
-    return events(spark, folder).select("event_id", F.count(F.lit(1)).over(w).alias("n_before"))
-
-
 @query(f"with {S} select message_id, cast(floor(min(p) * 1e9 + 0.5) / 1e9 as double) least_lp from (select s.message_id, n * ln(l) - l - lgamma(n + 1.0) p from s join (select message_id, sum(n) / any_value(n_intervals) l from s, nn group by 1) m on m.message_id = s.message_id) group by 1")
 def poisson_scores(spark: SparkSession, folder: str) -> DataFrame:
     s = hourly(spark, folder)
@@ -400,3 +394,113 @@ def word_levenshtein_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def information_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.information_clusters(training.mutual_information(hourly(spark, folder), HOUR).select("a", "b", "mi"))
+
+
+def _labels(summaries: DataFrame) -> DataFrame:
+    """Clusters by the kind of event: ten ids each; ids ending in 9 belong to none."""
+    return summaries.select("message_id").distinct().where("message_id not like '%9'").withColumn("cluster", F.split("message_id", "_")[0])
+
+
+_CL = "c as (select distinct message_id, string_split(message_id, '_')[1] as cluster from s where message_id not like '%9'), z as (select cluster, count(*) size from c group by 1), t as (select distinct message_id from s where source_id <> 's3')"
+
+
+@query(f"with {S}, {_CL}, p as (select s.source_id, s.frame, s.message_id, c.cluster, size, count(c.cluster) over (partition by s.source_id, s.frame, c.cluster) k, t.message_id tm from s left join c using (message_id) left join z using (cluster) left join t on t.message_id = s.message_id) select source_id, frame, message_id, cluster, case when tm is null then 'NEW' when cluster is null then 'UNCLUSTERED' when k > 1 and k / size >= 0.3 then 'IN_CONTEXT' else 'OUT_OF_CONTEXT' end status from p")
+def clustering_context(spark: SparkSession, folder: str) -> DataFrame:
+    s = hourly(spark, folder).select("source_id", "frame", "message_id")
+    return context.context_status(s, _labels(s), s.where("source_id <> 's3'")).select("source_id", "frame", "message_id", "cluster", "status")
+
+
+@query(f"with {S}, {_CL} select s.source_id, s.frame, s.message_id, case when c.cluster is null then 'UNCLUSTERED' when row_number() over (partition by s.source_id, s.frame, c.cluster order by s.message_id) = 1 then 'REPRESENTATIVE' else 'IN_CONTEXT' end status from s left join c using (message_id)")
+def clustering_uniquify(spark: SparkSession, folder: str) -> DataFrame:
+    s = hourly(spark, folder).select("source_id", "frame", "message_id")
+    return context.representatives(s, _labels(s)).select("source_id", "frame", "message_id", "status")
+
+
+@query(f"with {E} select source_id, message_id, ms, ms - lag(ms) over o since_ms, case when lag(ms) over o is null then 'NEW' else 'REGULAR' end status from e window o as (partition by source_id, message_id order by ms)")
+def last_seen_status(spark: SparkSession, folder: str) -> DataFrame:
+    return context.last_seen_status(events(spark, folder))
+
+
+@query(f"with {E}, d as (select message_id, (ms - lag(ms) over (partition by source_id, message_id order by ms)) // 1000 // 600 bin from e), h as (select message_id, bin, count(*) c from d where bin is not null group by 1, 2) select message_id, bin, c, round(ln(max(c) over w) - ln(c), 9) + 0.0 score, round(ln(max(c) over w) - ln(c) - ln(max(c) over w / sum(c) over w), 9) given_last from h window w as (partition by message_id)")
+def periodicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    got = context.periodicity_scores(training.deltas(events(spark, folder)))
+    return got.select("message_id", "bin", "c", (F.round("score", 9) + 0.0).alias("score"), F.round("given_last", 9).alias("given_last"))
+
+
+@query(f"with {S}, {_CO}, l as (select a i, b mate, joint from p union all select b, a, joint from p), b as (select i, arg_max(mate, (joint, mate)) mate, max(joint) joint from l group by 1), r as (select s.source_id, s.frame, s.message_id, b.mate, o.message_id is not null mate_seen, joint, ci.c c, cm.c m, n_intervals n from s join b on b.i = s.message_id left join s o on o.source_id = s.source_id and o.frame = s.frame and o.message_id = b.mate join c ci on ci.message_id = s.message_id join c cm on cm.message_id = b.mate, nn) select source_id, frame, message_id, mate, mate_seen, round(case when mate_seen then (joint + 0.5) / (m + 1) else (c - joint + 0.5) / (n - m + 1) end, 9) prob from r")
+def mate_context_scores(spark: SparkSession, folder: str) -> DataFrame:
+    s = hourly(spark, folder).select("source_id", "frame", "message_id", "n")
+    p = training.cooccurrence(s)
+    both = p.select(F.col("a").alias("message_id"), F.col("b").alias("mate"), "joint").unionByName(p.select(F.col("b").alias("message_id"), F.col("a").alias("mate"), "joint"))
+    best = both.groupBy("message_id").agg(F.max(F.struct("joint", "mate")).alias("x")).select("message_id", "x.mate", "x.joint")
+    counts = s.groupBy("message_id").agg(F.count(F.lit(1)).alias("c"))
+    got = context.mate_scores(s, best, counts, F.lit(training.n_intervals(s, HOUR).first()[0]))
+    return got.withColumn("prob", F.round("prob", 9))
+
+
+@query(f"""with {E}, h as (select message_id, source_id, ms // 3600000 f, count(*) * 1.0 n from e group by all), t as (select message_id, count(*) + 50 as n, list_sort(list_concat(list_transform(range(0, 50), lambda x: 0.0), list(n))) v from h group by 1),
+g as (select message_id, n, v, b, b / 100.0 * (n + 1) pos, cast(floor(b / 100.0 * (n + 1)) as integer) lo from t, (select unnest(range(0, 101)) b))
+select message_id, cast(b as integer) bin, round(case when lo >= n then v[-1] else (case when lo = 0 then 0 else v[lo] end) + (pos - lo) * (coalesce(v[lo + 1], 0) - (case when lo = 0 then 0 else v[lo] end)) end, 6) as value from g""")
+def percentile_nist_100(spark: SparkSession, folder: str) -> DataFrame:
+    s = hourly(spark, folder).select("message_id", F.col("n").cast("double").alias("n"))
+    total = F.count(F.lit(1)).over(W.partitionBy("message_id")) + 50
+    return context.nist_percentiles(s, "message_id", "n", 100, total).withColumn("value", F.round("value", 6))
+
+
+@query(f"with {S}, i as (select source_id, frame, sum(n) score from s group by 1, 2), d as (select distinct source_id, frame - frame % 86400000 d from i), g as (select source_id, d, unnest(range(0, 24)) k from d) select g.source_id, d as day, cast(k as integer) serial, cast(score as bigint) score, score is null missing from g left join i on i.source_id = g.source_id and i.frame = d + k * 3600000")
+def period_index(spark: SparkSession, folder: str) -> DataFrame:
+    scores = hourly(spark, folder).groupBy("source_id", "frame").agg(F.sum("n").alias("score"))
+    return writers.period_index(scores, HOUR, ["source_id"]).select("source_id", "day", "serial", "score", "missing")
+
+
+@query(f"with {E}, h as (select source_id, message_id, ms - ms % 600000 f, list_sort(list_distinct(list(cast((ms % 600000) * 120 // 600000 as integer)))) t from e group by all) select source_id, message_id, f as frame, array_to_string(list_sort(list_distinct(list_transform(t, lambda x: cast(floor((f + 5000 * (x + 0.5) - (f - f % 3600000)) / 30000) as integer)))), ',') ticks from h")
+def timeline_rescale(spark: SparkSession, folder: str) -> DataFrame:
+    s = training.interval_summaries(events(spark, folder), 600_000)
+    hour = F.col("frame") - F.pmod("frame", F.lit(HOUR))
+    return s.select("source_id", "message_id", "frame", F.array_join(context.rescaled_ticks(F.col("ticks"), F.col("frame"), 600_000, hour, HOUR).cast("array<string>"), ",").alias("ticks"))
+
+
+@query(f"with {S} select message_id, count(*) k from s group by 1 having count(*) > 100")
+def drop_rare_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return hourly(spark, folder).groupBy("message_id").agg(F.count(F.lit(1)).alias("k")).where("k > 100")
+
+
+@query("select o_orderkey, count(*) over (partition by o_custkey order by o_totalprice desc, o_orderkey) place, o_totalprice from orders qualify place <= 5")
+def top5_per_key(spark: SparkSession, folder: str) -> DataFrame:
+    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, folder, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("place"), "o_totalprice").where("place <= 5")
+
+
+@query("select i.source_id, i.interval_serial, i.message_id, s.summary_id from (select distinct source_id, interval_serial, message_id from interval_messages) i left join message_summaries s on s.source_id = i.source_id and s.interval_serial = i.interval_serial and s.message_id = i.message_id")
+def intervals_with_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    i = table(spark, folder, "interval_messages").select("source_id", "interval_serial", "message_id").distinct()
+    return i.join(table(spark, folder, "message_summaries").select("source_id", "interval_serial", "message_id", "summary_id"), ["source_id", "interval_serial", "message_id"], "left")
+
+
+@query("with v as (select v.vec_id, l.label, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (cast(embedding[i] as double) - m[i]) * (cast(embedding[i] as double) - m[i]))) d from embeddings v join (select label, list(a order by i) m from (select label, i, avg(cast(embedding[i] as double)) a from embeddings, unnest(range(1, len(embedding) + 1)) u(i) group by 1, 2) group by 1) l on true) select vec_id, cast(arg_min(label, (d, label)) as integer) nearest, round(sqrt(min(d)), 4) distance from v group by 1")
+def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings").select("vec_id", "label", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("i", "x"))
+    means = v.groupBy("label", "i").agg(F.avg("x").alias("a")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("m"))
+    # The centroids are as many as labels: one array for all tasks.
+    table_of = means.agg(F.collect_list(F.struct("label", "m")).alias("c")).scalar()
+    rows = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("c", table_of)
+    square = lambda m: F.aggregate(F.zip_with("e", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("c", lambda k: F.struct(square(k["m"]).alias("d"), k["label"].alias("label"))))
+    return rows.withColumn("best", best).select("vec_id", F.col("best.label").cast("int").alias("nearest"), F.round(F.sqrt("best.d"), 4).alias("distance"))
+
+
+@query("select c_mktsegment, round(bround, 1) as rounded from (select c_mktsegment, round_even(sum(c_acctbal) / count(*), 1) bround from customer group by 1)")
+def round_half_even(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").groupBy("c_mktsegment").agg(F.bround(F.avg("c_acctbal"), 1).alias("rounded"))
+
+
+@query(f"with {E}, b as (select *, case when ms - lag(ms) over (partition by source_id order by ms) <= 1800000 then 0 else 1 end b from e), r as (select *, sum(b) over (partition by source_id order by ms) run from b), g as (select source_id, run, count(*) n, max(ms) - min(ms) span, count(distinct message_id) k from r group by 1, 2) select source_id, count(*) runs, round(avg(n), 6) mean_n, max(span) max_span, round(avg(k), 6) mean_ids from g group by 1")
+def message_stream_stats(spark: SparkSession, folder: str) -> DataFrame:
+    r = framing.runs(events(spark, folder), ["source_id"], "ms", 1_800_000).groupBy("source_id", "run").agg(F.count(F.lit(1)).alias("n"), (F.max("ms") - F.min("ms")).alias("span"), F.count_distinct("message_id").alias("k"))
+    return r.groupBy("source_id").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("n"), 6).alias("mean_n"), F.max("span").alias("max_span"), F.round(F.avg("k"), 6).alias("mean_ids"))
+
+
+@query("with p as (select lower(trim(source_id, ' \t\r\n')) s, interval_serial // 6 h, min(interval_serial) a, max(interval_serial) + 3 b from interval_messages group by 1, 2), o as (select *, max(b) over (partition by s order by a, b rows between unbounded preceding and 1 preceding) before from p) select s source_id, a low, b high from o where before > a")
+def overlapping_periods(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "interval_messages").groupBy(plain_id("source_id").alias("source_id"), F.floor(F.col("interval_serial") / 6).alias("h")).agg(F.min("interval_serial").alias("low"), (F.max("interval_serial") + 3).alias("high"))
+    return context.overlaps(p, "source_id", "low", "high").select("source_id", "low", "high")

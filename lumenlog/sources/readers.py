@@ -13,14 +13,16 @@ from lumenlog.operators.loglines import _head
 
 
 def log_files(spark: SparkSession, path: str, only_gzip: bool = False) -> DataFrame:
-    """(line, file, line_no) of text files; gzip is opened by its suffix. A file is one task's lines, as plain text files have no numbered splits.
+    """(line, file, line_no) of text files; gzip is opened by its suffix.
 
-    Lines are numbered by their place in the file: whole files are read in one split each (gzip can't be split anyway)."""
-    reader = spark.read.option("wholetext", False)
+    Large files are read in splits: lines are numbered within their split, plus the lines of the splits before."""
+    reader = spark.read
     if only_gzip:
         reader = reader.option("pathGlobFilter", "*.gz")
     lines = reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    return lines.select("line", "file", F.row_number().over(W.partitionBy("file").orderBy("block", "place")).cast("long").alias("line_no"))
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("file", "block", F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return lines.withColumn("k", F.row_number().over(W.partitionBy("file", "block").orderBy("place"))).join(offsets, ["file", "block"]).select("line", "file", (F.col("before") + F.col("k")).cast("long").alias("line_no"))
 
 
 def line_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
