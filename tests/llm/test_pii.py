@@ -20,7 +20,7 @@ def test_held_out_accuracy():
 def test_find_and_redact(spark):
     rows = [
         (1, "ticket 895140455 escalated, customer Yorunn Torvessen waits at +1 212 555 0192"), (2, "profile export: Steningham, Sofia | 1696 Hollowby St. | +49 30 23125 242 | sofia.steningham@corp.test"),
-        (3, "NINO QQ 65 83 43 C stored in /etc/ade.d/x.log"), (4, "git remote deploy@app01 answered in 12 ms"), (5, "Release Candidate 2.8.0 tagged on rack12"), (6, None), (7, ""), (8, "vpn login of Dr. Julia Lindvessen from 192.0.2.13 took 5 ms"),
+        (3, "NINO QQ 65 83 43 C stored in /etc/agent.d/x.log"), (4, "git remote deploy@app01 answered in 12 ms"), (5, "Release Candidate 2.8.0 tagged on rack12"), (6, None), (7, ""), (8, "vpn login of Dr. Julia Lindvessen from 192.0.2.13 took 5 ms"),
         (9, "x" * 100_000 + " mailto:andre54@post.invalid opened by agent 1.2.3"), (9, "mailto:andre54@post.invalid opened by agent 1.2.3"),
     ]
     names = spark.createDataFrame([("Sofia",), ("Julia",), (None,), ("Sofia",)], "name string")
