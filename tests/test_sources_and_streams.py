@@ -88,8 +88,7 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {(r["message_id"], r["start"]): r["n"] for r in spark.table("counts").collect()}
     want = {(r["message_id"], r["w"]["start"]): r["n"] for r in df.groupBy(F.window("ts", "10 minutes").alias("w"), "message_id").agg(F.count("*").alias("n")).collect()}
     assert got == want
-    q = windows.last_seen(stream).writeStream.outputMode("append").format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = windows.last_seen(stream).writeStream.outputMode("append").format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    assert q.awaitTermination(60)
     seen = spark.table("seen").collect()
     assert len(seen) == 20 and sum(r["status"] == "NEW" for r in seen) == 2 and {r["since_ms"] for r in seen} == {None, 840_000}
