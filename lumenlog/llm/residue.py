@@ -42,13 +42,13 @@ ERRORS = """
 Application error: a server-side exception has occurred (see the server log). Your session has expired. Please sign in again to continue. Too many requests. Your address 00.000.000.000 has been limited. Try again in 00 minutes. 429 Too Many Requests. Checking your browser before access. Request ID Reference Ray ID.
 Seite nicht gefunden. Die angeforderte Seite wurde nicht gefunden. Fehler 404. Zugriff verweigert. Sie sind nicht berechtigt, diese Seite zu öffnen. Der Dienst ist zurzeit nicht verfügbar. Bitte versuchen Sie es in 00 Minuten noch einmal. Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an. Interner Serverfehler. Zurück zur Startseite.
 Page introuvable. Erreur 404. La page demandée est introuvable. Accès refusé. Vous n'avez pas l'autorisation d'ouvrir cette page. Le service est momentanément indisponible. Réessayez dans 00 minutes. Votre session a expiré. Veuillez vous reconnecter. Erreur interne du serveur. Retour à l'accueil.
-Página no encontrada. Error 404. La página solicitada no existe. Acceso denegado. No tiene permiso para abrir esta página. El servicio no está disponible en este momento. Inténtelo de nuevo en 00 minutos. Su sesión ha caducado. Vuelva a iniciar sesión. Error interno del servidor. Volver al inicio. Referencia
+Página no encontrada. Error 404. La página solicitada no existe. Acceso denegado. No tiene permiso para abrir esta página. El servicio no está disponible en este momento. Inténtelo de nuevo en 00 minutos. Su sesión ha caducado. Vuelva a iniciar sesión. No se ha encontrado la página solicitada. Error 403. Error 500. Error 503. Error interno del servidor. Volver al inicio. Referencia
 """
 SCRIPTS = """
-Please enable JavaScript to view this page. JavaScript is disabled in your browser. You need to turn on scripts in your browser to continue. This app requires JavaScript. You need to enable JavaScript to run this app. Your browser does not run scripts or a blocker is active, so the content can't be displayed. Cookies and scripts must be allowed. Please turn off your ad blocker.
-Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen. Diese Anwendung benötigt JavaScript. Skripte sind in Ihrem Browser deaktiviert.
-Veuillez activer JavaScript pour afficher cette page. Cette application nécessite l'exécution de scripts.
-Active JavaScript para ver esta página. Esta aplicación necesita ejecutar scripts. Habilite JavaScript en su navegador.
+Please enable JavaScript to view this page. JavaScript is disabled in your browser. You need to turn on scripts in your browser to continue. This app requires JavaScript. Loading... You need to enable JavaScript to run this app. Your browser does not run scripts or a blocker is active, so the content can't be displayed. Cookies and scripts must be allowed. Please turn off your ad blocker.
+Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen. Diese Anwendung benötigt JavaScript. Skripte sind in Ihrem Browser deaktiviert. Diese Anwendung benötigt Skripte. Bitte Browsereinstellungen prüfen. Wird geladen…
+Veuillez activer JavaScript pour afficher cette page. Cette application nécessite l'exécution de scripts. Chargement…
+Active JavaScript para ver esta página. Esta aplicación necesita ejecutar scripts. Habilite JavaScript en su navegador. Esta aplicación necesita scripts. Cargando…
 """
 
 # Forms of blanks in templates.
