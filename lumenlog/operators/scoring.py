@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
@@ -60,3 +61,9 @@ def best_of_two(a: Column, b: Column) -> Column:
 def ordered(scorers: dict[str, set[str]]) -> list[str]:
     """Names of scorers so that each comes after those it depends on; a cycle is an error."""
     return list(TopologicalSorter(scorers).static_order())
+
+
+def count_thresholds(model: DataFrame, anomalies: tuple[float, ...] = (0.9, 0.99)) -> DataFrame:
+    """The number of messages from which an id's count is that anomalous, per anomaly: 1 - e^logProb = a where ln n lies sqrt(-2 ln(1 - a)) sigmas above the mean."""
+    sigma = F.greatest(F.lit(0.5), F.sqrt(F.greatest(F.col("mu"), F.lit(0.0))))
+    return model.select("message_id", *[F.ceil(F.exp(F.col("mu") + sigma * math.sqrt(-2 * math.log(1 - a)))).cast("long").alias(f"n_{round(a * 100)}") for a in anomalies])

@@ -504,3 +504,20 @@ def message_stream_stats(spark: SparkSession, folder: str) -> DataFrame:
 def overlapping_periods(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "interval_messages").groupBy(plain_id("source_id").alias("source_id"), F.floor(F.col("interval_serial") / 6).alias("h")).agg(F.min("interval_serial").alias("low"), (F.max("interval_serial") + 3).alias("high"))
     return context.overlaps(p, "source_id", "low", "high").select("source_id", "low", "high")
+
+
+@query(f"with {S}, {_MU} select message_id, cast(ceil(exp(mu + sigma * sqrt(-2 * ln(0.1)))) as bigint) n_90, cast(ceil(exp(mu + sigma * sqrt(-2 * ln(0.01)))) as bigint) n_99 from m")
+def count_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.count_thresholds(training.log_normal(hourly(spark, folder)))
+
+
+_OUT = "case when c.cluster is not null and k > 1 and k / size >= 0.3 then 0 else 1 end"
+
+
+@query(f"with {S}, {_CL}, x as (select s.message_id, {_OUT} o from (select s.*, c.cluster, count(c.cluster) over (partition by s.source_id, s.frame, c.cluster) k from s left join c using (message_id)) s left join c using (message_id) left join z on z.cluster = c.cluster) select message_id, count(*) seen, cast(sum(o) as bigint) seen_out, round((sum(o) + 0.5) / (n_intervals + 1), 9) out_probability from x, nn group by message_id, n_intervals")
+def bernoulli_out_of_context(spark: SparkSession, folder: str) -> DataFrame:
+    s = hourly(spark, folder).select("source_id", "frame", "message_id")
+    marked = context.context_status(s, _labels(s), s).withColumn("inside", F.col("status") == "IN_CONTEXT")
+    seen = marked.groupBy("message_id").agg(F.count(F.lit(1)).alias("seen"), F.sum(F.when(F.col("inside"), 0).otherwise(1)).alias("seen_out"))
+    got = training.bernoulli_full(marked, HOUR, "inside").select("message_id", F.round("out_probability", 9).alias("out_probability"))
+    return seen.join(got, "message_id")
