@@ -62,15 +62,24 @@ _SHOWN = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|(?m:^(?: {4,}|\t)[^\n]*)|\"[^\"
 
 def has_blank(text: str) -> bool:
     """Whether a template blank stands outside code and quotation."""
-    if not BLANKS.search(text):
+    if not any(c in text for c in ("{", "<%", "<<", "[", "%(", "__", "@@", "$")) or not BLANKS.search(text):
         return False
     return BLANKS.search(_SHOWN.sub(lambda m: " " * len(m[0]), text)) is not None
 
 
+#: Kinds of characters: 1 digits, 2 white space, 0 others; runs of digits or white space count as one.
+_KINDS = np.array([1 if chr(c).isdigit() else 2 if chr(c).isspace() else 0 for c in range(0x3002)], np.uint8)
+_KINDS[-1] = 0
+
+
 def _slots(text: str) -> np.ndarray:
     """Hash slots of the text's n-grams (digits as one, letter case and runs of white space dropped)."""
-    plain = re.sub(r"\s+", " ", re.sub(r"\d+", "0", text.lower()))
-    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KINDS[np.minimum(codes, len(_KINDS) - 1)]
+    codes = np.where(kind == 1, 48, np.where(kind == 2, 32, codes))
+    if len(codes):
+        codes = codes[np.concatenate([[True], (kind[1:] == 0) | (kind[1:] != kind[:-1])])]
+    codes = codes.astype(np.uint64)
     if len(codes) < N:
         codes = np.pad(codes, (0, N - len(codes)), constant_values=32)
     h = np.zeros(len(codes) - N + 1, np.uint64)
@@ -100,11 +109,11 @@ def corpus_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         every, filler = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         known = _seeded()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                slots = _slots(t)
-                np.add.at(every, slots, 1)
-                if _runs(slots, known):
-                    np.add.at(filler, slots, 1)
+            slots = [_slots(t) for t in b.column(0).to_pylist()]
+            every += np.bincount(np.concatenate(slots), minlength=SLOTS)
+            for s in slots:
+                if _runs(s, known):
+                    filler += np.bincount(s, minlength=SLOTS)
         at = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(filler[at])], names=["slot", "n", "f"])
 
@@ -142,11 +151,11 @@ def coverage(text: str, ratio: np.ndarray) -> float:
         return 0.0
     r = ratio[_slots(text)]
     w = min(WINDOW, len(r))
-    sums = np.convolve(r, np.ones(w, np.float32), "valid")
+    upto = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
+    at = np.flatnonzero(upto[w:] - upto[:-w] > 1e-9)
     hit = np.zeros(len(r) + 1, np.int32)
-    at = np.flatnonzero(sums > 0)
-    np.add.at(hit, at, 1)
-    np.add.at(hit, at + w, -1)
+    hit[at] += 1
+    hit[at + w] -= 1
     return float((np.cumsum(hit[:-1]) > 0).mean())
 
 
