@@ -15,8 +15,14 @@ def pieces_of(df: DataFrame, column: str, pieces: int = 256) -> DataFrame:
     sample = df.select(column).distinct().orderBy(F.xxhash64(column), column).limit(pieces * 8).select(F.collect_list(column).alias("s"))
     values = F.array_sort("s")
     cuts = sample.select(F.transform(F.sequence(F.lit(1), F.lit(pieces - 1)), lambda i: F.get(values, F.floor(i * F.size("s") / pieces).cast("int"))).alias("cuts"))
-    at = fresh(df, "cuts")
-    return df.withColumn(at, F.array_compact(cuts.scalar())).withColumn("piece", F.size(F.filter(at, lambda c: c <= F.col(column)))).drop(at)
+    step = max(1, int(pieces**0.5))
+    coarse = cuts.select("cuts", F.transform(F.sequence(F.lit(1), F.lit(pieces // step)), lambda i: F.get("cuts", i * step - 1)).alias("coarse"))
+    both = coarse.select(F.struct(F.array_compact("cuts").alias("cuts"), F.array_compact("coarse").alias("coarse")).alias("c")).scalar()
+    at, i = fresh(df, "cuts"), fresh(df, "coarse")
+    # First among every step-th cut, then among the few after it.
+    found = df.withColumn(at, both).withColumn(i, F.size(F.filter(F.col(at)["coarse"], lambda c: c <= F.col(column))) * step)
+    near = F.slice(F.col(at)["cuts"], F.col(i) + 1, F.lit(step - 1 if step > 1 else 0))
+    return found.withColumn("piece", F.col(i) + F.size(F.filter(near, lambda c: c <= F.col(column)))).drop(at, i)
 
 
 def running_sum(df: DataFrame, column: str, amount: str, out: str, pieces: int = 256) -> DataFrame:
