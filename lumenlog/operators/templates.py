@@ -76,35 +76,112 @@ def threshold(a: int, b: int, factor: float = 3.33, less: int = 2) -> int:
     return int(max(0.0, (min(a, b) - less) / factor) + 0.5)
 
 
-def message_ids(df: DataFrame, component: str, text: str, order: str, block_words: int = 3) -> DataFrame:
+class Representatives:
+    """Representatives of one component in the order of their use; ``find`` gives what a search through all of them would.
+
+    The words of a representative are cut into one part more than the edits allowed, so a text within the threshold holds at least one part
+    unchanged, shifted by no more words than the edits pay for. Only representatives that share such a part are compared (exact, nothing is lost)."""
+
+    def __init__(self) -> None:
+        self.words: list[list[str]] = []
+        self.distinct: list[set[str]] = []
+        self.used: list[int] = []
+        self.clock = 0
+        self.sizes: set[int] = set()
+        self.cuts: dict[int, list[tuple[int, int]]] = {}
+        self.parts: dict[tuple[str, ...], dict[tuple[int, int], list[int]]] = {}
+        self.room: dict[tuple[int, int], tuple[int, int] | None] = {}
+
+    def _touch(self, number: int) -> int:
+        self.clock += 1
+        self.used[number] = self.clock
+        return number
+
+    def add(self, words: list[str]) -> int:
+        m = len(words)
+        if m not in self.cuts:
+            k = min(threshold(m, m), max(0, m - 1)) + 1
+            self.cuts[m] = [(m * i // k, m * (i + 1) // k) for i in range(k)]
+            self.sizes |= {high - low for low, high in self.cuts[m]}
+        for low, high in self.cuts[m]:
+            self.parts.setdefault(tuple(words[low:high]), {}).setdefault((m, low), []).append(len(self.words))
+        self.words.append(words)
+        self.distinct.append(set(words))
+        self.used.append(0)
+        return self._touch(len(self.words) - 1)
+
+    def _shifts(self, n: int, m: int) -> tuple[int, int] | None:
+        """How far a part of a text of ``m`` words can lie to the left and right in one of ``n`` words; None where the lengths are too far apart."""
+        if (n, m) not in self.room:
+            most, more = threshold(n, m), n - m
+            spare = (most - abs(more)) // 2
+            self.room[n, m] = None if most < abs(more) else (min(0, more) - spare, max(0, more) + spare)
+        return self.room[n, m]
+
+    def find(self, words: list[str]) -> int | None:
+        """The most recently used representative within the threshold, now the first in order, or None."""
+        n, near = len(words), set()
+        for size in self.sizes:
+            for start in range(n - size + 1 if size else not n):
+                for (m, low), got in self.parts.get(tuple(words[start : start + size]), {}).items():
+                    if (room := self._shifts(n, m)) and room[0] <= start - low <= room[1]:
+                        near.update(got)
+        if not near:
+            return None
+        mine, bits = set(words), {}
+        for i, x in enumerate(words):
+            bits[x] = bits.get(x, 0) | 1 << i
+        for number in sorted(near, key=self.used.__getitem__, reverse=True):
+            other, has = self.words[number], self.distinct[number]
+            most = threshold(n, len(other))
+            # A word that only one of the two has costs an edit of its own.
+            if len(mine - has) <= most and len(has - mine) <= most and _edits(bits, n, other) <= most:
+                return self._touch(number)
+        return None
+
+
+def _edits(bits: dict[str, int], n: int, other: list[str]) -> int:
+    """Edits of whole words between ``other`` and a text of ``n`` words whose places are ``bits``; a row of the table at a time, as bits."""
+    if not n:
+        return len(other)
+    every, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, got = every, 0, n
+    for x in other:
+        eq = bits.get(x, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (every & ~(h | up)), up & h
+        if plus & last:
+            got += 1
+        elif minus & last:
+            got -= 1
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(v | plus)) & every, plus & v & every
+    return got
+
+
+def message_ids(df: DataFrame, component: str, text: str, order: str) -> DataFrame:
     """(component, text, message_id): texts within the threshold of a representative share its id.
 
-    Distinct texts of a component are grouped in blocks of similar length and the same first words, so that the ordered greedy
-    search (most recently used representative first) sees small groups. Ids are the component and the number of the first text's hash."""
-    blocked = df.where(f"`{text}` is not null").groupBy(component, text).agg(F.min(order).alias("first"))
-    w = F.split(F.col(text), r"\s+")
-    blocked = blocked.withColumn("block", F.concat_ws(" ", F.floor(F.log2(F.size(w) + 1)), F.regexp_replace(F.concat_ws(" ", F.slice(w, 1, block_words)), r"\d+", "0")))
+    The distinct texts of a component are searched in order, most recently used representative first, against all representatives of the component;
+    one that is close to none becomes a representative itself. Ids are the component and the running number of the representative.
+    A component is one task; null texts have no id, null components form one of their own."""
+    distinct = df.where(f"`{text}` is not null").groupBy(component, text).agg(F.min(order).alias("first"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first", text])
-        recent: list[tuple[list[str], int]] = []
-        ids = []
+        known, ids = Representatives(), []
         for t in pdf[text]:
             mine = [x for x, _ in words(t)]
-            for k, (other, number) in enumerate(recent):
-                most = threshold(len(mine), len(other))
-                if distance(mine, other, most) <= most:
-                    recent.insert(0, recent.pop(k))
-                    ids.append(number)
-                    break
-            else:
-                recent.insert(0, (mine, len(recent)))
-                ids.append(len(recent) - 1)
-        return pd.DataFrame({component: pdf[component], text: pdf[text], "block": pdf["block"], "number": ids})
+            number = known.find(mine)
+            ids.append(known.add(mine) if number is None else number)
+        return pd.DataFrame({component: pdf[component], text: pdf[text], "number": ids})
 
     kind = df.schema[component].dataType.simpleString()
-    got = blocked.groupBy(component, "block").applyInPandas(cluster, f"`{component}` {kind}, `{text}` string, block string, number int")
-    return got.select(component, text, F.concat_ws("_", F.col(component), F.lower(F.hex(F.xxhash64("block", "number")))).alias("message_id"))
+    # A fixed number of partitions: small as the texts are, they take long, so they must not be put together.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = distinct.repartition(parts, component).groupBy(component).applyInPandas(cluster, f"`{component}` {kind}, `{text}` string, number int")
+    return got.select(component, text, F.concat_ws("_", component, "number").alias("message_id"))
 
 
 def templates(df: DataFrame, key: str, text: str, order: str) -> DataFrame:

@@ -42,6 +42,29 @@ def test_ids_and_templates(spark):
     assert t == {"c": "disk a is * now today"}
 
 
+def test_ids_equal_a_search_through_all_representatives(spark):
+    r = random.Random(5)
+    names = [[f"w{r.randint(0, 30)}" for _ in range(r.choice([0, 1, 2, 3, 4, 6, 7, 8, 14, 15, 16, 31, 70]))] for _ in range(40)]
+    rows = []
+    for i in range(700):
+        x = list(r.choice(names))
+        for _ in range(r.randint(0, 2 + len(x) // 4)):
+            at = 0 if r.random() < 0.3 else r.randint(0, len(x))  # often the first word
+            x[at : at + r.randint(0, 1)] = [f"w{r.randint(0, 30)}"] * r.randint(0, 1)
+        rows.append((r.choice("cd"), " ".join(x), i))
+    rows += [("e", "alpha is full on node now today", 1), ("e", "omega is full on node now today", 2)]
+    want, seen = {}, {}
+    for c, t, _ in rows:
+        if (c, t) not in want:
+            recent = seen.setdefault(c, [])
+            k = next((k for k, (other, _) in enumerate(recent) if distance(t.split(), other, most := threshold(len(t.split()), len(other))) <= most), None)
+            recent.insert(0, (t.split(), len(recent)) if k is None else recent.pop(k))
+            want[c, t] = f"{c}_{recent[0][1]}"
+    got = message_ids(spark.createDataFrame(rows, "component string, text string, i long"), "component", "text", "i")
+    assert {(x["component"], x["text"]): x["message_id"] for x in got.collect()} == want
+    assert want["e", rows[-1][1]] == want["e", rows[-2][1]] and len(set(want.values())) < len(want) - 200
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("root@a.bc mail x.y@d.ef from 10.2.3.4 id DEADBEEF99 n 123456  end ",), (None,), ("",)], "t string")
     assert df.select(T.normalised(F.col("t"))).first()[0] == "%%%root@EMAIL%%% mail %%%EMAIL%%% from %%%IPV4%%% id %%%NUMBER%%% n %%%NUMBER%%% end"
