@@ -381,13 +381,13 @@ def timeline_base64(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def template_merge(spark: SparkSession, folder: str) -> DataFrame:
-    m = table(spark, folder, "messages").where("severity < 4").select(plain_id("message_id").alias("message_id"), T.normalised(F.col("text")).alias("text"), "instance_id")
+    m = table(spark, folder, "messages").select(plain_id("message_id").alias("message_id"), T.normalised(F.col("text")).alias("text"), "instance_id")
     return templates(m, "message_id", "text", "instance_id")
 
 
 @query()
 def word_levenshtein_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    m = table(spark, folder, "messages").where("severity < 4 and text is not null").select(T.component_or_none(F.col("component_id")).alias("component"), T.normalised(F.col("text")).alias("text"), "instance_id")
+    m = table(spark, folder, "messages").where("text is not null").select(T.component_or_none(F.col("component_id")).alias("component"), T.normalised(F.col("text")).alias("text"), "instance_id")
     return message_ids(m, "component", "text", "instance_id").groupBy("component", "message_id").agg(F.count(F.lit(1)).alias("n_texts"), F.min("text").alias("example"))
 
 

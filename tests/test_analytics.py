@@ -44,3 +44,13 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_texts_of_every_severity_take_part(spark, tmp_path):
+    rows = [(i, "m", "c", severity, f"pump {word} stopped in hall four today") for i, (severity, word) in enumerate([(1, "a"), (4, "b"), (None, "c"), (0, "d")])]
+    rows += [(9, "only_fatal", "d", 4, "quite another text"), (10, "only_null", "d", None, None)]
+    spark.createDataFrame(rows, "instance_id long, message_id string, component_id string, severity int, text string").write.parquet(str(tmp_path / "messages.parquet"))
+    got = {r["message_id"]: (r["n_texts"], r["template"]) for r in analytics.template_merge(spark, str(tmp_path)).collect()}
+    assert got == {"m": (4, "pump * stopped in hall four today"), "only_fatal": (1, "quite another text")}
+    ids = {r["component"]: r["n_texts"] for r in analytics.word_levenshtein_clusters(spark, str(tmp_path)).collect()}
+    assert ids == {"c": 4, "d": 1}
