@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +84,92 @@ def kept_clusters(labels: DataFrame, pairs: DataFrame, ratio: float = 0.5) -> Da
     mean = pairs.agg(F.avg("mi")).scalar()
     least = sizes.agg(F.min("info")).scalar()
     return sizes.withColumn("m", mean).withColumn("l", least).where(f"info >= m * {ratio} and info > l").select("cluster", "size", "info")
+
+
+def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centroid of each row (of equally near ones the first), and the squared distance."""
+    label, least = np.zeros(len(x), int), np.full(len(x), np.inf)
+    for k, c in enumerate(centroids):
+        d = ((x - c) ** 2).sum(1)
+        label[d < least] = k
+        least = np.minimum(least, d)
+    return label, least
+
+
+def kmeans(df: DataFrame, key: str, vector: str, k: int | None = None, runs: int = 10, most_iterations: int = 300, seed: int = 101) -> DataFrame:
+    """(key, cluster, distance, score): k-means of all rows by squared L2; the run of the least total cost (``score``), of equal ones the first.
+
+    ``k`` is the rounded root of the number of rows unless given, and never more than that number. Each run starts from k rows drawn by a seeded
+    hash of their keys and ends when no centroid moves or after ``most_iterations``; a cluster that loses all rows has its centroid at zero. All
+    runs share each pass over the rows; the driver holds k centroids a run. Rows without a vector are left out; null or non-finite elements and
+    vectors of different lengths are refused; an empty table gives no rows. ``distance`` is squared."""
+    spark = df.sparkSession
+    rows = df.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias(vector))
+    n = rows.count()
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, cluster int, distance double, score double"
+    if not n:
+        return spark.createDataFrame([], kind)
+    k = min(n, k or int(np.sqrt(n) + 0.5))
+
+    def matrix(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.array([np.asarray(v, float) for v in pdf[vector]])
+        if not np.isfinite(x).all():
+            raise ValueError("vectors with null or non-finite elements")
+        return x
+
+    def step(centroids: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+        """The means of the rows nearest to each centroid and the total cost, by run."""
+        sent = spark.sparkContext.broadcast(centroids)
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = {r: (np.zeros_like(c), np.zeros(len(c), int), np.zeros(len(c))) for r, c in sent.value.items()}
+            for pdf in batches:
+                if len(pdf):
+                    x = matrix(pdf)
+                    for r, (total, count, cost) in sums.items():
+                        label, d = nearest(x, sent.value[r])
+                        np.add.at(total, label, x)
+                        np.add.at(count, label, 1)
+                        np.add.at(cost, label, d)
+            part = TaskContext.get().partitionId()
+            for r, (total, count, cost) in sums.items():
+                at = np.flatnonzero(count)
+                yield pd.DataFrame({"run": r, "cluster": at, "part": part, "n": count[at], "cost": cost[at], "total": list(total[at])})
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            # In the order of the partitions, so that equal assignments give equal means to the last bit.
+            pdf = pdf.sort_values("part")
+            mean = np.sum(np.stack(pdf["total"].to_list()), axis=0) / pdf["n"].sum()
+            return pd.DataFrame({"run": [pdf["run"].iloc[0]], "cluster": [pdf["cluster"].iloc[0]], "cost": [pdf["cost"].sum()], "mean": [mean]})
+
+        parts = rows.mapInPandas(partial, "run int, cluster int, part int, n long, cost double, total array<double>")
+        got = {r: [np.zeros_like(c), 0.0] for r, c in centroids.items()}
+        for x in sorted(parts.groupBy("run", "cluster").applyInPandas(whole, "run int, cluster int, cost double, mean array<double>").collect()):
+            got[x["run"]][0][x["cluster"]] = x["mean"]
+            got[x["run"]][1] += x["cost"]
+        sent.destroy()
+        return {r: (c, cost) for r, (c, cost) in got.items()}
+
+    moving = {}
+    for r in range(runs):
+        drawn = rows.select(F.xxhash64(F.lit(seed + r), key).alias("h"), key, vector).orderBy("h", key, vector).limit(k).collect()
+        moving[r] = np.array([x[vector] for x in drawn], float)
+    ended: dict[int, tuple[float, np.ndarray]] = {}
+    for i in range(most_iterations):
+        for r, (new, cost) in step(moving).items():
+            if i == most_iterations - 1 or (new == moving[r]).all():
+                ended[r] = (cost, moving.pop(r))
+            else:
+                moving[r] = new
+        if not moving:
+            break
+    score, centroids = ended[min(ended, key=lambda r: (ended[r][0], r))]
+    sent = spark.sparkContext.broadcast(centroids)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                label, d = nearest(matrix(pdf), sent.value)
+                yield pd.DataFrame({key: pdf[key], "cluster": label, "distance": d, "score": score})
+
+    return rows.mapInPandas(assign, kind)

@@ -489,6 +489,11 @@ def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("best", best).select("vec_id", F.col("best.label").cast("int").alias("nearest"), F.round(F.sqrt("best.d"), 4).alias("distance"))
 
 
+@query()
+def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.kmeans(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
 @query("select c_mktsegment, round(bround, 1) as rounded from (select c_mktsegment, round_even(sum(c_acctbal) / count(*), 1) bround from customer group by 1)")
 def round_half_even(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").groupBy("c_mktsegment").agg(F.bround(F.avg("c_acctbal"), 1).alias("rounded"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlog.functions import text as T
-from lumenlog.operators.clusters import information_clusters, n_clusters, partition, score
+from lumenlog.operators.clusters import information_clusters, kmeans, n_clusters, partition, score
 from lumenlog.operators.context import repeated
 from lumenlog.operators.ordering import running_sum
 from lumenlog.operators.templates import distance, message_ids, template, templates, threshold
@@ -104,3 +104,24 @@ def test_information_clusters(spark):
     m = np.random.default_rng(1).random((9, 9))
     best, labels = partition(m + m.T, 3, 5)
     assert abs(best - score(m + m.T, labels, 1.0)) < 1e-9
+
+
+def test_kmeans(spark):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    x = np.concatenate([g.normal(c, 0.3, (20, 2)) for c in ((0, 0), (9, 0), (0, 9))])
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + [(99, None)], "i long, v array<double>").repartition(3, "i")
+    got = {r["i"]: r for r in kmeans(df, "i", "v", k=3).collect()}
+    assert set(got) == set(range(60)) and len({r["cluster"] for r in got.values()}) == 3
+    assert all(len({got[i]["cluster"] for i in range(b, b + 20)}) == 1 for b in (0, 20, 40))
+    means = [x[b : b + 20].mean(0) for b in (0, 20, 40)]
+    assert abs(got[0]["score"] - sum(((x[i] - means[i // 20]) ** 2).sum() for i in range(60))) < 1e-9
+    labels = {r["i"]: r for r in kmeans(df, "i", "v").collect()}
+    of = np.array([labels[i]["cluster"] for i in range(60)])
+    assert 3 < len(set(of)) <= 8  # the root of 60
+    for i in range(60):  # nobody is nearer to the mean of another cluster
+        d = {c: ((x[i] - x[of == c].mean(0)) ** 2).sum() for c in set(of)}
+        assert min(d, key=d.get) == of[i] and abs(d[of[i]] - labels[i]["distance"]) < 1e-9
+    assert labels[0]["score"] <= kmeans(df, "i", "v", runs=1).first()["score"] < got[0]["score"]
+    assert kmeans(df.limit(0), "i", "v").count() == 0
