@@ -8,7 +8,7 @@ from graphlib import TopologicalSorter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.operators.training import bernoulli_full, log_normal, log_normal_log_prob, n_intervals, percentile_table
+from lumenlog.operators.training import bernoulli_full, log_normal, log_normal_log_prob, n_intervals, percentile_table, rarity_bucket
 
 HUGE = 1001.0
 
@@ -20,6 +20,17 @@ def rarity_scores(summaries: DataFrame, model: DataFrame, intervals: Column) ->
     return got.withColumn("rarity", F.coalesce("known", -F.log(unseen / (1 - unseen)))).drop("known")
 
 
+def bucket_rarity_scores(summaries: DataFrame, model: DataFrame, intervals: Column, most: int = 16) -> DataFrame:
+    """``summaries`` with prob, normalised, bernoulli, full and main from the histogram of ``training.rarity`` with the same ``most``.
+
+    prob is that of the bucket of n, normalised by the id's likeliest bucket; main is 1 - normalised * bernoulli. An id that training never saw has only main."""
+    per = model.groupBy("message_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "prob"))).alias("probs"), F.max("prob").alias("likeliest"), F.sum("count").alias("seen"))
+    got = summaries.join(per, "message_id", "left").withColumn("prob", F.element_at("probs", rarity_bucket(F.col("n"), most)))
+    got = got.withColumn("normalised", F.col("prob") / F.col("likeliest")).withColumn("bernoulli", (F.col("seen") + 0.5) / (intervals + 1))
+    main = F.when(F.col("seen").isNull(), 1 - 0.5 / (intervals + 1)).otherwise(1 - F.col("normalised") * F.col("bernoulli"))
+    return got.withColumn("full", 1 - F.col("prob") * F.col("bernoulli")).withColumn("main", main).drop("probs", "likeliest", "seen")
+
+
 def count_scores(df: DataFrame, model: DataFrame) -> DataFrame:
     """log_prob of the number of messages by the log-normal model; 0 for unseen ids and bad fits."""
     got = df.join(model.select("message_id", "mu", "bad_fit"), "message_id", "left")

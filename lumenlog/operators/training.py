@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.functions.text import critical_score
 from lumenlog.operators.framing import frame_start, previous
 from lumenlog.operators.ordering import running_sum
 
@@ -18,6 +19,15 @@ def interval_summaries(df: DataFrame, length: int) -> DataFrame:
     return df.groupBy("source_id", frame.alias("frame"), "message_id").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("first_ms"), F.array_sort(F.collect_set(tick)).alias("ticks"))
 
 
+def text_samples(df: DataFrame, length: int) -> DataFrame:
+    """(source_id, frame, message_id, sample, score): the first text, replaced by any later one of a strictly higher critical-word score.
+
+    Order is by ms, then instance_id; null texts are passed over, and a group of none but those has a null sample and score."""
+    score = F.when(F.col("text").isNotNull(), critical_score(F.col("text")).cast("long"))
+    place = F.when(score.isNotNull(), F.struct(score, -F.col("ms"), -F.col("instance_id")))
+    return df.groupBy("source_id", frame_start(F.col("ms"), length).alias("frame"), "message_id").agg(F.max_by("text", place).alias("sample"), F.max(score).alias("score"))
+
+
 def n_intervals(summaries: DataFrame, length: int) -> DataFrame:
     """One row: intervals of the dense grid, empty ones included."""
     return summaries.groupBy("source_id").agg(((F.max("frame") - F.min("frame")) / length + 1).cast("long").alias("k")).agg(F.sum("k").alias("n_intervals"))
@@ -71,10 +81,13 @@ def poisson_log_prob(n: Column, rate: Column) -> Column:
     return n * F.log(rate) - rate - log_factorial(n)
 
 
+def rarity_bucket(n: Column, most: int = 16) -> Column:
+    return F.least(F.lit(most), F.floor(F.log2(n) + 1e-12)).cast("int")
+
+
 def rarity(summaries: DataFrame, length: int, most: int = 16) -> DataFrame:
     """Histogram of log2 n in 17 buckets with 0.5 added: (message_id, bucket, count, prob)."""
-    bucket = F.least(F.lit(most), F.floor(F.log2("n") + 1e-12)).cast("int")
-    have = summaries.groupBy("message_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+    have = summaries.groupBy("message_id", rarity_bucket(F.col("n"), most).alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
     ids = have.groupBy("message_id").agg(F.sum("count").alias("total"))
     grid = ids.select("message_id", "total", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("bucket"))
     full = grid.join(have, ["message_id", "bucket"], "left").withColumn("count", F.coalesce("count", F.lit(0)))

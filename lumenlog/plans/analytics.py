@@ -172,6 +172,13 @@ def percentile_table_1000(spark: SparkSession, folder: str) -> DataFrame:
     return training.percentile_table(table(spark, folder, "events").select("value"), "value").withColumn("value", F.round("value", 9))
 
 
+@query(f'with {S}, h as (select message_id, least(16, floor(log2(n) + 1e-12)) bucket, count(*) c from s group by 1, 2), i as (select message_id, sum(c) total, max(c) likeliest from h group by 1) select source_id, frame, s.message_id, round((c + 0.5) / (likeliest + 0.5), 9) normalised, round(1 - (c + 0.5) / (total + 8.5) * (total + 0.5) / (n_intervals + 1), 9) as "full", round(1 - (c + 0.5) / (likeliest + 0.5) * (total + 0.5) / (n_intervals + 1), 9) main from s join h on h.message_id = s.message_id and h.bucket = least(16, floor(log2(s.n) + 1e-12)) join i on i.message_id = s.message_id, nn')
+def bucket_rarity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    s = hourly(spark, folder)
+    got = scoring.bucket_rarity_scores(s.withColumn("all_n", training.n_intervals(s, HOUR).scalar()), training.rarity(s, HOUR), F.col("all_n"))
+    return got.select("source_id", "frame", "message_id", *[F.round(c, 9).alias(c) for c in ("normalised", "full", "main")])
+
+
 _SCORES = f"{S}, {_MU}, c as (select message_id, count(*) c from s group by 1), x as (select s.source_id, s.frame, s.message_id, s.n, -ln((c + 0.5) / (n_intervals + 0.5 - c)) rarity, case when ln(s.n) <= mu or (ln(max_n) > mu and power((ln(max_n) - mu) / sigma, 2) / 2 >= 15) then 0.0 else power((ln(s.n) - mu) / sigma, 2) / 2 end count_score from s join m on m.message_id = s.message_id join c on c.message_id = s.message_id, nn)"
 
 
@@ -286,6 +293,12 @@ def critical_word_score(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "message_summaries").select("summary_id", T.critical_score(F.col("text_summary")).cast("long").alias("score"))
 
 
+@query(rf"with m as (select nullif(lower(trim(source_id, ' \t\r\n')), '') source_id, nullif(lower(trim(message_id, ' \t\r\n')), '') message_id, epoch_us(ts) // 1000 ms, instance_id, text, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: list_contains([{_CRIT}], w))) score from messages) select source_id, ms - ms % 3600000 frame, message_id, arg_max(text, (score, -ms, -instance_id)) filter (text is not null) sample, max(score) score from m group by 1, 2, 3".replace(r"\t\r\n", "\t\r\n"))
+def text_samples(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "messages").select(plain_id("source_id").alias("source_id"), plain_id("message_id").alias("message_id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ms"), "instance_id", "text")
+    return training.text_samples(m, HOUR)
+
+
 def _normalise_sql() -> str:
     x = "text"
     for pattern, value in T.REPLACEMENTS:

@@ -54,3 +54,23 @@ def test_texts_of_every_severity_take_part(spark, tmp_path):
     assert got == {"m": (4, "pump * stopped in hall four today"), "only_fatal": (1, "quite another text")}
     ids = {r["component"]: r["n_texts"] for r in analytics.word_levenshtein_clusters(spark, str(tmp_path)).collect()}
     assert ids == {"c": 4, "d": 1}
+
+
+def test_text_sample_is_the_first_of_the_most_critical(spark):
+    from lumenlog.operators import training
+
+    rows = [("m", 5, 1, "calm"), ("m", 9, 2, "fatal abort b"), ("m", 8, 4, "abort fatal a"), ("m", 3, 3, None), ("n", 2, 1, "late"), ("n", 1, 2, "early"), ("o", 1, 1, None)]
+    df = spark.createDataFrame([("s", *r) for r in rows], "source_id string, message_id string, ms long, instance_id long, text string")
+    got = {r["message_id"]: (r["sample"], r["score"]) for r in training.text_samples(df, 3_600_000).collect()}
+    assert got == {"m": ("abort fatal a", 2), "n": ("early", 0), "o": (None, None)}
+
+
+def test_bucket_rarity_of_seen_and_unseen_ids(spark):
+    from pyspark.sql import functions as F
+
+    from lumenlog.operators import scoring, training
+
+    seen = spark.createDataFrame([("s", k, "m", n) for k, n in enumerate([1, 1, 1, 4])], "source_id string, frame long, message_id string, n long")
+    new = spark.createDataFrame([("m", 1), ("m", 5), ("m", 2), ("x", 1)], "message_id string, n long")
+    got = {(r["message_id"], r["n"]): r["main"] for r in scoring.bucket_rarity_scores(new, training.rarity(seen, 1), F.lit(4)).collect()}
+    assert got == pytest.approx({("m", 1): 1 - 4.5 / 5, ("m", 5): 1 - 1.5 / 3.5 * 4.5 / 5, ("m", 2): 1 - 0.5 / 3.5 * 4.5 / 5, ("x", 1): 1 - 0.5 / 5})
