@@ -125,3 +125,21 @@ def test_kmeans(spark):
         assert min(d, key=d.get) == of[i] and abs(d[of[i]] - labels[i]["distance"]) < 1e-9
     assert labels[0]["score"] <= kmeans(df, "i", "v", runs=1).first()["score"] < got[0]["score"]
     assert kmeans(df.limit(0), "i", "v").count() == 0
+
+
+@pytest.mark.parametrize("n,k", [(50, 7), (600, 24)])
+def test_partition_ends_where_no_move_helps(n, k):
+    import numpy as np
+
+    g = np.random.default_rng(n)
+    group = g.integers(0, k, n)
+    m = np.where(group[:, None] == group, 0.6, 0.1) + g.random((n, n)) * 0.1
+    m = m + m.T
+    best, labels = partition(m, k, 1, 0.1)
+    assert len(set(labels)) == k
+    for i in g.choice(n, 8, replace=False):
+        for c in range(k):
+            if (labels == labels[i]).sum() > 1:
+                other = labels.copy()
+                other[i] = c
+                assert score(m, other, 0.1) <= best + 1e-9
