@@ -179,10 +179,10 @@ def features(toks: list[tuple[str, str, int, int]]) -> list[list[str]]:
 
 
 def skips(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, int]]:
-    """Pairs of tokens that share potentials: each token and the next of the same spelling, and a word and an address that holds it."""
+    """Pairs of tokens that share potentials: each token and the next of the same spelling, and a word and every address that holds it."""
     last: dict[str, int] = {}
     found = []
-    mails = [i for i, t in enumerate(toks) if t[0] == "email"]
+    mails = [(i, _plain(t[1].split("@")[0])) for i, t in enumerate(toks) if t[0] == "email"]
     for i, t in enumerate(toks):
         if t[0] in _WORDY or t[0] in _NUMBERS or t[0] == "email" or t[0] == "streetword":
             if t[1] in last:
@@ -191,7 +191,7 @@ def skips(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, int]]:
             if t[0] in ("given", "cap", "upper") and mails:
                 plain = _plain(t[1])
                 if len(plain) > 3:
-                    found += [(i, m) for m in mails[:1] if plain in _plain(toks[m][1].split("@")[0])]
+                    found += [(i, m) for m, local in mails if plain in local]
     return found
 
 

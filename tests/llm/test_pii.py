@@ -1,6 +1,6 @@
 import random
 
-from lumenlog.llm.pii import Model, _plain, find_mentions, mentions, redact
+from lumenlog.llm.pii import Model, _plain, find_mentions, mentions, redact, skips
 from lumenlog.llm.pii_train import GIVEN, sentence
 
 GIVEN_SET = frozenset(_plain(g) for g in GIVEN)
@@ -31,3 +31,8 @@ def test_find_and_redact(spark):
     text = {r["i"]: r["redacted"] for r in redact(df, "text", names).collect()}
     assert text[2] == "profile export: [name] | [street_address] | [phone] | [email]" and text[6] is None and text[7] == "" and text[4] == rows[3][1]
     assert find_mentions(df.limit(0), "i", "text", names).count() == 0 and find_mentions(df, "i", "text").count() > 5
+
+
+def test_words_are_tied_to_every_address_that_holds_them():
+    toks = [(shape, text, 0, 0) for shape, text in [("email", "first.person@a.example"), ("email", "maria.koch@b.example"), ("email", "koch.office@c.example"), ("cap", "Maria"), ("cap", "Koch"), ("cap", "Person"), ("cap", "Other")]]
+    assert sorted(skips(toks)) == [(3, 1), (4, 1), (4, 2), (5, 0)]
