@@ -72,6 +72,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "raw_records").select("record_no", "record"), MESSAGE_EXPORT).where("reason is not null").select("record_no", "reason")
 
 
+def p7_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that can't be loaded, with the reason and the first broken field (null where what follows the last field is wrong)."""
+    return judged(table(spark, folder, "raw_records").select("record_no", "record"), MESSAGE_EXPORT).where("reason is not null").select("record_no", "reason", "broken")
+
+
 def p7_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The good records as typed rows."""
     return judged(table(spark, folder, "raw_records"), MESSAGE_EXPORT).where("reason is null").select("record_no", "row.*")
@@ -88,5 +93,5 @@ j as (select record_no, case when not quoted then 'quoting' when not wide then '
 select record_no, reason from j where reason is not null
 """
 
-QUERIES = {"p1_found": p1_found, "p3_key_results": p3_key_results, "p6_found": p6_found, "p6_entries": p6_entries, "p7_found": p7_found, "p7_loaded": p7_loaded}
+QUERIES = {"p1_found": p1_found, "p3_key_results": p3_key_results, "p6_found": p6_found, "p6_entries": p6_entries, "p7_found": p7_found, "p7_broken": p7_broken, "p7_loaded": p7_loaded}
 SQL = {"p3_key_results": P3_SQL, "p7_found": P7_SQL}

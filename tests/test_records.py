@@ -81,3 +81,12 @@ def test_nulls_clashes_empty(spark):
     got = judged(df, MESSAGE_EXPORT)
     assert got.columns == ["record", "reason", "broken", "row"] and got.collect()[0]["reason"] == "columns"
     assert judged(df.limit(0), MESSAGE_EXPORT).count() == 0
+
+
+def test_broken_fields_come_out_of_a_query(spark, tmp_path):
+    from lumenlog.plans import problems
+
+    bad = [GOOD.replace(",1,1,", ",5,1,"), GOOD.replace("10-15", "02-30"), GOOD.replace("text", 'te"xt'), "s1,2025-10-15 00:24:53", GOOD + ",more"]
+    spark.createDataFrame(list(enumerate([*bad, GOOD])), "record_no long, record string").write.parquet(str(tmp_path / "raw_records.parquet"))
+    got = {r["record_no"]: (r["reason"], r["broken"]) for r in problems.QUERIES["p7_broken"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("value", "severity"), 1: ("value", "ts"), 2: ("quoting", "text"), 3: ("columns", "message_id"), 4: ("columns", None)}
