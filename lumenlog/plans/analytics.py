@@ -274,6 +274,19 @@ def set_difference(spark: SparkSession, folder: str) -> DataFrame:
     return relational.set_changes(a, b, "message_id", "c")
 
 
+@query(f"""with {E}, d as (select source_id, message_id, ms - ms % 86400000 d, count(*) c from e group by 1, 2, 3), l as (select min(d) low, max(d) high from d), a as (select source_id, message_id, d + 86400000 d, c from d, l where d < high), b as (select source_id, message_id, d, c from d, l where d > low)
+select coalesce(a.source_id, b.source_id) source_id, coalesce(a.message_id, b.message_id) message_id, coalesce(a.d, b.d) as day, case when a.c is null then 'add' when b.c is null then 'delete' else 'update' end change from a full join b on a.source_id = b.source_id and a.message_id = b.message_id and a.d = b.d where a.c is distinct from b.c""")
+def set_difference_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """What changes in the messages of every source from each day to the next, named by the later one."""
+    day = F.col("ms") - F.pmod("ms", F.lit(24 * HOUR))
+    d = events(spark, folder).groupBy("source_id", "message_id", day.alias("day")).agg(F.count(F.lit(1)).alias("c"))
+    ends = d.agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    keyed = lambda at: F.struct("source_id", "message_id", at.alias("day")).alias("key")
+    old = d.where(F.col("day") < ends.select("high").scalar()).select(keyed(F.col("day") + 24 * HOUR), "c")
+    new = d.where(F.col("day") > ends.select("low").scalar()).select(keyed(F.col("day")), "c")
+    return relational.set_changes(old, new, "key", "c").select("key.source_id", "key.message_id", "key.day", "change")
+
+
 @query(f"with {E} select message_id, array_to_string(list_sort(list_distinct(list(cast((ms % 3600000) * 120 // 3600000 as integer)))), ',') ticks from e group by 1")
 def set_union(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).groupBy("message_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ticks")))).cast("array<string>"), ",").alias("ticks"))

@@ -74,3 +74,9 @@ def test_bucket_rarity_of_seen_and_unseen_ids(spark):
     new = spark.createDataFrame([("m", 1), ("m", 5), ("m", 2), ("x", 1)], "message_id string, n long")
     got = {(r["message_id"], r["n"]): r["main"] for r in scoring.bucket_rarity_scores(new, training.rarity(seen, 1), F.lit(4)).collect()}
     assert got == pytest.approx({("m", 1): 1 - 4.5 / 5, ("m", 5): 1 - 1.5 / 3.5 * 4.5 / 5, ("m", 2): 1 - 0.5 / 3.5 * 4.5 / 5, ("x", 1): 1 - 0.5 / 5})
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+def test_differences_of_all_sources(spark):
+    got = analytics.set_difference_by_day(spark, FOLDER).collect()
+    assert len({r["source_id"] for r in got}) == 15 and {r["change"] for r in got} >= {"add", "delete"}
