@@ -38,9 +38,9 @@ LAYOUTS = {
     "syslog mark": rf"(?:<P:\d{{1,3}}>)?<S:{_MONTH_DAY} \d\d:\d\d:\d\d> \S+ <M:-- MARK -- ?>",
     "syslog 3164": rf"(?:<P:\d{{1,3}}>)?<S:{_MONTH_DAY} \d\d:\d\d:\d\d> \S+ <C:[^\s:\[\]]+>(?:\[[^\]\s]*\])?:(?: <M:.*>)?",
     "syslog free": rf"(?:<P:\d{{1,3}}>)?<S:{_MONTH_DAY} \d\d:\d\d:\d\d> \S+(?: <M:.*>)?",
-    "bracketed": rf"\[<S:[A-Z][a-z]{{2}} {_MONTH_DAY} \d\d:\d\d:\d\d(?:\.\d+)? \d{{4}}>\] \[(?:<C:[^\]:]*>:)?<L:\w+>\](?: \[pid [^\]]*\])?(?: <M:.*>)?",
+    "bracketed": rf"\[<S:[A-Z][a-z]{{2}} {_MONTH_DAY} \d\d:\d\d:\d\d(?:\.\d+)? \d{{4}}>\] \[(?:<C:[^\]:\n]*>:)?<L:\w+>\](?: \[pid [^\]]*\])?(?: <M:.*>)?",
     "threaded": r"<S:\d{4}-\d\d-\d\d \d\d:\d\d:\d\d[,.]\d{1,9}> \[[^\]]*\] +<L:[A-Za-z]+> +<C:\S+> -(?: <M:.*>)?",
-    "piped": r"<S:\d{4}\.\d\d\.\d\d \d\d:\d\d:\d\d(?:[.,]\d+)?> \| *<L:[A-Za-z]+> *\| *<C:[^|]*?> *\|(?: <M:.*>)?",
+    "piped": r"<S:\d{4}\.\d\d\.\d\d \d\d:\d\d:\d\d(?:[.,]\d+)?> \| *<L:[A-Za-z]+> *\| *<C:[^|\n]*?> *\|(?: <M:.*>)?",
     "short": r"<S:\d\d/\d\d/\d\d \d\d:\d\d:\d\d> +<L:[A-Za-z]+> +<C:[^\s:]+>:(?: <M:.*>)?",
     "lettered": r"<L:[A-Z]><S:\d{4} \d\d:\d\d:\d\d\.\d{1,9}> +\d+ <C:[^\s:\]]+>:\d+\](?: <M:.*>)?",
 }
@@ -51,7 +51,9 @@ _FIELDS = "SPLCM"
 
 
 def _compiled() -> tuple[str, str]:
-    """The cascade as one anchored alternation with named groups, and the replacement that writes the fields, separated by U+0001."""
+    """The cascade as one anchored alternation with named groups, and the replacement that writes the fields, a line feed before each.
+
+    No field but the message, which comes last, can hold a line feed, so a split into six pieces gives the fields back whatever a line holds."""
     numbers: dict[str, list[int]] = {c: [] for c in _FIELDS}
     branches = []
     for i, layout in enumerate(LAYOUTS.values()):
@@ -63,7 +65,7 @@ def _compiled() -> tuple[str, str]:
             pattern += layout[at : m.start()] + f"(?<{m[1]}{i}>{layout[m.end() : end]})"
             at = end + 1
         branches.append(pattern + layout[at:])
-    return rf"(?s)\A(?:{'|'.join(branches)})\z", "\u0001".join("".join(f"${n}" for n in numbers[c]) for c in _FIELDS)
+    return rf"(?s)\A(?:{'|'.join(branches)})\z", "".join("\n" + "".join(f"${n}" for n in numbers[c]) for c in _FIELDS)
 
 
 CASCADE, REPLACEMENT = _compiled()
@@ -99,9 +101,12 @@ def _bare(value: Column) -> Column:
 
 
 def _head(line: Column) -> Column:
-    """Struct (stamp, severity, component, message) of a head, null for another line."""
-    parts = F.split(F.regexp_replace(line, CASCADE, REPLACEMENT), "\u0001", -1)
-    text = F.transform(F.array(parts), lambda p: F.struct(p[0].alias("stamp"), _severity(p[2], p[1]).alias("severity"), p[3].alias("component"), p[4].alias("message")))[0]
+    """Struct (stamp, severity, component, message) of a head, null for another line.
+
+    A line that begins like a head but fits no layout to its end is another line: the cascade leaves it as it is, without the line feed in front."""
+    parts = F.split(F.regexp_replace(line, CASCADE, REPLACEMENT), "\n", len(_FIELDS) + 1)
+    field = lambda p, i: F.get(p, F.lit(i))
+    text = F.transform(F.array(parts), lambda p: F.when(field(p, 0) == "", F.struct(field(p, 1).alias("stamp"), _severity(field(p, 3), field(p, 2)).alias("severity"), field(p, 4).alias("component"), field(p, 5).alias("message"))))[0]
     keyed = F.transform(
         F.array(line),
         lambda x: F.struct(_bare(_keyed(x, STAMP_KEYS)).alias("stamp"), _severity(_bare(_keyed(x, LEVEL_KEYS)), F.lit("")).alias("severity"), _bare(_keyed(x, COMPONENT_KEYS)).alias("component"), _bare(_keyed(x, MESSAGE_KEYS)).alias("message")),
@@ -109,7 +114,7 @@ def _head(line: Column) -> Column:
     names = [*STAMP_KEYS, *LEVEL_KEYS, *COMPONENT_KEYS, *MESSAGE_KEYS]
     schema = ", ".join(f"`{n}` string" for n in names)
     first = lambda o, keys: F.coalesce(*[o[k] for k in keys], F.lit(""))
-    json = F.transform(F.array(F.from_json(line, schema)), lambda o: F.struct(first(o, STAMP_KEYS).alias("stamp"), _severity(first(o, LEVEL_KEYS), F.lit("")).alias("severity"), first(o, COMPONENT_KEYS).alias("component"), first(o, MESSAGE_KEYS).alias("message")))[0]
+    json = F.transform(F.array(F.from_json(line, schema)), lambda o: F.when(first(o, STAMP_KEYS) != "", F.struct(first(o, STAMP_KEYS).alias("stamp"), _severity(first(o, LEVEL_KEYS), F.lit("")).alias("severity"), first(o, COMPONENT_KEYS).alias("component"), first(o, MESSAGE_KEYS).alias("message"))))[0]
     return F.when(line.rlike(HEAD), text).when(line.rlike(KEYED), keyed).when(line.rlike(rf"(?s){JSON}"), json)
 
 
@@ -130,8 +135,8 @@ def entry_heads(df: DataFrame, block_lines: int = 8192) -> DataFrame:
     """One row per entry of (line, file, line_no): file, line_no and n_lines, stamp, severity, component, msg_chars.
 
     ``msg_chars`` counts the message after the head with each further line preceded by a line feed; the texts of
-    further lines never leave their task, only their lengths. Empty lines are further lines like any other; a
-    null line counts as empty; rows without file or line_no are left out; extra columns are ignored. Lines
+    further lines never leave their task, only their lengths. Empty lines and lines that only begin like a head (or are broken
+    JSON) are further lines like any other; a null line counts as empty; rows without file or line_no are left out; extra columns are ignored. Lines
     stored twice under one number count twice; of two heads under one number the greater counts.
     """
     lines = df.where("file is not null and line_no is not null").select("file", "line_no", F.coalesce("line", F.lit("")).alias("line"))

@@ -2,13 +2,14 @@ r"""Delimited records: good rows out, bad ones with the reason.
 
 A schema is compiled into one anchored regex for whole rows: a record that it matches is good. Only
 failures go through patterns of growing field prefixes (one field, two fields, ...), first of the
-structure (quoting), then of the values; the first that does not match names the broken field. All of it is
-JVM regexes. Quantifiers are possessive: Java then matches them in a loop, so that texts of any length
+structure (quoting, columns), then of the values; the first that does not match names the broken field and gives the
+reason. All of it is JVM regexes. Quantifiers are possessive: Java then matches them in a loop, so that texts of any length
 neither backtrack nor overflow the stack.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +52,10 @@ def _field(f: Field) -> str:
     """The field as written, quoted or not, with a value that the column allows."""
     if f.value is None:
         return _ANY
-    # A lookahead ends the value where the field ends; a value with a quote or comma in it is allowed only inside quotes.
-    return rf'(?:"(?:{f.value.replace("[^", "[^" + chr(34))})"(?=,|\z)|(?:{f.value.replace("[^", "[^" + chr(34) + ",")})(?=,|\z))' if "[^" in f.value else rf'(?:"(?:{f.value})"|(?:{f.value})(?=,|\z))'
+    # Inside quotes a class of excluded characters may also be a doubled quote, outside it is neither quote nor comma; a lookahead ends the value where the field ends.
+    inside = re.sub(r"\[\^([^\]]*)\]", r'(?:[^"\1]|"")', f.value)
+    outside = f.value.replace("[^", '[^",')
+    return rf'(?:"(?:{inside})"(?=,|\z)|(?:{outside})(?=,|\z))'
 
 
 def row_pattern(schema: tuple[Field, ...]) -> str:
@@ -60,43 +63,43 @@ def row_pattern(schema: tuple[Field, ...]) -> str:
     return rf"(?s)\A{','.join(_field(f) for f in schema)}\z"
 
 
-def prefix_patterns(schema: tuple[Field, ...]) -> list[str]:
-    """Patterns of the first field, the first two fields, and so on, each ending at a comma or the record's end."""
-    parts = [_field(f) for f in schema]
-    return [rf"(?s)\A{','.join(parts[: i + 1])}(?=,|\z)" for i in range(len(parts))]
+def _prefix(parts: list[str], end: str) -> str:
+    return rf"(?s)\A{','.join(parts)}{end}"
 
 
-def reason(record: Column, schema: tuple[Field, ...]) -> Column:
-    """Null for a good record, else 'quoting', 'columns' or 'value', the first that applies; a null record is 'columns'."""
-    structure = rf"(?s)\A{_ANY}(?:,{_ANY})*+\z"
-    columns = rf"(?s)\A{_ANY}(?:,{_ANY}){{{len(schema) - 1}}}\z"
-    return (
-        F.when(record.isNull(), F.lit("columns"))
-        .when(record.rlike(row_pattern(schema)), F.lit(None).cast("string"))
-        .when(~record.rlike(structure), F.lit("quoting"))
-        .when(~record.rlike(columns), F.lit("columns"))
-        .otherwise(F.lit("value"))
-    )
-
+def diagnosis(record: Column, schema: tuple[Field, ...]) -> Column:
+    """Struct (reason, broken) of a record that is not null: both null for a good one.
 
-def broken_field(record: Column, schema: tuple[Field, ...]) -> Column:
-    """Name of the first field whose prefix pattern does not match; null where all match (then what follows them is wrong)."""
-    found = F.lit(None).cast("string")
-    for f, pattern in reversed(list(zip(schema, prefix_patterns(schema), strict=True))):
-        found = F.when(record.rlike(pattern), found).otherwise(F.lit(f.name))
-    return found
+    A bad record goes through patterns of growing prefixes, first of the fields as they are written: the first prefix that does not end at a comma
+    or the record's end names the broken field, which is missing where the prefix before is the whole record ('columns'), else wrongly quoted
+    ('quoting'). What follows the last field is 'quoting' or 'columns' with no field named. Then the prefixes of valid values: the first that does
+    not match names the field of a wrong 'value'."""
+    n, end = len(schema), r"(?=,|\z)"
+    found = lambda why, name: F.struct(F.lit(why).cast("string").alias("reason"), F.lit(name).cast("string").alias("broken"))
+    steps = [(record.rlike(row_pattern(schema)), found(None, None))]
+    for i, f in enumerate(schema):
+        missing = record.rlike(_prefix([_ANY] * i, r"\z")) if i else F.lit(False)
+        steps.append((~record.rlike(_prefix([_ANY] * (i + 1), end)), F.when(missing, found("columns", f.name)).otherwise(found("quoting", f.name))))
+    steps.append((~record.rlike(_prefix([_ANY] * n, rf"(?:,{_ANY})*+\z")), found("quoting", None)))
+    steps.append((~record.rlike(_prefix([_ANY] * n, r"\z")), found("columns", None)))
+    values = [_field(f) for f in schema]
+    steps += [(~record.rlike(_prefix(values[: i + 1], end)), found("value", f.name)) for i, f in enumerate(schema) if f.value is not None]
+    got = found("value", None)
+    for condition, result in reversed(steps):
+        got = F.when(condition, result).otherwise(got)
+    return got
 
 
 def fields(record: Column, schema: tuple[Field, ...]) -> Column:
-    """A struct of the good record's fields, unquoted and typed: one regex replacement cuts all fields."""
-    n = len(schema)
-    cut = F.split(F.regexp_replace(record, rf"(?s)\A{','.join([f'({_ANY})'] * n)}\z", "\u0001".join(f"${i + 1}" for i in range(n))), "\u0001", -1)
+    """A struct of the good record's fields, unquoted and typed: one extraction steps from comma to comma, so a field may hold any characters."""
+    cut = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_ANY})"), F.lit(1))
 
-    def one(i: int) -> Column:
-        raw = F.get(cut, F.lit(i))
-        return F.when(raw.startswith('"'), F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+    def one(parts: Column, i: int, f: Field) -> Column:
+        raw = F.get(parts, F.lit(i))
+        plain = F.when(raw.startswith('"'), F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+        return (plain if f.cast == "string" else plain.try_cast(f.cast)).alias(f.name)
 
-    return F.struct(*[one(i).try_cast(f.cast).alias(f.name) if f.cast != "string" else one(i).alias(f.name) for i, f in enumerate(schema)])
+    return F.get(F.transform(F.array(cut), lambda parts: F.struct(*[one(parts, i, f) for i, f in enumerate(schema)])), F.lit(0))
 
 
 def judged(df: DataFrame, schema: tuple[Field, ...], record: str = "record") -> DataFrame:
@@ -108,9 +111,10 @@ def judged(df: DataFrame, schema: tuple[Field, ...], record: str = "record") ->
     r = F.col(f"`{record}`")
     why = fresh(df, "why")
     keep = [c for c in df.columns if c.lower() not in ("reason", "broken", "row")]
-    return df.withColumn(why, reason(r, schema)).select(
+    absent = F.struct(F.lit("columns").alias("reason"), F.lit(schema[0].name).alias("broken"))
+    return df.withColumn(why, F.when(r.isNull(), absent).otherwise(diagnosis(r, schema))).select(
         *[F.col(f"`{c}`") for c in keep],
-        F.col(why).alias("reason"),
-        F.when(F.col(why).isNotNull(), broken_field(r, schema)).alias("broken"),
-        F.when(F.col(why).isNull(), fields(r, schema)).alias("row"),
+        F.col(f"{why}.reason").alias("reason"),
+        F.col(f"{why}.broken").alias("broken"),
+        F.when(F.col(f"{why}.reason").isNull(), fields(r, schema)).alias("row"),
     )

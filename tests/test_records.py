@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenlog.operators.records import MESSAGE_EXPORT, judged
+from lumenlog.operators.records import MESSAGE_EXPORT, Field, judged
 
 
 def verdict(record):
@@ -52,7 +52,7 @@ FIXED = [
     GOOD, GOOD.replace("text", '"a ""quoted"" text, with\ncommas"'), GOOD.replace("text", ""), GOOD.replace("text", '""'), '"s1","2025-10-15 00:24:53","m","c","0","12","x"', "", ",,,,,,", GOOD + ",more", GOOD + '"', GOOD.replace("text", 'te"xt'),
     GOOD.replace("text", '"open'), GOOD.replace("text", '"shut" x'), GOOD.replace(",1,1,", ",5,1,"), GOOD.replace(",1,1,", ",1,0,"), GOOD.replace(",1,1,", ",1,007,"), GOOD.replace(",1,1,", ",1,-3,"), GOOD.replace(",1,1,", ",1,1.0,"), GOOD.replace("10-15", "02-29"),
     GOOD.replace("2025-10-15", "2024-02-29"), GOOD.replace("2025-10-15", "1900-02-29"), GOOD.replace("2025-10-15", "2000-02-29"), GOOD.replace("00:24", "24:00"), GOOD.replace("s1", "s 1"), GOOD.replace("s1", "s" * 200), GOOD.replace("s1", "s" * 201), GOOD.replace("s1", "s 1"), GOOD.replace("s1", '"s,1"'), GOOD.replace("text", "x" * 300_000), GOOD.replace("text", '"' + '""x' * 60_000 + '"'),
-    ";".join(GOOD.split(",")), "\n" + GOOD, GOOD + "\n", GOOD.replace("2025", "٢025"),
+    ";".join(GOOD.split(",")), "\n" + GOOD, GOOD + "\n", GOOD.replace("2025", "٢025"), '"s""1"' + GOOD[2:], '"s,"""' + GOOD[2:],
 ]
 
 
@@ -76,6 +76,20 @@ def test_against_the_rules(spark, records):
     assert [(r, got[i]["reason"]) for i, r in enumerate(records) if got[i]["reason"] != verdict(r)] == []
 
 
+def test_fields_hold_any_character(spark):
+    """Every control character, in quoted and plain fields, comes out as it went in."""
+    odd = [chr(c) for c in [*range(1, 32), 127, 0x85, 0xA0, 0x2028, 0xFFFD] if chr(c) not in ",\""]
+    records = [f's1,2024-01-01 00:00:00,m{c}x,"c{c},{c}",2,3,hello{c}world' for c in odd]
+    got = _judge(spark, records)
+    assert [got[i]["reason"] for i in range(len(odd))] == [None] * len(odd)
+    assert [(r["message_id"], r["component_id"], r["severity"], r["cnt"], r["text"]) for r in (got[i]["row"] for i in range(len(odd)))] == [(f"m{c}x", f"c{c},{c}", 2, 3, f"hello{c}world") for c in odd]
+
+
+def test_empty_first_field(spark):
+    df = spark.createDataFrame([(",b",), ('"",""',)], "record string")
+    assert [tuple(r["row"]) for r in judged(df, (Field("a"), Field("b"))).collect()] == [("", "b"), ("", "")]
+
+
 def test_nulls_clashes_empty(spark):
     df = spark.createDataFrame([(None, "x", 1)], "record string, reason string, row int")
     got = judged(df, MESSAGE_EXPORT)
