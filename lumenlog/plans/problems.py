@@ -83,15 +83,17 @@ def p7_loaded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ANY = r'(?:"(?:[^"]|"")*"|[^",]*)'
-P7_SQL = rf"""
-with r as (select record_no, record, regexp_matches(record, '(?s)\A{_ANY}(?:,{_ANY})*\z') quoted, regexp_matches(record, '(?s)\A{_ANY}(?:,{_ANY}){{6}}\z') wide from raw_records),
-s as (select record_no, quoted, wide, case when wide then regexp_extract(record, '(?s)\A({_ANY}),({_ANY}),({_ANY}),({_ANY}),({_ANY}),({_ANY}),({_ANY})\z', ['a', 'b', 'c', 'd', 'e', 'f', 'g']) end x from r),
-v as (select record_no, quoted, wide, {", ".join(f"case when x.{c} like chr(34) || '%' then replace(x.{c}[2:-2], chr(34) || chr(34), chr(34)) else x.{c} end {c}" for c in "abef")} from s),
-j as (select record_no, case when not quoted then 'quoting' when not wide then 'columns'
+_CELLS = "abcdefg"
+_JUDGED = rf"""
+with r as (select record_no, file, record, regexp_matches(record, '(?s)\A{_ANY}(?:,{_ANY})*\z') quoted, regexp_matches(record, '(?s)\A{_ANY}(?:,{_ANY}){{6}}\z') wide from raw_records),
+s as (select record_no, quoted, wide, case when wide then regexp_extract(record, '(?s)\A{",".join([f"({_ANY})"] * 7)}\z', ['a', 'b', 'c', 'd', 'e', 'f', 'g']) end x from r),
+v as (select record_no, quoted, wide, {", ".join(f"case when x.{c} like chr(34) || '%' then replace(x.{c}[2:-2], chr(34) || chr(34), chr(34)) else x.{c} end {c}" for c in _CELLS)} from s),
+j as (select *, case when not quoted then 'quoting' when not wide then 'columns'
   when not regexp_matches(a, '\A[^ \t\r\n\f\v]{{1,200}}\z') or not regexp_matches(b, '\A[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\z') or try_strptime(b, '%Y-%m-%d %H:%M:%S') is null
     or not regexp_matches(e, '\A[0-4]\z') or not regexp_matches(f, '\A0*[1-9][0-9]*\z') then 'value' end reason from v)
-select record_no, reason from j where reason is not null
 """
+P7_SQL = _JUDGED + "select record_no, reason from j where reason is not null"
+P7_LOADED_SQL = _JUDGED + "select record_no, a source_id, b ts, c message_id, d component_id, cast(e as integer) severity, cast(f as bigint) cnt, g as text from j where reason is null"
 
 QUERIES = {"p1_found": p1_found, "p3_key_results": p3_key_results, "p6_found": p6_found, "p6_entries": p6_entries, "p7_found": p7_found, "p7_broken": p7_broken, "p7_loaded": p7_loaded}
-SQL = {"p3_key_results": P3_SQL, "p7_found": P7_SQL}
+SQL = {"p3_key_results": P3_SQL, "p7_found": P7_SQL, "p7_loaded": P7_LOADED_SQL}
