@@ -1,13 +1,15 @@
 """Byte-level BPE with a public vocabulary, in Spark's higher-order functions.
 
 Texts are split by the vocabulary's pattern (one JVM regex); words of the same spelling have the same ids. Over the
-whole corpus the words are counted (combined before the shuffle), the distinct words are encoded by a fold over their
-bytes, and the ``table_words`` most frequent ones become a literal table that every task looks words up in. A word
-outside that table is folded in place, so no text waits for a join or a shuffle, whatever the number of distinct words.
+whole corpus the words are counted (combined before the shuffle) and kept, and every distinct word is encoded once, by a fold over
+its bytes. The most frequent words, at most ``table_words``, become a literal table that every task looks words up in: texts that
+hold only those are done where they lie. The other texts get the ids of their rarer words by a join on the word, of which none is
+frequent, so no key is hot; what is shuffled is each text's distinct rarer words, then those texts.
 
 The fold: a word is an array of hexadecimal byte pieces and an array of the ranks of neighbouring pieces put together
 (null: no token). Each step merges the first pair of least rank and looks up the ranks of the two new pairs.
-Ranks come from a literal map, cut by checksum into buckets, as a look-up in Spark's maps is a search.
+Ranks come from a literal map, cut by checksum into buckets, as a look-up in Spark's maps is a search. A fold of n bytes takes
+n² steps, so distinct words of more than LONG bytes (blobs without a break) are merged by the same ranks with a heap.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import functools
 import heapq
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.llm.shared import checkpointed
 from lumenlog.sources.tables import fresh
 
 #: Folder of the public vocabularies.
@@ -31,7 +34,7 @@ TOKENIZERS = "/opt/tokenizers"
 #: The vocabulary's split pattern; (?U) makes \s the Unicode white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 1 << 15
-#: Words with more characters than this are merged with a heap instead, which takes n log n steps instead of n².
+#: Distinct words of more bytes than this are merged with a heap, which takes n log n steps instead of n².
 LONG = 512
 
 
@@ -58,9 +61,13 @@ def _given(table: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(table), body), F.lit(0))
 
 
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
 def _found(table: Column, key: Column) -> Column:
     """The key's entry, or null."""
-    return F.try_element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
+    return F.try_element_at(F.get(table, _bucket(key)), key)
 
 
 @functools.lru_cache(maxsize=4)
@@ -105,19 +112,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def _is_long(text: Column) -> Column:
-    return text.rlike(rf"(?U)\S{{{LONG}}}|\s{{{LONG}}}")
-
-
-def word_table(df: DataFrame, text: str, table_words: int, name: str, folder: str) -> dict[str, list[int]]:
-    """Ids of the ``table_words`` most frequent words of all texts; the bound keeps it fit for a literal."""
-    rank_table = _literal(df.sparkSession, _rank_json(name, folder), "int")
-    counted = df.where(~_is_long(F.col(text))).select(F.explode(words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), "w").limit(table_words)
-    got = top.repartition(max(8, table_words // 2048)).withColumn("ranks", rank_table).select("w", _given(F.col("ranks"), lambda t: fold(F.col("w"), t)).alias("ids")).toArrow()
-    return dict(zip(got["w"].to_pylist(), got["ids"].to_pylist(), strict=True))
-
-
 def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
     """Ids of one word by a heap of ranked neighbours, for words of any length."""
     n = len(word)
@@ -141,29 +135,85 @@ def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
     return [table[p] for p in piece if p]
 
 
+def counted_words(df: DataFrame, text: str) -> DataFrame:
+    """(w, n) of every distinct word of all texts, kept outside the lineage."""
+    return checkpointed(df.select(F.explode(words(F.col(f"`{text}`"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+
+#: Eighths of powers of two: words with about equal counts are in or out of the table together.
+_LEVEL = "cast(floor(log2(n) * 8) as int)"
+
+
+def _cut(counted: DataFrame, table_words: int) -> tuple[int, int, int]:
+    """(level of count from which words are in the table, number of those words, number of the others); at most 512 levels come to the driver."""
+    levels = sorted(((r["level"], r["k"]) for r in counted.groupBy(F.expr(_LEVEL).alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    total, inside, cut = sum(k for _, k in levels), 0, 1 << 20
+    for level, k in levels:
+        if inside + k > table_words:
+            break
+        inside, cut = inside + k, level
+    return cut, inside, total - inside
+
+
+def word_values(counted: DataFrame, parts: int, value: Callable[[Column], Column], name: str, folder: str) -> DataFrame:
+    """(w, v): ``value`` of the ids of every word, each encoded once."""
+
+    def heaped(texts: pa.Array) -> pa.Array:
+        table = ranks(name, folder) if texts.null_count < len(texts) else {}
+        return pa.array([None if t is None else merged(t.encode(), table) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    w = F.col("w")
+    # A given number of partitions: words are small, but take long.
+    spread = counted.select("w").repartition(parts).withColumn("ranks", _literal(counted.sparkSession, _rank_json(name, folder), "int"))
+    short = F.octet_length(w) <= LONG
+    ids = F.when(short, _given(F.col("ranks"), lambda t: fold(w, t))).otherwise(F.arrow_udf(heaped, "array<int>")(F.when(~short, w)))
+    return spread.select("w", value(ids).alias("v"))
+
+
+def _table(values: DataFrame) -> Column:
+    """A literal array of BUCKETS maps from word to value, by the checksum of the word; made by a scalar subquery of one row."""
+    filled = values.groupBy(_bucket(F.col("w")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
+    every = values.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    return every.join(filled, "b", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"]), lambda x: x["m"]).alias("t")).scalar()
+
+
+def _by_word(df: DataFrame, text: str, out: str, value: Callable[[Column], Column], combined: Callable[[Column], Column], table_words: int, name: str, folder: str) -> DataFrame:
+    """``df`` with ``out``: ``combined`` of the values of the text's words in order."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    counted = counted_words(df, text)
+    cut, inside, outside = _cut(counted, table_words)
+    table = _table(word_values(counted.where(f"{_LEVEL} >= {cut}"), max(8, inside // 2048), value, name, folder))
+    known, made, own, row = (fresh(df, x) for x in ("known", "made", "own", "row"))
+    every = df.withColumn(known, table)
+    looked = lambda t: F.transform(words(body), lambda w: _found(t, w))
+    # explode drops the texts whose array is null, and makes the values once.
+    whole = lambda t: _given(looked(t), lambda v: F.when(~F.exists(v, lambda x: x.isNull()), F.array(combined(v))))
+    usual = every.select(*keep, F.explode(_given(F.col(known), whole)).alias(out))
+    if not outside:
+        return usual
+    missing = lambda t: _given(F.array_distinct(F.filter(words(body), lambda w: _found(t, w).isNull())), lambda m: F.when(F.size(m) > 0, F.array(m)))
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind]
+    rest = every.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias(row), F.explode(_given(F.col(known), missing)).alias(made))
+    rare = word_values(counted.where(f"{_LEVEL} < {cut}"), max(8, outside // 4096), value, name, folder)
+    pairs = rest.select(row, F.explode(made).alias("w")).distinct()
+    found = pairs.join(rare, "w").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias(own))
+    both = lambda t: F.transform(words(body), lambda w: F.coalesce(_found(t, w), F.try_element_at(F.col(own), w)))
+    return usual.unionByName(rest.drop(made).join(found, row).select(*keep, _given(F.col(known), lambda t: combined(both(t))).alias(out)))
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", table_words: int = 32_768, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``df`` with ``out``: the text's ids, without special tokens (their strings are ordinary text).
 
     Null and empty texts give an empty list. Texts are taken whole. An existing column ``out`` is replaced;
     rows are neither dropped nor doubled, and other columns pass through.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
-    body = F.col(f"`{text}`")
-    spark = df.sparkSession
-    table = _literal(spark, word_table(df.select(body.alias("text")), "text", table_words, name, folder), "array<int>")
-    rank_table = _literal(spark, _rank_json(name, folder), "int")
-    k, r = fresh(df, "known"), fresh(df, "ranks")
-    ids = _given(F.col(k), lambda known: _given(F.col(r), lambda ranked: F.flatten(F.transform(words(body), lambda w: F.coalesce(_found(known, w), fold(w, ranked))))))
-    usual = df.where(~F.coalesce(_is_long(body), F.lit(False))).withColumn(k, table).withColumn(r, rank_table).select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias(out))
-
-    def heaped(texts: pa.Array) -> pa.Array:
-        import regex
+    return _by_word(df, text, out, lambda ids: ids, lambda v: F.coalesce(F.flatten(v), F.array().cast("array<int>")), table_words, name, folder)
 
-        split, table = regex.compile(PATTERN.removeprefix("(?U)")), ranks(name, folder)
-        return pa.array([[i for w in split.findall(t) for i in merged(w.encode(), table)] for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    rest = df.where(F.coalesce(_is_long(body), F.lit(False))).select(*keep, F.arrow_udf(heaped, "array<int>")(body).alias(out))
-    return usual.unionByName(rest)
+def token_counts(df: DataFrame, text: str = "text", out: str = "tokens", table_words: int = 32_768, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """Like encode, with the number of ids instead of the ids: only a number per word is looked up and added."""
+    return _by_word(df, text, out, lambda ids: F.size(ids), lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x), table_words, name, folder)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

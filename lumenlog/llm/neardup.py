@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.packing import checkpointed
+from lumenlog.llm.shared import checkpointed
 
 #: Slots of the table of hashed word counts: its size is fixed, whatever the corpus.
 SLOTS = 1 << 18

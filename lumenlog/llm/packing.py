@@ -1,13 +1,13 @@
 """Packing of items of whole sizes into containers of a fixed capacity.
 
 Harmonic packing: an item of more than capacity/(k+1) and at most capacity/k belongs to class k, and k items of a class
-fill a container, so containers of a class take a fixed number of items and are filled independently of each
-other. Alone that leaves the rest of each container (nearly half of it in class 1) empty. Here that rest has
-classes too: containers with the same room left take a fixed number of the largest smaller items that fit, and so on. As sizes
-are whole numbers, the plan needs only the number of items of every size (at most capacity + 1 numbers); it names,
-for every size, ranges of item numbers with the first container and the fixed count per container. Items are numbered
-within hash chunks of a size plus the chunks' offsets, so no task sees all items of a size, and each
-item finds its container by arithmetic.
+fill a container. So containers of a class take a fixed number of items, whichever they are, and workers fill them independently
+of each other: an item's number in its class, divided by k, is its container. Alone that leaves the rest of each container (nearly
+half of it in class 1) empty. A finisher uses that rest: before the items of a class get containers of their own, they take the room that
+larger classes left over, containers with the same room a fixed number of items of one size. As sizes are whole numbers, the
+plan of both needs only the number of items of every size (at most capacity + 1 numbers); it names, for every size, ranges of
+item numbers with the first container and the fixed count per container. Items are numbered within hash chunks of a size plus
+the chunks' offsets, so no task sees all items of a size, and each item finds its container by arithmetic.
 
 An item larger than a container is cut into full pieces and a rest; other items are never cut.
 """
@@ -15,76 +15,100 @@ An item larger than a container is cut into full pieces and a rest; other items
 from __future__ import annotations
 
 import bisect
-import tempfile
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlog.llm.shared import checkpointed
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+Range = tuple[int, int, int, int, int, int]
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(size, first item, end item, first container, items per container) for all ranges, and the number of containers.
+class _Rooms:
+    """Ranges of containers by the room left in them."""
 
-    Sizes go from large to small. Items first take the containers with the least room that fits, as many in each as fit; what is
-    left opens containers with capacity // size items each.
-    """
-    ranges: list[tuple[int, int, int, int, int]] = []
-    room: dict[int, list[tuple[int, int]]] = {capacity: []}
-    rooms: list[int] = []  # sorted keys of room
-    containers = 0
-
-    def put(left: int, low: int, high: int) -> None:
-        if high > low:
-            if left not in room or not room[left]:
-                room[left] = []
-                bisect.insort(rooms, left)
-            room[left].append((low, high))
-
-    for size in sorted((s for s in counts if s > 0), reverse=True):
-        n, at = counts[size], 0
-        touched: list[tuple[int, int, int]] = []
-        i = bisect.bisect_left(rooms, size)
-        while at < n and i < len(rooms):
-            left = rooms[i]
+    def __init__(self) -> None:
+        self.ranges: dict[int, list[tuple[int, int]]] = {}
+        self.sizes: list[int] = []  # sorted keys of ranges
+
+    def put(self, left: int, low: int, high: int) -> None:
+        if high > low and left > 0:
+            if left not in self.ranges:
+                self.ranges[left] = []
+                bisect.insort(self.sizes, left)
+            self.ranges[left].append((low, high))
+
+    def take(self, size: int, n: int) -> list[Range]:
+        """Puts up to ``n`` items of a size, numbered from 0, into the containers with the least room that fits, as many in each as fit."""
+        made: list[Range] = []
+        left_over: list[tuple[int, int, int]] = []
+        at, i = 0, bisect.bisect_left(self.sizes, size)
+        while at < n and i < len(self.sizes):
+            left = self.sizes[i]
             each = left // size
-            while room[left] and at < n:
-                low, high = room[left].pop()
+            ranges = self.ranges[left]
+            while ranges and at < n:
+                low, high = ranges.pop()
                 whole = min(high - low, (n - at) // each)
                 if whole:
-                    ranges.append((size, at, at + whole * each, low, each))
-                    touched.append((left - each * size, low, low + whole))
+                    made.append((size, at, at + whole * each, low, each, 0))
+                    left_over.append((left - each * size, low, low + whole))
                     at, low = at + whole * each, low + whole
                 if low < high and at < n:  # fewer than ``each`` items are left
-                    ranges.append((size, at, n, low, each))
-                    touched.append((left - (n - at) * size, low, low + 1))
+                    made.append((size, at, n, low, each, 0))
+                    left_over.append((left - (n - at) * size, low, low + 1))
                     at, low = n, low + 1
                 if low < high:
-                    room[left].append((low, high))
-            if room[left]:
+                    ranges.append((low, high))
+            if ranges:
                 i += 1
             else:
-                rooms.pop(i)
-        if at < n:
-            each = capacity // size
-            full, rest = divmod(n - at, each)
-            ranges.append((size, at, n, containers, each))
-            touched.append((capacity - each * size, containers, containers + full))
-            if rest:
-                touched.append((capacity - rest * size, containers + full, containers + full + 1))
-            containers += full + bool(rest)
-        for t in touched:
-            put(*t)
+                del self.ranges[self.sizes.pop(i)]
+        for room in left_over:
+            self.put(*room)
+        return made
+
+
+def plan(counts: dict[int, int], capacity: int) -> tuple[list[Range], int]:
+    """(size, first item, end item, first container, items per container, shift) for all ranges, and the number of containers.
+
+    Item i of a range lies in container first + (i - first item + shift) // items per container. Classes go from large items to small.
+    """
+    ranges: list[Range] = []
+    rooms, containers = _Rooms(), 0
+    for k, sizes in groupby(sorted((s for s in counts if s > 0), reverse=True), lambda s: capacity // s):
+        own: list[tuple[int, int]] = []
+        for size in sizes:
+            finished = rooms.take(size, counts[size])
+            ranges += finished
+            own.append((size, finished[-1][2] if finished else 0))
+        # Containers of the class: k items each, in the order of their sizes.
+        place, load, opened = 0, 0, []
+        for size, at in own:
+            n = counts[size] - at
+            if not n:
+                continue
+            ranges.append((size, at, counts[size], containers, k, place))
+            begun = min(n, -place % k)
+            load += begun * size
+            if begun and not (place + begun) % k:
+                opened.append((capacity - load, (place + begun) // k - 1, (place + begun) // k))
+                load = 0
+            whole = (n - begun) // k
+            first = (place + begun) // k
+            opened.append((capacity - k * size, first, first + whole))
+            load += (n - begun - whole * k) * size
+            place += n
+        if place % k:
+            opened.append((capacity - load, place // k, place // k + 1))
+        for left, low, high in opened:
+            rooms.put(left, containers + low, containers + high)
+        containers += -(-place // k)
     if counts.get(0):  # items of size 0 take no room: spread evenly
         containers = max(containers, 1)
-        ranges.append((0, 0, counts[0], 0, -(-counts[0] // containers)))
+        ranges.append((0, 0, counts[0], 0, -(-counts[0] // containers), 0))
     return ranges, containers
 
 
@@ -108,7 +132,7 @@ def pack(df: DataFrame, ident: str, size: str, capacity: int, chunk_items: int =
     before = by_chunk.withColumn("offset", F.coalesce(F.sum("n").over(W.partitionBy("size").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     numbered = items.withColumn("place", F.row_number().over(W.partitionBy("size", "chunk").orderBy("id", "piece")) - 1).join(before, ["size", "chunk"])
     numbered = numbered.withColumn("number", F.col("place") + F.col("offset"))
-    table = df.sparkSession.createDataFrame(ranges or [(-1, 0, 0, 0, 1)], "size int, low long, high long, first long, each long")
+    table = df.sparkSession.createDataFrame(ranges or [(-1, 0, 0, 0, 1, 0)], "size int, low long, high long, first long, each long, shift long")
     # The plan has a few rows per size, whatever the number of items.
     placed = numbered.join(F.broadcast(table), "size").where("number >= low and number < high")
-    return placed.select(F.col("id").alias(ident), "piece", "size", F.expr("first + (number - low) div each").alias("container"))
+    return placed.select(F.col("id").alias(ident), "piece", "size", F.expr("first + (number - low + shift) div each").alias("container"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.ids import plain_id
-from lumenlog.llm.bpe import decode, encode
+from lumenlog.llm.bpe import decode, encode, token_counts
 from lumenlog.llm.neardup import groups, similar_records
 from lumenlog.llm.packing import pack
 from lumenlog.llm.pii import find_mentions, redact
@@ -67,7 +67,7 @@ def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, or of every piece of one longer than a container: 2,048 tokens of byte_bpe_50k."""
-    sizes = encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.size("ids").alias("tokens"))
+    sizes = token_counts(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "tokens")
     return pack(sizes, "doc_id", "tokens", 2048).select("container", "doc_id", "piece", F.col("size").alias("tokens"))
 
 

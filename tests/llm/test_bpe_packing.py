@@ -1,8 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenlog.llm.bpe import LONG, decode, encode
+from lumenlog.llm.bpe import LONG, decode, encode, token_counts
 from lumenlog.llm.packing import pack, plan
 
 TEXTS = [
@@ -15,13 +16,15 @@ def test_ids_equal_the_library_and_decode(spark):
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
     df = spark.createDataFrame([*enumerate(TEXTS), (0, None)], "doc_id long, text string").selectExpr("*", "1 as ids", "'x' as known")
-    for words in (32_768, 3):  # a table of 3 words: nearly all are folded in place
+    for words in (32_768, 3):  # a table of 3 words: nearly all come by the join
         got = encode(df, table_words=words)
         assert got.columns == ["doc_id", "text", "known", "ids"]
         rows = got.collect()
         assert len(rows) == len(TEXTS) + 1
         for r in rows:
             assert r["ids"] == t.encode(r["text"] or "", add_special_tokens=False).ids, r["text"]
+        sizes = token_counts(df.withColumn("m", F.create_map("doc_id", "text")), table_words=words).collect()
+        assert [(r["doc_id"], r["tokens"]) for r in sizes if r["tokens"] != len(t.encode(r["text"] or "", add_special_tokens=False).ids)] == [] and len(sizes) == len(TEXTS) + 1
     back = {r["doc_id"]: r["back"] for r in decode(got.drop("text"), out="back").collect()}
     assert back == {i: x or "" for i, x in enumerate(TEXTS)}
     assert encode(df.limit(0)).count() == 0
@@ -40,7 +43,7 @@ def test_plan_covers_every_item():
     for _ in range(40):
         counts = {r.randint(0, 100): r.randint(1, 50) for _ in range(r.randint(1, 30))}
         ranges, containers = plan(counts, 100)
-        placed = [(first + (i - low) // each, s) for s, low, high, first, each in ranges for i in range(low, high)]
+        placed = [(first + (i - low + shift) // each, s) for s, low, high, first, each, shift in ranges for i in range(low, high)]
         assert {s: sum(1 for _, x in placed if x == s) for s in counts} == counts
         assert len({c for c, _ in placed} | {0}) <= containers
         room = {}
@@ -49,6 +52,16 @@ def test_plan_covers_every_item():
         assert max(room.values()) <= 100
 
 
+def test_containers_of_a_class_hold_its_number_of_items():
+    # Class 3 (26 to 33 of 100) alone: three items each, of unequal sizes; only the last container may hold fewer.
+    counts = {33: 4, 31: 1, 30: 5, 27: 4}
+    ranges, containers = plan(counts, 100)
+    placed = [first + (i - low + shift) // each for _, low, high, first, each, shift in ranges for i in range(low, high)]
+    assert containers == 5 and sorted(map(placed.count, range(5))) == [2, 3, 3, 3, 3]
+    # Smaller items first take what the classes before left over.
+    assert plan({60: 3, 40: 3, 5: 1}, 100)[1] == 4 and plan({60: 3, 40: 2, 20: 2}, 100)[1] == 3
+
+
 def test_pack(spark):
     r = random.Random(4)
     sizes = [int(r.lognormvariate(5, 1.2)) for _ in range(3000)] + [0, 0, None, -5, 2048, 2049, 10_000]
