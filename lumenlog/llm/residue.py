@@ -1,11 +1,13 @@
 r"""Documents that are template residue, filler, error pages or script notices instead of content.
 
 Character n-gram models are fitted: one of natural prose, on all documents, and one each of filler, of error notices and of
-script notices, on known sentences. Every n-gram then has a log-likelihood ratio (the best of the residue models against prose). Windows whose
-mean ratio is positive localise residue, and a document is excluded when they cover enough of what is written in it. Blanks
-never filled in are localised by their form: outside code and quotation even one of them excludes a document.
+script notices, on the sentences of ``residue_seeds``. Every n-gram then has a log-likelihood ratio (the best of the residue models against
+prose). Windows whose mean ratio is positive localise residue, and a document is excluded when they cover enough of what is written
+in it outside quotation. Blanks never filled in are localised by their form: outside code and quotation even one of them excludes a document.
 
-Counts are kept in a fixed number of hash slots, so the models have the same size for any corpus.
+Corpus counts lie in a fixed number of hash slots and are used as shares of all n-grams only: other n-grams add to a slot's share less than
+2 / SLOTS on average whatever the size of the corpus, far below the shares that make an n-gram count as prose (COMMON), so
+ratios are alike at every size. The threshold was set on pages and texts held out of the fit.
 """
 
 from __future__ import annotations
@@ -18,48 +20,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.llm.residue_seeds import ERRORS, FILLER, HELD_OUT_PROSE, HELD_OUT_RESIDUE, PROSE, REASONS, SCRIPTS
+
 N = 5
-SLOTS = 1 << 18
-WINDOW = 16
-COVERAGE = 0.32
+SLOTS = 1 << 20
+WINDOW = 24
+#: Share of a text in windows of residue from which it is excluded: set between the coverages of held-out pages (see ``held_out``).
+COVERAGE = 0.5
+#: Share of all n-grams from which one that no residue model has speaks for prose; below it, it says little (RARE).
+COMMON = 1e-6
+RARE = 0.5
+#: Least share in prose that any n-gram is given, so that a single occurrence in a residue model isn't strong evidence.
+PRIOR = 5e-6
 #: Known n-grams in a row that make a text one to learn filler from, and the log ratio from which an n-gram is learned.
 RUN = 18
 LEARNED = 3.0
 
-# Sentences of filler text, error and refusal pages, and script notices, on which the residue models are fitted.
-FILLER = """
-Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
-Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo.
-Text text text text text text. test test 123 test test. asdf asdf asdf qwer qwer asdf. foo bar baz foo bar. blah blah blah.
-Sample text goes here. Replace this paragraph with your own words. Your title here. Your text here. Insert text here. Coming soon. Description to be added. This is placeholder content for the section body. To be written. Text to follow.
-Hier steht später der Text. Dies ist ein Beispielabsatz, bitte ersetzen. Ihr Titel hier. Platzhaltertext. Beschreibung folgt. Blindtext Blindtext Blindtext. Inhalt folgt in Kürze.
-Texte d'exemple à remplacer. Contenu à venir. Votre titre ici. Description à ajouter. Texte provisoire.
-Su título aquí. Texto de ejemplo, sustitúyalo por el suyo. Contenido próximamente. Descripción pendiente. Texto provisional.
-"""
-ERRORS = """
-404 Not Found. Page not found. The page you are looking for may have been moved or deleted. Back to start page. The requested URL was not found on this server. The server could not complete the request.
-403 Forbidden. Access denied. You don't have permission to open this resource on this server. 500 Internal Server Error. Something went wrong on our side. Please go back or try again later. 502 Bad Gateway. 503 Service Unavailable. Service temporarily unavailable due to maintenance. 504 Gateway Timeout. took too long to respond. This site can't be reached.
-Application error: a server-side exception has occurred (see the server log). Your session has expired. Please sign in again to continue. Too many requests. Your address 00.000.000.000 has been limited. Try again in 00 minutes. 429 Too Many Requests. Checking your browser before access. Request ID Reference Ray ID.
-Seite nicht gefunden. Die angeforderte Seite wurde nicht gefunden. Fehler 404. Zugriff verweigert. Sie sind nicht berechtigt, diese Seite zu öffnen. Der Dienst ist zurzeit nicht verfügbar. Bitte versuchen Sie es in 00 Minuten noch einmal. Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an. Interner Serverfehler. Zurück zur Startseite.
-Page introuvable. Erreur 404. La page demandée est introuvable. Accès refusé. Vous n'avez pas l'autorisation d'ouvrir cette page. Le service est momentanément indisponible. Réessayez dans 00 minutes. Votre session a expiré. Veuillez vous reconnecter. Erreur interne du serveur. Retour à l'accueil.
-Página no encontrada. Error 404. La página solicitada no existe. Acceso denegado. No tiene permiso para abrir esta página. El servicio no está disponible en este momento. Inténtelo de nuevo en 00 minutos. Su sesión ha caducado. Vuelva a iniciar sesión. No se ha encontrado la página solicitada. Error 403. Error 500. Error 503. Error interno del servidor. Volver al inicio. Referencia
-"""
-SCRIPTS = """
-Please enable JavaScript to view this page. JavaScript is disabled in your browser. You need to turn on scripts in your browser to continue. This app requires JavaScript. Loading... You need to enable JavaScript to run this app. Your browser does not run scripts or a blocker is active, so the content can't be displayed. Cookies and scripts must be allowed. Please turn off your ad blocker.
-Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen. Diese Anwendung benötigt JavaScript. Skripte sind in Ihrem Browser deaktiviert. Diese Anwendung benötigt Skripte. Bitte Browsereinstellungen prüfen. Wird geladen…
-Veuillez activer JavaScript pour afficher cette page. Cette application nécessite l'exécution de scripts. Chargement…
-Active JavaScript para ver esta página. Esta aplicación necesita ejecutar scripts. Habilite JavaScript en su navegador. Esta aplicación necesita scripts. Cargando…
-"""
-
-# Forms of blanks in templates.
+# Forms of blanks in templates, of any length; each form ends where its opening sign could begin again, so a search takes linear time.
 BLANKS = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|<%=?[^%<>\n]{1,60}%>|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|%\([A-Za-z_ ]{1,40}\)[sd]|(?<!\w)__[A-Z][A-Z0-9_]{0,40}__(?!\w)|@@[A-Za-z][\w ]{0,40}@@|(?<![\w$])\$[A-Z][A-Z0-9_]{1,40}\$|(?<![\w{$%])\{[A-Za-z][\w ]{0,40}\}(?!\})|\{%[^%{}\n]{1,60}%\}"
-    r"|\[(?:INSERT|INSÉRER|INSERTAR|INSERTE|INSERER|HIER|EINFÜGEN|YOUR|ENTER|FILL IN|AQUÍ|PONER|ESCRIBA|TODO|TBD)\b[^\[\]\n]{0,60}\]"
+    r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|<%=?[^%<>\n]+%>|\[\[[^\[\]\n]+\]\]|<<[^<>\n]+>>|%\([A-Za-z_ ]+\)[sd]|(?<!\w)__[A-Z](?:_?[A-Z0-9])*__(?!\w)|@@[A-Za-z][\w ]*@@|(?<![\w$])\$[A-Z][A-Z0-9_]+\$|(?<![\w{$%])\{[A-Za-z][\w ]*\}(?!\})|\{%[^%{}\n]+%\}"
+    r"|\[(?:INSERT|INSÉRER|INSERTAR|INSERTE|INSERER|HIER|EINFÜGEN|YOUR|ENTER|FILL IN|AQUÍ|PONER|ESCRIBA|TODO|TBD)\b[^\[\]\n]*\]"
 )
 # Code and quotation, in which blanks are shown rather than left.
 _SHOWN = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|(?m:^(?: {4,}|\t)[^\n]*)|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]", re.S)
 
 
+#: Quotation of a few words within a line: a text that quotes a notice reports on it.
+_QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
+
+
 def has_blank(text: str) -> bool:
     """Whether a template blank stands outside code and quotation."""
     if not any(c in text for c in ("{", "<%", "<<", "[", "%(", "__", "@@", "$")) or not BLANKS.search(text):
@@ -124,20 +113,22 @@ def corpus_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ratios(every: np.ndarray, filler: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of every slot: the best of the residue models against prose; negative where no residue model has the n-gram.
+    """Log-likelihood ratio of every slot: the best of the residue models against prose, between -6 and 6.
 
-    The filler model is also fitted on the corpus: texts with a run of known filler hold other filler of
+    Where no residue model has the n-gram it is -6 for the commonest n-grams of prose, and nears -RARE as they get rarer. The prose
+    sentences of ``residue_seeds`` count as half of the prose where the corpus has less of an n-gram. The filler model is also fitted on the corpus: texts with a run of known filler hold other filler of
     the same making, whose n-grams are many times as likely there as in the other texts.
     """
     total = max(int(every.sum()), 1)
-    p = np.log((every + 0.5) / (total + 0.5 * SLOTS))
-    best = np.full(SLOTS, -6.0)
-    for seed in (FILLER, ERRORS, SCRIPTS):
+    share = (every + 0.5) / (total + 0.5 * SLOTS)
+    known = sum(np.bincount(_slots(line), minlength=SLOTS) for line in PROSE.strip().splitlines())
+    share = np.maximum(share, known / (2 * known.sum()))
+    likely = np.maximum(share, PRIOR)
+    best = np.clip(np.log(COMMON / share) - RARE, -6, -RARE)
+    for seed in (FILLER, REASONS + ERRORS, SCRIPTS):
         counts = sum(np.bincount(_slots(line), minlength=SLOTS) for line in seed.strip().splitlines())
-        q = np.log(np.maximum(counts, 1) / counts.sum())
-        best = np.maximum(best, np.where(counts > 0, np.clip(q - p, -6, 6), -6.0))
-    unknown = (every <= 2) & (best <= -6)
-    best[unknown] = -0.5  # an n-gram of neither says little
+        with np.errstate(divide="ignore"):
+            best = np.maximum(best, np.clip(np.log(counts / counts.sum() / likely), -6, 6))
     others = every - filler
     learned = np.log((filler + 0.1) / max(int(filler.sum()), 1)) - np.log((others + 0.5) / max(int(others.sum()), 1))
     adopted = (filler >= 3) & (learned > LEARNED)
@@ -146,7 +137,9 @@ def ratios(every: np.ndarray, filler: np.ndarray) -> np.ndarray:
 
 
 def coverage(text: str, ratio: np.ndarray) -> float:
-    """Share of the text that lies in windows of residue; 0 for a blank text."""
+    """Share of the text outside quotation that lies in windows of residue; 0 for a blank text."""
+    if any(c in text for c in "`\"“«„"):
+        text = _QUOTED.sub(" ", text)
     if not text.strip():
         return 0.0
     r = ratio[_slots(text)]
@@ -159,6 +152,12 @@ def coverage(text: str, ratio: np.ndarray) -> float:
     return float((np.cumsum(hit[:-1]) > 0).mean())
 
 
+def held_out(ratio: np.ndarray) -> tuple[list[float], list[float]]:
+    """Coverages of the held-out pages, and of the held-out ordinary texts."""
+    pages, texts = ([coverage(line, ratio) for line in part.strip().splitlines()] for part in (HELD_OUT_RESIDUE, HELD_OUT_PROSE))
+    return pages, texts
+
+
 def judged(df: DataFrame, ident: str, text: str, models_from: DataFrame | None = None) -> DataFrame:
     """(ident, blank, coverage, residue) of every document.
 

@@ -1,4 +1,5 @@
-from lumenlog.llm.residue import has_blank, judged
+from lumenlog.llm import residue_seeds as seeds
+from lumenlog.llm.residue import COVERAGE, corpus_counts, has_blank, held_out, judged, ratios
 
 PROSE = "The {0} service on db0{1} went stale after {1} minutes and the operators noticed a rise of queue messages. A new model was trained on {1}0 days of data, leaving out the outage of {0}. Check that the clocks agree before comparing their intervals."
 RESIDUE = {
@@ -26,4 +27,18 @@ def test_judged(spark):
 def test_blanks():
     for t in ("{{x}}", "${y}", "<%= z %>", "[[name]]", "<<HOST>>", "__OWNER__", "@@date@@", "$CONTACT$", "{customer}", "[INSERT NAME HERE]", "[HIER NAME EINTRAGEN]", "[INSÉRER CONTACT ICI]"):
         assert has_blank(f"Dear {t}, hello") and not has_blank(f"the code `{t}` is shown") and not has_blank(f'it says "{t} lost" there')
+    for t in ("{{" + "x" * 5000 + "}}", "${" + "y " * 300 + "}", "__" + "A_" * 200 + "A__", "[INSERT " + "the name " * 100 + "]"):
+        assert has_blank(f"Dear {t}, hello")
+    for t in ("{{x" * 40_000, "__A" * 60_000, "@@" * 60_000, "$A " * 60_000, "[[a" * 60_000, "%(a" * 60_000, "<<" * 60_000):
+        assert not has_blank(t)  # in linear time
     assert not has_blank("dict {1: 2} and a[0][1] and __init__ and $5 and 10% (a)s") and not has_blank("x" * 200_000)
+
+
+def test_held_out_pages(spark):
+    """Nothing is fitted on these; of the ordinary texts some are excluded only because this corpus is tiny."""
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(seeds.PROSE.strip().splitlines() * 20)], "doc_id long, text string")
+    pages, texts = held_out(ratios(*corpus_counts(df, "text")))
+    found, wrong = sum(c >= COVERAGE for c in pages), sum(c >= COVERAGE for c in texts)
+    assert found / len(pages) >= 0.95 and found / (found + wrong) >= 0.85
+    known = {s.strip().lower() for part in (seeds.FILLER, seeds.ERRORS, seeds.SCRIPTS) for s in part.replace("\n", ". ").split(". ")}
+    assert not known & {s.strip(". ").lower() for line in seeds.HELD_OUT_RESIDUE.splitlines() for s in line.split(". ")}
