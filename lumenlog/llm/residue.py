@@ -26,7 +26,7 @@ N = 5
 SLOTS = 1 << 20
 WINDOW = 24
 #: Share of a text in windows of residue from which it is excluded: set between the coverages of held-out pages (see ``held_out``).
-COVERAGE = 0.5
+COVERAGE = 0.47
 #: Share of all n-grams from which one that no residue model has speaks for prose; below it, it says little (RARE).
 COMMON = 1e-6
 RARE = 0.5

@@ -14,21 +14,21 @@ FILLER = """
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
 Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo. Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt. Neque porro quisquam est, qui dolorem ipsum quia dolor sit amet.
 At vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque corrupti quos dolores et quas molestias excepturi sint. Nam libero tempore, cum soluta nobis est eligendi optio cumque nihil impedit quo minus id quod maxime placeat facere possimus. Vivamus sagittis lacus vel augue laoreet rutrum faucibus. Praesent commodo cursus magna, vel scelerisque nisl consectetur et. Donec ullamcorper nulla non metus auctor fringilla. Aenean lacinia bibendum nulla sed consectetur. Cras mattis purus sit amet fermentum. Maecenas faucibus mollis interdum. Nullam quis risus eget urna mollis ornare vel eu leo. Curabitur blandit tempus porttitor. Vestibulum id ligula porta felis euismod semper. Etiam porta sem malesuada magna mollis euismod. Integer posuere erat a ante venenatis dapibus posuere velit aliquet.
-Your heading goes here. Add your own text in this box. Write something about yourself. Click here to edit this text. Insert your content in this block. Dummy copy for layout only. This sentence is a stand-in until the final copy arrives. Placeholder paragraph: swap it for real words. Body copy to come. Section left empty for now. Add a short description. Type your summary in this field. Example heading, example subheading, example paragraph. Filler filler filler. More filler content below. Text to be supplied by the author. Content will be added soon. Under construction. Nothing here yet. Draft text, to be replaced before publication. TBD. TODO: write this section. XXX XXX XXX. aaa bbb ccc ddd. test test test testing one two three. foo bar baz qux. blah blah blah. asdf asdf jkl jkl. qwerty qwerty uiop. hello world hello world.
-Hier kommt Ihr Text hin. Das ist nur ein Blindtext und hat keine Bedeutung. Bitte tragen Sie hier Ihren eigenen Inhalt ein. Platzhalter für die Überschrift. Musterüberschrift, Musterabsatz. Der endgültige Text wird nachgereicht. Dieser Absatz ist ein Platzhalter. Inhalt wird noch ergänzt. Noch kein Text vorhanden. Beispieltext zum Ausfüllen der Seite. Beschreibung wird später eingefügt. Diese Seite befindet sich im Aufbau. Entwurf, bitte überschreiben.
-Votre texte apparaîtra à cet endroit. Ceci est un faux texte sans signification. Saisissez ici votre propre contenu. Titre d'exemple, paragraphe d'exemple. Le texte définitif sera fourni plus tard. Ce paragraphe sert à remplir la page. Contenu à compléter. Aucun texte pour le moment. Page en construction. Description à rédiger. Texte de remplissage. Ébauche à remplacer avant publication.
-Escriba aquí su propio texto. Este es un texto simulado sin significado. Añada su contenido en este bloque. Título de muestra, párrafo de muestra. El texto definitivo se entregará más adelante. Este párrafo solo sirve para rellenar la página. Contenido por completar. Todavía no hay texto. Página en construcción. Descripción por redactar. Texto de relleno. Borrador, reemplazar antes de publicar.
+Your heading goes here. Put your headline, your title and your name here. Enter a headline here. Testing: test 0, test 0 0 0, test, test. Add your own text in this box. Write something about yourself. Click here to edit this text. Insert your content in this block. Dummy copy for layout only. This sentence is a stand-in until the final copy arrives. Placeholder paragraph: swap it for real words. Body copy to come. Section left empty for now. Add a short description. Type your summary in this field. Example heading, example subheading, example paragraph. Filler filler filler. More filler content below. Text to be supplied by the author. Content will be added soon. Under construction. Nothing here yet. Draft text, to be replaced before publication. TBD. TODO: write this section. XXX XXX XXX. aaa bbb ccc ddd. test test test testing one two three. foo bar baz qux. blah blah blah. asdf asdf jkl jkl. qwerty qwerty uiop. hello world hello world.
+Hier kommt Ihr Text hin. Hier steht bald Ihr Text, hier steht später mehr. Ihre Überschrift hier eintragen. Das ist nur ein Blindtext und hat keine Bedeutung. Bitte tragen Sie hier Ihren eigenen Inhalt ein. Platzhalter für die Überschrift. Musterüberschrift, Musterabsatz. Der endgültige Text wird nachgereicht. Dieser Absatz ist ein Platzhalter. Inhalt wird noch ergänzt. Noch kein Text vorhanden. Beispieltext zum Ausfüllen der Seite. Beschreibung wird später eingefügt. Diese Seite befindet sich im Aufbau. Entwurf, bitte überschreiben.
+Votre texte apparaîtra à cet endroit. Mettez votre titre, votre nom et votre texte ici même. Ceci est un faux texte sans signification. Saisissez ici votre propre contenu. Titre d'exemple, paragraphe d'exemple. Le texte définitif sera fourni plus tard. Ce paragraphe sert à remplir la page. Contenu à compléter. Aucun texte pour le moment. Page en construction. Description à rédiger. Texte de remplissage. Ébauche à remplacer avant publication.
+Escriba aquí su propio texto. Ponga su título, su nombre y su texto aquí mismo. Contenido pendiente de revisión, texto pendiente de entrega. Sustituya este texto de ejemplo por su propio texto. Este es un texto simulado sin significado. Añada su contenido en este bloque. Título de muestra, párrafo de muestra. El texto definitivo se entregará más adelante. Este párrafo solo sirve para rellenar la página. Contenido por completar. Todavía no hay texto. Página en construcción. Descripción por redactar. Texto de relleno. Borrador, reemplazar antes de publicar.
 """
 ERRORS = """
 Sorry, this page does not exist. We looked everywhere but could not find that page. The address may be mistyped or the link may be out of date. The document you asked for is gone. That page has been removed, renamed or moved to another place. Check the spelling of the address and try once more. Go to the home page or use the search box. Return to the front page. Nothing was found at this location. The file you requested could not be located on this host. No such page. Dead link. The resource is no longer available.
-You are not allowed to see this page. Access to this resource is denied. You do not have the rights to view this directory. Permission denied by the server. Your account is not authorized for this area. This content is restricted. Please contact the administrator if you believe this is a mistake. Login required. Sign in to view this content. You must be logged in. Your login has timed out; please log in again. Session expired, reload the page and sign in. Authentication failed. Invalid or missing token. Blocked by the security policy. Your request was rejected by the firewall. This address has been blocked because of unusual traffic. Please complete the check to prove that you are human. Verifying your connection, this may take a few seconds. Slow down: you have sent too many requests in a short time. Rate limit exceeded, wait a moment and retry after 00 seconds. Quota exceeded for this client.
+You are not allowed to see this page. Access to this resource is denied. You do not have the rights to view this directory. Permission denied by the server. Your account is not authorized for this area. This content is restricted. Please contact the administrator if you believe this is a mistake. Login required. Sign in to view this content. You must be logged in. Your login has timed out; please log in again. Session expired, reload the page and sign in. Authentication failed. Invalid or missing token. Blocked by the security policy. Your request was rejected by the firewall. This address has been blocked because of unusual traffic. Please complete the check to prove that you are human. Verifying your connection, this may take a few seconds. Slow down: you have sent too many requests in a short time. Requests from your address are limited for now. Your network has been limited. Rate limit exceeded, wait a moment and retry after 00 seconds. Quota exceeded for this client.
 An unexpected error occurred while handling your request. The server ran into a problem and was unable to complete what you asked for. Something broke on our end; our team has been told. Please try again in a few minutes. We apologise for the inconvenience. The service is down for maintenance and will be back shortly. The site is temporarily offline. This service is overloaded at the moment. The upstream server did not answer in time. The connection to the server was reset. Unable to connect to the server. The page could not be loaded. No response from the backend. The proxy received an invalid response. Error establishing a database connection. Unhandled exception in application. Stack trace omitted. Fatal error while rendering this page. Request failed with status code 000. Reference number 0000000. Incident id 00ab00cd. Error id: 0000. Correlation id. Timestamp. Host error. Your browser is working. The origin server is not reachable. DNS lookup failed. Certificate not trusted. Connection timed out. Connection refused.
 Diese Seite gibt es leider nicht. Wir konnten die gewünschte Seite nicht finden. Die Adresse ist falsch geschrieben oder der Link ist veraltet. Die Seite wurde gelöscht, umbenannt oder verschoben. Bitte prüfen Sie die Adresse. Zur Startseite wechseln oder die Suche benutzen. Kein Zugriff auf diese Seite. Ihnen fehlt die Berechtigung für diesen Bereich. Der Zugriff auf diese Ressource ist nicht erlaubt. Bitte wenden Sie sich an den Administrator. Anmeldung erforderlich. Ihre Anmeldung ist abgelaufen, bitte loggen Sie sich wieder ein. Sitzung beendet. Es ist ein unerwarteter Fehler aufgetreten. Der Server konnte Ihre Anfrage nicht bearbeiten. Etwas ist schiefgelaufen. Wegen Wartungsarbeiten ist diese Seite vorübergehend nicht erreichbar. Der Dienst steht momentan nicht zur Verfügung. Versuchen Sie es später wieder. Wir bitten um Entschuldigung. Zeitüberschreitung bei der Verbindung. Zu viele Anfragen, bitte warten Sie einen Augenblick. Ungültige Anfrage. Verbindung fehlgeschlagen. Fehlercode 000. Fehlernummer. Vorgangsnummer 0000.
-Désolé, cette page n'existe pas. Nous n'avons pas trouvé la page que vous cherchez. L'adresse est mal saisie ou le lien n'est plus valable. Cette page a été supprimée, renommée ou déplacée. Vérifiez l'adresse saisie. Revenir à la page d'accueil ou lancer une recherche. L'accès à cette page est interdit. Vous n'avez pas les droits nécessaires pour consulter cette ressource. Accès non autorisé. Contactez l'administrateur du site. Connexion requise. Votre connexion a pris fin, identifiez-vous de nouveau. Session terminée. Une erreur inattendue s'est produite. Le serveur n'a pas pu traiter votre demande. Un problème est survenu de notre côté. Le site est en maintenance et sera bientôt de retour. Service temporairement hors ligne. Veuillez essayer plus tard. Veuillez nous excuser pour la gêne occasionnée. Délai de connexion dépassé. Trop de requêtes, patientez un instant. Requête invalide. Échec de la connexion. Code d'erreur 000. Numéro d'incident 0000.
+Désolé, cette page n'existe pas. Nous n'avons pas trouvé la page que vous cherchez. L'adresse est mal saisie ou le lien n'est plus valable. Cette page a été supprimée, renommée ou déplacée. Vérifiez l'adresse saisie. Revenir à la page d'accueil ou lancer une recherche. L'accès à cette page est interdit. Vous n'avez pas les droits nécessaires pour consulter cette ressource. Accès non autorisé. Contactez l'administrateur du site. Connexion requise. Votre connexion a pris fin, identifiez-vous de nouveau. Session terminée. Une erreur inattendue s'est produite. Le serveur n'a pas pu traiter votre demande. Un problème est survenu de notre côté. Le site est en maintenance et sera bientôt de retour. Service temporairement hors ligne. Le site est momentanément inaccessible, revenez dans 0 minutes. Veuillez essayer plus tard. Veuillez nous excuser pour la gêne occasionnée. Délai de connexion dépassé. Trop de requêtes, patientez un instant. Requête invalide. Échec de la connexion. Code d'erreur 000. Numéro d'incident 0000.
 Lo sentimos, esta página no existe. No hemos podido encontrar la página que busca. La dirección está mal escrita o el enlace ha caducado. La página fue eliminada, renombrada o movida. Revise la dirección. Vaya a la página principal o use el buscador. El acceso a esta página está prohibido. No dispone de los derechos necesarios para ver este recurso. Acceso no autorizado. Póngase en contacto con el administrador. Debe identificarse. Su conexión ha terminado, identifíquese de nuevo. Sesión finalizada. Se ha producido un error inesperado. El servidor no pudo atender su solicitud. Algo ha fallado por nuestra parte. El sitio está en mantenimiento y volverá pronto. Servicio fuera de línea por ahora. Pruebe más tarde. Disculpe las molestias. Tiempo de conexión agotado. Demasiadas peticiones, espere un momento. Solicitud no válida. Fallo de conexión. Código de error 000. Número de incidencia 0000.
 """
 SCRIPTS = """
-This site needs JavaScript to work properly. It looks like JavaScript is switched off. Turn on JavaScript in the settings of your browser and reload the page. Without scripts this page stays empty. We are sorry, but the viewer does not function unless JavaScript is allowed. Scripting seems to be blocked by an extension; please allow it for this site. Your browser is out of date and cannot show this page. A modern browser with JavaScript is required. Enable cookies and reload. Cookies are turned off; this page requires cookies. Disable the ad blocker or add this site to the list of exceptions. noscript: the application cannot start. Loading, please wait. The application is loading. Redirecting, click here if nothing happens.
+This site needs JavaScript to work properly. This application requires JavaScript and requires cookies. It looks like JavaScript is switched off. Turn on JavaScript in the settings of your browser and reload the page. Without scripts this page stays empty. We are sorry, but the viewer does not function unless JavaScript is allowed. Scripting seems to be blocked by an extension; please allow it for this site. Your browser is out of date and cannot show this page. A modern browser with JavaScript is required. Enable cookies and reload. Cookies are turned off; this page requires cookies. Disable the ad blocker or add this site to the list of exceptions. noscript: the application cannot start. Loading, please wait. The application is loading. Redirecting, click here if nothing happens.
 Für diese Seite muss JavaScript eingeschaltet sein. JavaScript ist offenbar ausgeschaltet. Schalten Sie JavaScript in den Einstellungen Ihres Browsers ein und laden Sie die Seite neu. Ohne Skripte bleibt diese Seite leer. Ihr Browser ist veraltet. Erlauben Sie Cookies und Skripte für diese Seite. Schalten Sie den Werbeblocker aus. Die Anwendung wird geladen, bitte warten. Diese Webseite funktioniert nur mit JavaScript.
 Ce site a besoin de JavaScript pour fonctionner. JavaScript semble désactivé. Autorisez JavaScript dans les réglages de votre navigateur puis rechargez la page. Sans scripts, cette page reste vide. Votre navigateur est trop ancien. Acceptez les cookies et les scripts pour ce site. Désactivez le bloqueur de publicités. L'application est en cours de chargement, veuillez patienter.
 Este sitio necesita JavaScript para funcionar. Parece que JavaScript está desactivado. Permita JavaScript en los ajustes de su navegador y vuelva a cargar la página. Sin scripts esta página queda vacía. Su navegador es demasiado antiguo. Acepte las cookies y los scripts de este sitio. Desactive el bloqueador de anuncios. La aplicación se está cargando, espere por favor.

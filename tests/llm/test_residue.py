@@ -1,6 +1,11 @@
+from pathlib import Path
+
+import pytest
+
 from lumenlog.llm import residue_seeds as seeds
 from lumenlog.llm.residue import COVERAGE, corpus_counts, has_blank, held_out, judged, ratios
 
+DOCUMENTS = "/root/testdata/sf0.1/documents.parquet"
 PROSE = "The {0} service on db0{1} went stale after {1} minutes and the operators noticed a rise of queue messages. A new model was trained on {1}0 days of data, leaving out the outage of {0}. Check that the clocks agree before comparing their intervals."
 RESIDUE = {
     1: "404 Not Found\nThe server could not complete the request.", 2: "Please enable JavaScript to view this page.", 3: "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore.",
@@ -34,11 +39,11 @@ def test_blanks():
     assert not has_blank("dict {1: 2} and a[0][1] and __init__ and $5 and 10% (a)s") and not has_blank("x" * 200_000)
 
 
+@pytest.mark.skipif(not Path(DOCUMENTS).exists(), reason="needs a corpus of documents")
 def test_held_out_pages(spark):
-    """Nothing is fitted on these; of the ordinary texts some are excluded only because this corpus is tiny."""
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(seeds.PROSE.strip().splitlines() * 20)], "doc_id long, text string")
-    pages, texts = held_out(ratios(*corpus_counts(df, "text")))
+    """Models fitted on a corpus of documents and the seeds; nothing is fitted on these pages and texts."""
+    pages, texts = held_out(ratios(*corpus_counts(spark.read.parquet(DOCUMENTS), "text")))
     found, wrong = sum(c >= COVERAGE for c in pages), sum(c >= COVERAGE for c in texts)
     assert found / len(pages) >= 0.95 and found / (found + wrong) >= 0.85
     known = {s.strip().lower() for part in (seeds.FILLER, seeds.ERRORS, seeds.SCRIPTS) for s in part.replace("\n", ". ").split(". ")}
-    assert not known & {s.strip(". ").lower() for line in seeds.HELD_OUT_RESIDUE.splitlines() for s in line.split(". ")}
+    assert not (known - {""}) & {s.strip(". ").lower() for line in seeds.HELD_OUT_RESIDUE.splitlines() for s in line.split(". ")}
