@@ -2,14 +2,15 @@ r"""Personal information in free text by a skip-chain conditional random field.
 
 A text is cut into tokens: words, numbers, punctuation, and whole strings of the shape of an e-mail address, a
 phone number or an identity number (a shape alone is only evidence: a firmware version can look like a phone number).
-The field labels tokens. Its potentials are sums of trained weights of a token's shape and those around it, the words
-before it and whether it is a known given name; of neighbouring labels; and of skip edges, which tie
-tokens of the same spelling, and words to e-mail addresses that contain them, however far apart they are. The
-labelling is found by loopy max-product message passing: exact passes along the chains of a batch of texts at once alternate with messages over
-the skip edges.
-
-Texts without any token that can begin a mention (see TRIGGER) are left out before: all their tokens
-have no potential but O. The weights are trained by ``pii_train`` on generated labelled sentences and lie in pii_weights.json.
+The field labels tokens. Its potentials are sums of trained weights of a token's shape and those around it, and of the kinds of words near it
+(words that name an identity number, a telephone, a person, a place, a machine's number; no sentence is learned by its words); of neighbouring
+labels; and of skip edges, which tie tokens of the same spelling, and words to e-mail addresses that contain them, however far apart they
+are. The labelling is found by loopy max-product message passing: exact passes along the chains of a batch of texts at once alternate
+with damped messages over the skip edges until the messages stay the same (at most ROUNDS times).
+
+What a mention must have is fixed: a name is two words or initials in capitals in a row, an address has a street word and a number. So a text
+that TRIGGER does not match has no token that can be labelled, and is left out before; TRIGGER is made of the tokens' own patterns. The
+weights are trained by ``pii_train`` on generated labelled sentences and lie in pii_weights.json.
 """
 
 from __future__ import annotations
@@ -31,31 +32,54 @@ LABELS = ("O", "E", "P", "I", "BN", "IN", "BA", "IA")
 KINDS = {"E": "email", "P": "phone", "I": "id_number", "BN": "name", "BA": "street_address"}
 #: Labels by class: a skip edge is content where both ends are of one class.
 CLASS = np.array([0, 1, 2, 3, 4, 4, 5, 5])
-ROUNDS = 3
+#: Most rounds of messages over the skip edges, and the change below which they count as settled.
+ROUNDS, SETTLED = 40, 1e-3
+#: Tokens of a batch that is labelled at once, padding included.
+BATCH_TOKENS = 65_536
 
-# Words of streets and dwellings.
+# Words of streets and dwellings, titles, words that say what a number, a name or an address near them is, and capitalised words that are no names.
 STREET = frozenset("st street avenue ave road rd blvd boulevard lane ln drive dr court ct square sq way place pl terrace rue calle avenida av via platz allee chemin impasse plaza paseo".split())
 FLAT = frozenset("flat apt apartment unit suite".split())
 TITLES = frozenset("dr mr mrs ms miss prof herr frau sr sra mme".split())
+CUES = {
+    "id": "ssn social security sin national identity identification passport passeport pasaporte insurance tax taxpayer tin nino dni nif nie ausweis personalausweis ausweisnummer reisepass steuer steuernummer steueridentifikationsnummer sozialversicherung sozialversicherungsnummer versicherungsnummer fiscal fiscale sécurité identité seguridad identidad citizen civil curp",
+    "phone": "phone telephone tel mobile mob cell fax call calls called calling callback dial dials dialled dialed sms texted text ring hotline landline msisdn whatsapp reach reachable telefon telefonnummer rufnummer handy anruf mobil téléphone portable appeler teléfono móvil llamar",
+    "thing": "bytes byte kb mb gb batch sector sectors disk serial order part request requests job jobs pid error errors count counter port ms sec seconds epoch account build firmware version block blocks offset seq sequence uuid trace transaction invoice entries entry record records case rows lines size code key device sensor lane bus inode checksum hash timestamp packet packets frame fault volume shelf lun segment index page pages process thread worker kernel cache item items sku asset bug commit lease slot instance node revision read written finished loaded zip retry epochs",
+    "person": "by user holder contact contacts customer client attn attention ask asks asked hello hi dear belongs owner owned resident employee patient caller name names named approved requested issued signed assigned reported manager operator engineer author colleague guest visitor member reviewed granted revoked thanks regards supervisor technician handed signer applicant tenant subscriber recipient sender person dr kollege mitarbeiter benutzer kunde kundin usuario cliente client employé",
+    "place": "lives living resident residence address addr home delivery deliver delivered ship shipped shipping parcel courier goes visit located premises moved wohnhaft anschrift adresse domicile dirección domicilio",
+}
+NOT_NAMES = frozenset("amber silver golden gold copper iron azure crimson scarlet emerald cobalt bronze indigo violet falcon heron otter badger lynx raven eagle wolf tiger panther condor central european western eastern northern southern atlantic pacific release candidate build version status error warning notice queue cluster primary secondary backup summer winter spring autumn standard daylight saving time access denied night day shift late early data center centre network service server system disk memory process request response internal external general monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december the this that a an on in at to of for from no not and or is was were be been job task user home page open closed start stop end read write send received".split())
+_CUE = {w: c for c, words in reversed(CUES.items()) for w in words.split()}
 _STREET_END = re.compile(r"(?:straße|strasse|str|gasse|weg|platz|allee|ufer|damm|ring)$")
 
+# Shapes of telephone and identity numbers, tried in this order; digits are those of any script.
+NUMBERS = {
+    "paren": r"\(\d{2,4}\)[ ]?\d{3,4}[- ]\d{3,4}(?![\w-])",
+    "phone": r"(?<![\w./-])(?:00\d-\d{3}-\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}[ ]\d{3}[ ]\d{4}|0\d{2}[ ]\d{4}[ ]\d{4}|0\d(?:[. ]\d\d){4}|0\d{2,4}/\d{4,6}-\d{2,4})(?![\w/-])",
+    "dotted": r"(?<![\w./-])\d{3}\.\d{3}\.\d{4}(?![\w./-])",
+    "nine": r"(?<![\w./-])(?:\d{3}-\d{2}-\d{4}|\d{3}[ ]\d{2}[ ]\d{4})(?![\w/-])",
+    "nino": r"(?<![\w./-])[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D](?!\w)",
+    "dni": r"(?<![\w./-])\d{8}-?[A-Z](?!\w)",
+    "pass": r"(?<![\w./-])[A-Z]\d{2}[ ]?\d{6}(?!\w)",
+    "tax": r"(?<![\w./-])(?:\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3}|\d{2}/\d{3}/\d{5})(?![\w/-])",
+    "d10": r"(?<![\w./-])\d{10}(?![\w/-])",
+    "d11": r"(?<![\w./-])\d{11}(?![\w/-])",
+    "d12": r"(?<![\w./-])\d{12,14}(?![\w/-])",
+    "d9": r"(?<![\w./-])\d{9}(?![\w/-])",
+}
+_PLUS = r"\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,8})){2,6}(?![\w-])"
+
 _TOKEN = re.compile(
     r"""
     (?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+|[\w.+%-]+\s?[\[(]at[\])]\s?[\w-]+(?:(?:\s?[\[(]dot[\])]\s?|\.)[\w-]+)+)
     |(?P<path>(?<![\w.])/[\w./-]+)
-    |(?P<plus>\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,8})){2,6}(?![\w-]))
+    |(?P<plus>"""
+    + _PLUS
+    + r""")
     |(?P<ip>(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w.-]))
-    |(?P<paren>\(\d{2,4}\)[ ]?\d{3,4}[- ]\d{3,4}(?![\w-]))
-    |(?P<phone>(?<![\w./-])(?:00\d-\d{3}-\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|0\d{2}[ ]\d{4}[ ]\d{4}|0\d(?:[. ]\d\d){4}|0\d{2,4}/\d{4,6}-\d{2,4})(?![\w/-]))
-    |(?P<dotted>(?<![\w./-])\d{3}\.\d{3}\.\d{4}(?![\w./-]))
-    |(?P<nine>(?<![\w./-])\d{3}(?P<sep>[- ])\d{2}(?P=sep)\d{4}(?![\w/-]))
-    |(?P<nino>(?<![\w./-])[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D](?!\w))
-    |(?P<dni>(?<![\w./-])\d{8}-?[A-Z](?!\w))
-    |(?P<pass>(?<![\w./-])[A-Z]\d{2}[ ]?\d{6}(?!\w))
-    |(?P<tax>(?<![\w./-])(?:\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3}|\d{2}/\d{3}/\d{5})(?![\w/-]))
-    |(?P<d10>(?<![\w./-])\d{10}(?![\w/-]))
-    |(?P<d11>(?<![\w./-])\d{11}(?![\w/-]))
-    |(?P<d9>(?<![\w./-])\d{9}(?![\w/-]))
+    |"""
+    + "\n    |".join(f"(?P<{k}>{v})" for k, v in NUMBERS.items())
+    + r"""
     |(?P<floor>(?<![\w./-])\d{1,2}\.?[ºª°](?:[ ]?[A-Z]\b)?)
     |(?P<calle>\bC/(?=[ ]))
     |(?P<house>(?<![\w./:-])\d{1,4}[ ]?[a-z]?(?![\w./-]|:\w))
@@ -68,13 +92,17 @@ _TOKEN = re.compile(
     re.X,
 )
 
-#: What a text must hold to have a mention: an address with @ or [at], two capitalised words or an initial in a row, a shape of a phone
-#: or identity number (plain digits only beside a word that names such a number), or a street.
-TRIGGER = (
-    r"@|[\[(]at[\])]|\p{Lu}[\p{L}'’-]*[.,]?\s+\p{Lu}|\+\d|\(\d{2,4}\)\s?\d|\b0\d{2}[ /]\d|\b0\d\.\d\d\.|\b\d{3}[-.]\d{3}[-.]\d{4}\b|\b00\d-\d|\b\d{10}\b"
-    r"|\b\d{3}[- ]\d{2}[- ]\d{4}\b|\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|\b\d{8}-?[A-Z]\b|\b[A-Z]\d{2} ?\d{6}\b|\b\d{2}[ /]\d{3}[ /]\d{3}"
-    r"|\b(?:\d{9}|\d{11})\b.*(?i:ssn|social|national|insurance|tax|passport|identity)|(?i:ssn|social|national|insurance|tax|passport|identity).*\b(?:\d{9}|\d{11})\b"
-    r"|(?i:stra(?:ß|ss)e|gasse)\b|\b(?:rue|avenue|Calle|Street|St|Road|Rd|Blvd|Lane|Flat)\b|\bC/ "
+_SPACE = r"[\s\p{Z},\x1c-\x1f\x85]"
+#: What a text with a mention holds, from the tokens' own patterns: an address with @ or [at]; a word with a capital and, after white space or a comma,
+#: another capital; a number of a known shape; or a street word. Each branch is anchored where its token begins, so a search takes linear time.
+TRIGGER = "|".join(
+    [
+        r"@|[\[(]at[\])]",
+        rf"(?:^|{_SPACE})[^\s\p{{Z}},\x1c-\x1f\x85\p{{IsUppercase}}]*+\p{{IsUppercase}}[^\s\p{{Z}},\x1c-\x1f\x85]*+{_SPACE}++\p{{IsUppercase}}",
+        r"\+\p{Nd}",
+        *[v.replace(r"\d", r"\p{Nd}") for v in NUMBERS.values()],
+        rf"(?<![\p{{L}}&&[^ºª]])(?:rue|avenue|calle|(?=\p{{IsUppercase}})(?i:{'|'.join(sorted(STREET))}))(?!\p{{L}})|(?<![\p{{L}}&&[^ºª]])\p{{IsUppercase}}\p{{L}}*?(?i:stra(?:ß|ss)e|str|gasse|weg|platz|allee|ufer|damm|ring)(?!\p{{L}})|\bC/",
+    ]
 )
 
 
@@ -96,6 +124,14 @@ def _allowed(shape: str) -> tuple[int, ...]:
     return (5, 7)
 
 
+def _possible(shapes: list[str]) -> list[tuple[bool, bool]]:
+    """Whether a name can begin at each token (a word in capitals follows, or a comma and such a word), and whether the text can hold an address."""
+    n, address = len(shapes), any(s in _STREETS for s in shapes) and any(s in ("house", "floor") for s in shapes)
+    wordy = [s in _WORDY for s in shapes]
+    name = [wordy[i] and i + 1 < n and (wordy[i + 1] or (shapes[i + 1] == "," and i + 2 < n and wordy[i + 2])) for i in range(n)]
+    return [(x, address) for x in name]
+
+
 def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c.isalpha())
 
@@ -103,6 +139,8 @@ def _plain(word: str) -> str:
 @functools.lru_cache(maxsize=200_000)
 def _shape(kind: str, token: str, given: frozenset[str]) -> str:
     """The token's class: its kind, and for words their case and what lists say of them."""
+    if kind == "initial" and not token[0].isupper():
+        return "low"
     if kind != "word":
         return kind if kind != "punct" else token
     low = token.lower()
@@ -119,6 +157,8 @@ def _shape(kind: str, token: str, given: frozenset[str]) -> str:
             return "given"
         if len(token) == 1:
             return "letter"
+        if low in NOT_NAMES or low in _CUE:
+            return "plainword"
         if token.isupper():
             return "upper"
         return "cap"
@@ -134,7 +174,7 @@ def tokens(text: str, given: frozenset[str]) -> list[tuple[str, str, int, int]]:
         token, at = m[0], m.end()
         if m.lastgroup == "plus" and (cut := _number_end(token)) < len(token):
             token, at = token[:cut], m.start() + cut
-        out.append((_shape(m.lastgroup if m.lastgroup != "sep" else "nine", token, given), token.lower(), m.start(), at))
+        out.append((_shape(m.lastgroup, token, given), token.lower(), m.start(), at))
     return out
 
 
@@ -150,31 +190,44 @@ def _number_end(token: str) -> int:
     return len(token)
 
 
-_WORDY = frozenset(("given", "cap", "upper", "initial", "letter"))
-_NUMBERS = frozenset(("plus", "paren", "phone", "dotted", "nine", "nino", "dni", "pass", "tax", "d9", "d10", "d11"))
+_WORDY = frozenset(("given", "cap", "upper", "initial", "letter", "plainword"))
+_NUMBERS = frozenset(("plus", *NUMBERS))
+_STREETS = frozenset(("street", "streetword", "calle"))
 _STREETY = frozenset(("street", "streetword", "calle", "flat", "house", "floor"))
 _MENTION = frozenset(("email",)) | _WORDY | _NUMBERS | _STREETY
 
 
 def features(toks: list[tuple[str, str, int, int]]) -> list[list[str]]:
-    """Names of the features that are on at each token; none where the token can only be O."""
+    """Names of the features that are on at each token; none where the token can only be O.
+
+    Words count by their shape and the kind of cue they are, never by their spelling."""
     n = len(toks)
-    shapes = ["^^", "^"] + [t[0] for t in toks] + ["$", "$$", "$$$"]
-    words = [t[1] for t in toks]
+    cue = [next((_CUE[w] for w in t[1].split("-") if w in _CUE), None) if t[0] not in ("given", "email") else None for t in toks]
+    shapes = ["^^", "^"] + [f"low:{c}" if c and t[0] == "low" else t[0] for t, c in zip(toks, cue, strict=True)] + ["$", "$$", "$$$"]
+    plain = [t[0] for t in toks]
+    can = _possible(plain)
     out: list[list[str]] = []
-    before = ["^", "^"]  # the last two lower-case words
+    heard: list[tuple[int, str]] = []  # cues so far: word number, kind
+    words = 0
     for i in range(n):
-        s = shapes[i + 2]
-        if s in _MENTION or (s in (",", "low", ".", "º", "mixed", "punct") and shapes[i + 1] in _MENTION):
+        s, (name, address) = plain[i], can[i]
+        before = plain[i - 1] if i else "^"
+        inside = before in _MENTION and s in (",", "low", ".", "º", "mixed", "punct")
+        if s in ("email", "plus") or s in NUMBERS or name or (s in _WORDY and (before in _WORDY or before == "," or address)) or (address and (s in _STREETY or inside)) or (inside and before in _WORDY and s == ","):
             p1, p2, n1, n2, n3 = shapes[i + 1], shapes[i], shapes[i + 3], shapes[i + 4], shapes[i + 5]
-            f = [f"s={s}", f"s={s} p={p1}", f"s={s} n={n1}", f"s={s} p={p1} n={n1}", f"s={s} n={n1},{n2}", f"s={s} n={n1},{n2},{n3}", f"s={s} p={p2},{p1}", f"s={s} w={before[-1]}", f"s={s} w={before[-2]},{before[-1]}", f"s={s} gap={p1 in ('low', '=', ':', '^')} w={before[-1]}"]
-            if s in _WORDY and i + 1 < n:
-                f.append(f"pair {words[i]} {words[i + 1]}" if n1 in _WORDY else f"one {words[i]}")
+            f = [f"s={s}", f"s={s} p={p1}", f"s={s} n={n1}", f"s={s} p={p1} n={n1}", f"s={s} n={n1},{n2}", f"s={s} n={n1},{n2},{n3}", f"s={s} p={p2},{p1}"]
+            near = [(c, words - at) for at, c in heard if words - at < 6]
+            f += [f"s={s} near={near[-1][0]}{near[-1][1] > 2}"] if near else [f"s={s} near=no"]
+            f += sorted({f"s={s} left={c}" for c, _ in near})
+            f += sorted({f"s={s} right={c}" for c in cue[i + 1 : i + 5] if c})
+            f.append(f"s={s} name={name} address={address}")
             out.append(f)
         else:
             out.append([])
-        if s == "low" or s == "mixed":
-            before = [before[-1], words[i] if s == "low" else "#"]
+        if s in ("low", "mixed", "plainword", "title", "cap", "upper"):
+            words += 1
+            if cue[i]:
+                heard.append((words, cue[i]))
     return out
 
 
@@ -223,37 +276,53 @@ class Model:
                 if at:
                     out[i] = self.unary[at].sum(0)
                 out[i, _denied(f[0][2:])] = -1e4
+                if "name=False" in f[-1]:
+                    out[i, 4] = -1e4
+                if f[-1].endswith("address=False"):
+                    out[i, 6:] = -1e4
             else:
                 out[i, 1:] = -1e4
         return out
 
     def decode(self, batch: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> list[np.ndarray]:
         """The labels of each text: (potentials, skip edges) -> label numbers; loopy max-product."""
-        order = sorted(range(len(batch)), key=lambda k: len(batch[k][0]))
         result: list[np.ndarray] = [np.zeros(0, int)] * len(batch)
-        for start in range(0, len(order), 512):
-            part = order[start : start + 512]
-            size = max(1, max(len(batch[k][0]) for k in part))
-            u = np.full((len(part), size, len(LABELS)), -1e4, np.float32)
-            u[:, :, 0] = 0
-            for r, k in enumerate(part):
-                u[r, : len(batch[k][0])] = batch[k][0]
-            edges = np.array([(r, i, j) for r, k in enumerate(part) for i, j in batch[k][1]], int).reshape(-1, 3)
+        # Texts with and without skip edges apart, by length, so many that a batch and its padding have a bounded size.
+        order = sorted(range(len(batch)), key=lambda k: (bool(batch[k][1]), len(batch[k][0])))
+        start = 0
+        while start < len(order):
+            end, tied = start + 1, bool(batch[order[start]][1])
+            while end < len(order) and bool(batch[order[end]][1]) == tied and (end + 1 - start) * len(batch[order[end]][0]) <= BATCH_TOKENS:
+                end += 1
+            for k, labels in zip(order[start:end], self._labelled([batch[k] for k in order[start:end]]), strict=True):
+                result[k] = labels
+            start = end
+        return result
+
+    def _labelled(self, part: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> list[np.ndarray]:
+        size = max(1, max(len(u) for u, _ in part))
+        u = np.full((len(part), size, len(LABELS)), -1e4, np.float32)
+        u[:, :, 0] = 0
+        for r, (own, _) in enumerate(part):
+            u[r, : len(own)] = own
+        edges = np.array([(r, i, j) for r, (_, pairs) in enumerate(part) for i, j in pairs], int).reshape(-1, 3)
+        belief = self._chain(u)
+        if len(edges):
             tie = np.where(CLASS[:, None] == CLASS[None, :], self.same[CLASS][:, None], 0).astype(np.float32)
             to_j, to_i = np.zeros((len(edges), len(LABELS)), np.float32), np.zeros((len(edges), len(LABELS)), np.float32)
-            for _ in range(ROUNDS if len(edges) else 1):
+            for _ in range(ROUNDS):
+                bi, bj = belief[edges[:, 0], edges[:, 1]], belief[edges[:, 0], edges[:, 2]]
+                new_j, new_i = self._over(bi - to_i, tie), self._over(bj - to_j, tie)
+                change = max(np.abs(new_j - to_j).max(), np.abs(new_i - to_i).max())
+                to_j, to_i = (to_j + new_j) / 2, (to_i + new_i) / 2
                 total = u.copy()
-                if len(edges):
-                    np.add.at(total, (edges[:, 0], edges[:, 2]), to_j)
-                    np.add.at(total, (edges[:, 0], edges[:, 1]), to_i)
+                np.add.at(total, (edges[:, 0], edges[:, 2]), to_j)
+                np.add.at(total, (edges[:, 0], edges[:, 1]), to_i)
                 belief = self._chain(total)
-                if len(edges):
-                    bi, bj = belief[edges[:, 0], edges[:, 1]], belief[edges[:, 0], edges[:, 2]]
-                    to_j, to_i = self._over(bi - to_i, tie), self._over(bj - to_j, tie)
-            labels = belief.argmax(2)
-            for r, k in enumerate(part):
-                result[k] = labels[r, : len(batch[k][0])]
-        return result
+                if change < SETTLED:
+                    break
+        labels = belief.argmax(2)
+        return [labels[r, : len(own)] for r, (own, _) in enumerate(part)]
 
     @staticmethod
     def _over(belief: np.ndarray, tie: np.ndarray) -> np.ndarray:

@@ -1,20 +1,56 @@
 import random
 
-from lumenlog.llm.pii import Model, _plain, find_mentions, mentions, redact, skips
-from lumenlog.llm.pii_train import GIVEN, sentence
+import numpy as np
+from pyspark.sql import functions as F
+
+from lumenlog.llm.pii import CUES, NUMBERS, STREET, TRIGGER, Model, _plain, features, find_mentions, mentions, redact, skips, tokens
+from lumenlog.llm.pii_train import GIVEN, HELD_OUT, TEMPLATES, report
 
 GIVEN_SET = frozenset(_plain(g) for g in GIVEN)
-NAMES = {"email": "email", "phone": "phone", "id": "id_number", "name": "name", "addr": "street_address"}
 
 
-def test_held_out_accuracy():
-    r = random.Random(99)
-    sample = [sentence(r) for _ in range(1500)]
-    got = mentions([t for t, _ in sample], Model.load(), GIVEN_SET)
-    want = [{(NAMES[k], s) for k, s, _ in spans} for _, spans in sample]
-    have = [{(k, s) for k, s, _ in g} for g in got]
-    hit = sum(len(a & b) for a, b in zip(want, have, strict=True))
-    assert hit / sum(map(len, want)) > 0.97 and hit / sum(map(len, have)) > 0.97
+def test_templates_held_out():
+    """Precision and recall of every kind on sentences whose templates were not trained on."""
+    assert not set(TEMPLATES) & set(HELD_OUT)
+    got = report(Model.load())
+    assert len(got) == 5 and all(p > 0.95 and r > 0.95 for p, r in got.values()), got
+
+
+def test_numbers_named_in_other_words():
+    texts = {
+        "ssn on file: 123456789 confirmed": [("id_number", "123456789")], "the ssn of the caller is 123456789": [("id_number", "123456789")], "passport number:\n123456789": [("id_number", "123456789")],
+        "steuer-id 12345678901 gemeldet": [("id_number", "12345678901")], "call 415 555 2671 or 0301234567890 please": [("phone", "415 555"), ("phone", "03012")],
+    }
+    got = mentions(list(texts), Model.load(), GIVEN_SET)
+    assert [[(k, s) for k, s, _ in g] for g in got] == [[(k, t.index(w)) for k, w in want] for t, want in texts.items()]
+
+
+def test_trigger_loses_no_text_with_a_token_that_can_be_labelled(spark):
+    """Texts of random pieces: whenever a token may have another label than O, the filter before the field keeps the text."""
+    r = random.Random(11)
+    pieces = ["Anna", "KOCH", "É.", "J.", "ßtraße", "Lindenstraße", "Rue", "rue", "St", "via", "Drive", "12", "3 b", "3.º", "a@b.c", "a [at] b.c", "(at)", "+1 2 3", "+", ",", ".", "-", "/", "(", ")", "123", "4567", "12 34", "123456789", "QQ", "C", "C/ ", "\u00a0", "\u2003", "\u2028", "\x1c", "\t", "\n", " ", " ", "\u0661\u0662\u0663", "Ⅷ", "ǅ", "é", "_", "'", "x9", "0", "555", "0192"]
+    texts = ["".join(r.choice(pieces) + r.choice(["", " ", " "]) for _ in range(r.randint(1, 6))) for _ in range(6000)]
+    can = [any(f and not (f[-1] == f"s={f[0][2:]} name=False address=False" and f[0][2:] not in ("email", "plus", *NUMBERS)) for f in features(tokens(t, GIVEN_SET))) for t in texts]
+    kept = {x["i"] for x in spark.createDataFrame(list(enumerate(texts)), "i long, text string").where(F.col("text").rlike(TRIGGER)).collect()}
+    assert sum(can) > 1000 and [t for i, t in enumerate(texts) if can[i] and i not in kept] == []
+
+
+def test_long_texts_are_labelled_in_bounded_batches():
+    long = "value 12 of Anna Koch " * 30_000
+    got = mentions([long, *["mail from Anna Koch"] * 500], Model.load(), GIVEN_SET)
+    assert len(got[0]) == 30_000 and all(len(g) == 1 for g in got[1:])
+
+
+def test_messages_over_skip_edges_settle():
+    model = Model.load()
+    r = np.random.default_rng(3)
+    batch = [(r.normal(size=(12, 8)).astype(np.float32), [(0, 5), (5, 9), (1, 9), (0, 9)]) for _ in range(20)]
+    together = model.decode(batch)
+    assert all((a == model.decode([b])[0]).all() for a, b in zip(together, batch, strict=True))
+
+
+def test_cues_are_no_sentences():
+    assert all(w.isalpha() for words in CUES.values() for w in words.split()) and "avenue" in STREET
 
 
 def test_find_and_redact(spark):
