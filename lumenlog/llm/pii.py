@@ -35,7 +35,7 @@ CLASS = np.array([0, 1, 2, 3, 4, 4, 5, 5])
 #: Most rounds of messages over the skip edges, and the change below which they count as settled.
 ROUNDS, SETTLED = 40, 1e-3
 #: Tokens of a batch that is labelled at once, padding included.
-BATCH_TOKENS = 65_536
+BATCH_TOKENS = 131_072
 
 # Words of streets and dwellings, titles, words that say what a number, a name or an address near them is, and capitalised words that are no names.
 STREET = frozenset("st street avenue ave road rd blvd boulevard lane ln drive dr court ct square sq way place pl terrace rue calle avenida av via platz allee chemin impasse plaza paseo".split())
@@ -169,12 +169,18 @@ def _shape(kind: str, token: str, given: frozenset[str]) -> str:
 
 def tokens(text: str, given: frozenset[str]) -> list[tuple[str, str, int, int]]:
     """(shape, lower-cased text, start, end) of every token."""
-    out, at = [], 0
-    while (m := _TOKEN.search(text, at)) is not None:
-        token, at = m[0], m.end()
-        if m.lastgroup == "plus" and (cut := _number_end(token)) < len(token):
-            token, at = token[:cut], m.start() + cut
-        out.append((_shape(m.lastgroup, token, given), token.lower(), m.start(), at))
+    out: list[tuple[str, str, int, int]] = []
+    at = 0
+    while at < len(text):
+        begun = at
+        at = len(text)
+        for m in _TOKEN.finditer(text, begun):
+            kind, token = m.lastgroup, m[0]
+            if kind == "plus" and (cut := _number_end(token)) < len(token):
+                out.append((kind, token[:cut], m.start(), m.start() + cut))
+                at = m.start() + cut
+                break
+            out.append((_shape(kind, token, given), token.lower(), m.start(), m.end()))
     return out
 
 
@@ -248,9 +254,13 @@ def skips(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, int]]:
     return found
 
 
-@functools.lru_cache(maxsize=1000)
-def _denied(shape: str) -> list[int]:
-    return [k for k in range(1, len(LABELS)) if k not in _allowed(shape)]
+@functools.lru_cache(maxsize=10_000)
+def _mask(first: str, last: str) -> tuple[float, ...]:
+    """Minus a lot for each label that a token of this shape, here, can't have; from its first and last feature."""
+    denied = set(range(1, len(LABELS))) - set(_allowed(first[2:]))
+    denied |= {4} if "name=False" in last else set()
+    denied |= {6, 7} if last.endswith("address=False") else set()
+    return tuple(-1e4 * (k in denied) for k in range(len(LABELS)))
 
 
 class Model:
@@ -269,19 +279,15 @@ class Model:
 
     def potentials(self, feats: list[list[str]]) -> np.ndarray:
         """(tokens, labels): a token without features can only be O."""
-        index, out = self.index, np.zeros((len(feats), len(LABELS)), np.float32)
-        for i, f in enumerate(feats):
-            if f:
-                at = [index[x] for x in f if x in index]
-                if at:
-                    out[i] = self.unary[at].sum(0)
-                out[i, _denied(f[0][2:])] = -1e4
-                if "name=False" in f[-1]:
-                    out[i, 4] = -1e4
-                if f[-1].endswith("address=False"):
-                    out[i, 6:] = -1e4
-            else:
-                out[i, 1:] = -1e4
+        index, last = self.index, len(self.unary) - 1
+        out = np.zeros((len(feats), len(LABELS)), np.float32)
+        out[:, 1:] = -1e4
+        on = [i for i, f in enumerate(feats) if f]
+        if on:
+            at = [index.get(x, last) for i in on for x in feats[i]]
+            starts = np.cumsum([0] + [len(feats[i]) for i in on[:-1]])
+            out[on] = np.add.reduceat(self.unary[at], starts)
+            out[on] += np.array([_mask(feats[i][0], feats[i][-1]) for i in on], np.float32)
         return out
 
     def decode(self, batch: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> list[np.ndarray]:
@@ -341,13 +347,25 @@ class Model:
 
 def mentions(texts: list[str], model: Model, given: frozenset[str]) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of every mention of each text, in characters from 0."""
-    toks = [tokens(t, given) for t in texts]
-    labels = model.decode([(model.potentials(features(t)), skips(t)) for t in toks])
+    toks, batch, at = [], [], []
+    for text in texts:
+        t = tokens(text, given)
+        f = features(t)
+        on = [i for i, x in enumerate(f) if x]
+        toks.append(t)
+        if on:
+            # Tokens before the first and after the last that can be labelled are O whatever the others are; one of each is kept as a neighbour.
+            low, high = max(0, on[0] - 1), on[-1] + 2
+            batch.append((model.potentials(f[low:high]), [(i - low, j - low) for i, j in skips(t) if low <= i < high and low <= j < high]))
+            at.append((len(toks) - 1, low))
+    labels = [np.zeros(len(t), int) for t in toks]
+    for (k, low), y in zip(at, model.decode(batch), strict=True):
+        labels[k][low : low + len(y)] = y
     out = []
     for t, y in zip(toks, labels, strict=True):
         found: list[tuple[str, int, int]] = []
-        for i, k in enumerate(y.tolist()):
-            name = LABELS[k]
+        for i in np.flatnonzero(y).tolist():
+            name = LABELS[y[i]]
             if name in KINDS:
                 found.append((KINDS[name], t[i][2], t[i][3]))
             elif name in ("IN", "IA"):
