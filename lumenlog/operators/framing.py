@@ -30,6 +30,17 @@ def previous(df: DataFrame, keys: list[str], at: str, block: int = 86_400_000, s
     return rows.withColumn("previous", before).join(carried, [*keys, blk], "left").withColumn("previous", F.coalesce("previous", last)).drop(blk, last)
 
 
+def lagged(df: DataFrame, keys: list[str], at: str, column: str, out: str, block: int = 86_400_000) -> DataFrame:
+    """``df`` with ``out``: ``column`` of the key's row before in order of ``at``, null for the first; in blocks of time, as ``previous``."""
+    blk, last = fresh(df, "block"), fresh(df, "last")
+    value = F.struct(F.col(column).alias("v"))
+    rows = df.withColumn(blk, F.floor(F.col(at) / block))
+    ends = rows.groupBy(*keys, blk).agg(F.max_by(value, at).alias(last))
+    carried = ends.withColumn(last, F.lag(last).over(W.partitionBy(*keys).orderBy(blk)))
+    got = rows.withColumn(out, F.lag(value).over(W.partitionBy(*keys, blk).orderBy(at))).join(carried, [*keys, blk], "left")
+    return got.withColumn(out, F.coalesce(out, last).getField("v")).drop(blk, last)
+
+
 def runs(df: DataFrame, keys: list[str], at: str, gap: int, block: int = 86_400_000) -> DataFrame:
     """``df`` with ``run``: a new run of a key begins where more than ``gap`` passed since the row before; numbered from 1, in blocks of time."""
     blk, begins, ahead = fresh(df, "block"), fresh(df, "begins"), fresh(df, "ahead")

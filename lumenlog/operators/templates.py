@@ -184,9 +184,12 @@ def message_ids(df: DataFrame, component: str, text: str, order: str) -> DataFra
     return got.select(component, text, F.concat_ws("_", component, "number").alias("message_id"))
 
 
-def templates(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """(key, n_texts, template): the ordered fold of the texts of a key; equal texts take part once, so a key's work is bounded by its distinct texts."""
-    distinct = df.where(f"`{key}` is not null and `{text}` is not null").groupBy(key, text).agg(F.min(order).alias("first"))
+def templates(df: DataFrame, key: str | list[str], text: str, order: str) -> DataFrame:
+    """(key columns, n_texts, template): the ordered fold of the texts of a key; equal texts take part once, so a key's work is bounded by its distinct texts.
+
+    Rows with a null in a key column or without a text are left out."""
+    keys = [key] if isinstance(key, str) else key
+    distinct = df.where(" and ".join(f"`{c}` is not null" for c in [*keys, text])).groupBy(*keys, text).agg(F.min(order).alias("first"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf.sort_values(["first", text])[text].tolist()
@@ -195,8 +198,11 @@ def templates(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
             got = template(got, t)
             if got == "*":
                 break
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_texts": [len(texts)], "template": [got]})
-
-    return distinct.groupBy(key).applyInPandas(fold, f"`{key}` string, n_texts long, template string")
-
-
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n_texts": [len(texts)], "template": [got]})
+
+    # A key with one text needs no fold.
+    counted = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_texts"), F.min(text).alias("template"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    single = counted.where("n_texts = 1")
+    several = distinct.join(counted.where("n_texts > 1").select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(fold, f"{kinds}, n_texts long, template string")
+    return several.unionByName(single)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,27 @@ def interval_summaries(df: DataFrame, length: int) -> DataFrame:
     return df.groupBy("source_id", frame.alias("frame"), "message_id").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("first_ms"), F.array_sort(F.collect_set(tick)).alias("ticks"))
 
 
+def message_summaries(df: DataFrame, length: int) -> DataFrame:
+    """Whole summaries per source, frame and id of (source_id, message_id, ms, instance_id, text, severity, cnt, cnt_failed): n and failed (sums), first_ms,
+    ticks, severity (that of the first message), critical and sample as ``text_samples`` gives them. A null cnt counts 1, a null cnt_failed 0."""
+    frame = frame_start(F.col("ms"), length)
+    tick = F.floor((F.col("ms") - frame) * TICKS / length).cast("int")
+    score = F.when(F.col("text").isNotNull(), critical_score(F.col("text")).cast("long"))
+    place = F.when(score.isNotNull(), F.struct(score, -F.col("ms"), -F.col("instance_id")))
+    return df.groupBy("source_id", frame.alias("frame"), "message_id").agg(
+        F.sum(F.coalesce("cnt", F.lit(1)).cast("long")).alias("n"), F.sum(F.coalesce("cnt_failed", F.lit(0)).cast("long")).alias("failed"), F.min("ms").alias("first_ms"), F.array_sort(F.collect_set(tick)).alias("ticks"),
+        F.min_by("severity", F.struct("ms", "instance_id")).alias("severity"), F.max(score).alias("critical"), F.max_by("text", place).alias("sample"),
+    )
+
+
+def merged_summaries(df: DataFrame, keys: list[str], *time_vectors: str) -> DataFrame:
+    """Finer summaries of ``message_summaries`` merged by ``keys``: counts add up, the severity is the largest, the sample that of the highest
+    critical score (of equal ones the first), ticks in the columns ``time_vectors`` are united."""
+    place = F.when(F.col("critical").isNotNull(), F.struct("critical", -F.col("first_ms")))
+    united = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in time_vectors]
+    return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.min("first_ms").alias("first_ms"), F.max("severity").alias("severity"), F.max("critical").alias("critical"), F.max_by("sample", place).alias("sample"), *united)
+
+
 def text_samples(df: DataFrame, length: int) -> DataFrame:
     """(source_id, frame, message_id, sample, score): the first text, replaced by any later one of a strictly higher critical-word score.
 
@@ -53,10 +76,18 @@ def bernoulli_full(summaries: DataFrame, length: int, context: str | None = None
     return per.select("message_id", "seen", "n_intervals", p.alias("probability"), q.alias("out_probability"), odds(p).alias("odds"), (-F.log(p / (1 - p))).alias("log_prob"))
 
 
-def log_normal(summaries: DataFrame) -> DataFrame:
-    """mu, the mean of ln n; sigma = max(0.5, sqrt(mu)); the largest n, and whether its score says that the fit is bad (at least 15)."""
-    per = summaries.groupBy("message_id").agg(F.avg(F.log("n")).alias("mu"), F.max("n").alias("max_n"))
-    return per.withColumn("bad_fit", -log_normal_log_prob(F.col("max_n"), F.col("mu")) >= 15)
+def log_normal(summaries: DataFrame, context: str | None = None) -> DataFrame:
+    """(message_id, mu, max_n, bad_fit): mu, the mean of ln n; the largest n, and whether its score says that the fit is bad (at least 15).
+
+    With ``context`` (a boolean column: the id is explained by its cluster here) mu is that of the other intervals only, 1 at most and the least
+    of all ids where there are none; the largest n is that of all intervals."""
+    inside = F.coalesce(F.col(context), F.lit(False)) if context else F.lit(False)
+    per = summaries.groupBy("message_id").agg(F.avg(F.when(~inside, F.log("n"))).alias("mu"), F.max("n").alias("max_n"))
+    if context:
+        least = per.where("mu > 0").agg(F.least(F.lit(1.0), F.min("mu")).alias("m"))
+        per = per.withColumn("least", least.scalar()).withColumn("fitted", F.col("mu") > 0).withColumn("mu", F.coalesce("mu", "least", F.lit(1.0)))
+    bad = -log_normal_log_prob(F.col("max_n"), F.col("mu")) >= 15
+    return per.withColumn("bad_fit", bad & F.coalesce("fitted", F.lit(False)) if context else bad).drop("least", "fitted")
 
 
 def log_normal_log_prob(n: Column, mu: Column) -> Column:
@@ -66,19 +97,28 @@ def log_normal_log_prob(n: Column, mu: Column) -> Column:
     return F.when(z <= 0, 0.0).otherwise(-z * z / 2)
 
 
-def poisson(summaries: DataFrame, length: int) -> DataFrame:
-    """rate = occurrences over intervals."""
-    per = _with_n(summaries.groupBy("message_id").agg(F.sum("n").alias("total")), summaries, length)
-    return per.select("message_id", "total", (F.col("total") / F.col("n_intervals")).alias("rate"))
+def poisson(summaries: DataFrame, length: int, context: str | None = None) -> DataFrame:
+    """(message_id, total, rate, least_rate): rate = occurrences over all intervals; with ``context`` only occurrences outside of it count.
+
+    ``least_rate`` is the least rate above 0 of all ids, 1 at most: what an id without a rate is scored by."""
+    counted = F.sum(F.when(F.coalesce(F.col(context), F.lit(False)), 0).otherwise(F.col("n"))) if context else F.sum("n")
+    per = _with_n(summaries.groupBy("message_id").agg(counted.alias("total")), summaries, length).withColumn("rate", F.col("total") / F.col("n_intervals"))
+    least = per.where("total > 0").agg(F.least(F.lit(1.0), F.min("rate")).alias("m"))
+    return per.select("message_id", "total", "rate", F.coalesce(least.scalar(), F.lit(1.0)).alias("least_rate"))
 
 
 def log_factorial(n: Column) -> Column:
-    """ln n!, by summing logarithms."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.lit(0.0), lambda a, x: a + F.log(x))
+    """ln n!: a table up to 20, beyond it Stirling's series (exact to the last digits there)."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    table = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(21)])
+    return F.when(n <= 20, F.get(table, F.greatest(n.cast("int"), F.lit(0)))).otherwise(series)
 
 
-def poisson_log_prob(n: Column, rate: Column) -> Column:
-    return n * F.log(rate) - rate - log_factorial(n)
+def poisson_log_prob(n: Column, rate: Column, most: int | None = None) -> Column:
+    """ln of the probability of n events; counts beyond ``most`` count as that many."""
+    k = F.least(n, F.lit(most)) if most else n
+    return k * F.log(rate) - rate - log_factorial(k)
 
 
 def rarity_bucket(n: Column, most: int = 16) -> Column:
@@ -101,6 +141,31 @@ def cooccurrence(summaries: DataFrame) -> DataFrame:
     return a.join(b, ["source_id", "frame"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("joint"))
 
 
+def smoothed_cooccurrence(summaries: DataFrame, length: int, legal: DataFrame | None = None) -> DataFrame:
+    """(a, b, joint, total), a <= b: co-occurrence in 120ths of a frame, over each pair of frames that follow each other in a source.
+
+    An id is away from its last tick in one frame to its first in the next (from the first frame's beginning where it is new, to the next one's end
+    where it ends). Two ids are together for the ticks in which neither is away. The first frame of a run adds 120 to its own pairs, and 1 to
+    ``total``; each later frame adds 120. With ``legal`` (message_id) only pairs of those ids are kept."""
+    s = summaries.select("source_id", "frame", "message_id", F.coalesce(F.get("ticks", F.lit(0)), (TICKS * 0.5 / F.sqrt("n")).cast("int")).alias("first"), F.coalesce(F.element_at(F.when(F.size("ticks") > 0, F.col("ticks")), -1), (TICKS * (1 - 0.5 / F.sqrt("n"))).cast("int")).alias("last"))
+    if legal is not None:
+        s = s.join(legal.select("message_id").distinct(), "message_id", "left_semi")
+    # Frames are dense between a source's ends, so the frame before is there (perhaps empty) but for the first.
+    begin = summaries.groupBy("source_id").agg(F.min("frame").alias("begin"), F.max("frame").alias("end"))
+    before = s.select("source_id", (F.col("frame") + length).alias("frame"), "message_id", "last")
+    both = s.select("source_id", "frame", "message_id", "first").join(before, ["source_id", "frame", "message_id"], "full").join(begin, "source_id")
+    pair = both.where((F.col("frame") > F.col("begin")) & (F.col("frame") <= F.col("end"))).select("source_id", "frame", "message_id", F.coalesce("last", F.lit(0)).alias("from"), F.coalesce("first", F.lit(TICKS)).alias("to"))
+    a, b = (pair.select("source_id", "frame", F.col("message_id").alias(c), F.col("from").alias(f"{c}_from"), F.col("to").alias(f"{c}_to")) for c in "ab")
+    away = lambda c: F.greatest(F.lit(0), F.col(f"{c}_to") - F.col(f"{c}_from"))
+    shared = F.greatest(F.lit(0), F.least("a_to", "b_to") - F.greatest("a_from", "b_from"))
+    together = F.when(F.col("a") == F.col("b"), TICKS - away("a")).otherwise(TICKS - away("a") - away("b") + shared)
+    later = a.join(b, ["source_id", "frame"]).where("a <= b").select("a", "b", together.alias("joint"))
+    first = s.join(begin, "source_id").where("frame = begin").select("source_id", "message_id")
+    initial = first.withColumnRenamed("message_id", "a").join(first.withColumnRenamed("message_id", "b"), "source_id").where("a <= b").select("a", "b", F.lit(TICKS).alias("joint"))
+    total = begin.agg(F.sum(1 + (F.col("end") - F.col("begin")) / length * TICKS).cast("long").alias("t"))
+    return later.unionByName(initial).groupBy("a", "b").agg(F.sum("joint").cast("long").alias("joint")).withColumn("total", total.scalar())
+
+
 def mutual_information(summaries: DataFrame, length: int) -> DataFrame:
     """(a, b, joint, mi): mutual information in bits of two ids' presence, negative where they repel each other."""
     per = summaries.groupBy("message_id").agg(F.count(F.lit(1)).alias("c"))

@@ -16,18 +16,27 @@ from lumenlog.sources import writers
 from lumenlog.sources.tables import table
 
 HOUR = framing.HOUR
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def registry() -> tuple[dict[str, Query], dict[str, str], Callable[..., Callable[[Query], Query]]]:
+    """Queries and SQL by name, and the decorator that adds a query to them."""
+    queries: dict[str, Query] = {}
+    texts: dict[str, str] = {}
 
-    return add
+    def query(sql: str | None = None) -> Callable[[Query], Query]:
+        def add(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql:
+                texts[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, texts, query
+
+
+QUERIES, SQL, query = registry()
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,10 +257,15 @@ def dictionary_encode(spark: SparkSession, folder: str) -> DataFrame:
     return relational.dictionary(table(spark, folder, "messages").select(plain_id("message_id").alias("w")), "w")
 
 
-@query("select source_id, interval_serial, message_id, arg_max(num_occurrences, stored_at) num_occurrences from interval_messages group by 1, 2, 3")
+@query("with d as (select min(stored_at) low from interval_messages) select source_id, interval_serial, message_id, arg_max(num_occurrences, (stored_at::date > low::date + 30, stored_at)) num_occurrences from interval_messages, d group by 1, 2, 3")
 def results_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    i = table(spark, folder, "interval_messages")
-    return i.groupBy("source_id", "interval_serial", "message_id").agg(F.max_by("num_occurrences", "stored_at").alias("num_occurrences"))
+    """What was stored in the first month, with the later results put in its place."""
+    i = table(spark, folder, "interval_messages").select("source_id", "interval_serial", "message_id", "num_occurrences", "stored_at")
+    day = F.to_date("stored_at")
+    late = day > i.agg(F.date_add(F.to_date(F.min("stored_at")), 30).alias("low")).scalar()
+    keys = ["source_id", "interval_serial", "message_id"]
+    newest = lambda df: df.groupBy(*keys).agg(F.max_by("num_occurrences", "stored_at").alias("num_occurrences"))
+    return relational.upsert(newest(i.where(~late)), newest(i.where(late)), keys)
 
 
 @query("with m as (select distinct nullif(lower(trim(source_id, ' \t\r\n')), '') s from messages), i as (select distinct lower(trim(source_id, ' \t\r\n')) s from interval_messages) select x.source_id, x.os_name from sources x join m on m.s = x.source_id join i on i.s = x.source_id")
@@ -395,9 +409,8 @@ def logger_gaps(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {S} select message_id, cast(floor(min(p) * 1e9 + 0.5) / 1e9 as double) least_lp from (select s.message_id, n * ln(l) - l - lgamma(n + 1.0) p from s join (select message_id, sum(n) / any_value(n_intervals) l from s, nn group by 1) m on m.message_id = s.message_id) group by 1")
 def poisson_scores(spark: SparkSession, folder: str) -> DataFrame:
     s = hourly(spark, folder)
-    m = training.poisson(s, HOUR).select("message_id", "rate")
-    lp = training.poisson_log_prob(F.col("n"), F.col("rate"))
-    return s.join(m, "message_id").groupBy("message_id").agg((F.floor(F.min(lp) * 1e9 + 0.5) / 1e9).alias("least_lp"))
+    got = scoring.poisson_scores(s, training.poisson(s, HOUR))
+    return got.groupBy("message_id").agg((F.floor(-F.max("poisson_score") * 1e9 + 0.5) / 1e9).alias("least_lp"))
 
 
 @query()
@@ -453,14 +466,19 @@ def periodicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("message_id", "bin", "c", (F.round("score", 9) + 0.0).alias("score"), F.round("given_last", 9).alias("given_last"))
 
 
-@query(f"with {S}, {_CO}, l as (select a i, b mate, joint from p union all select b, a, joint from p), b as (select i, arg_max(mate, (joint, mate)) mate, max(joint) joint from l group by 1), r as (select s.source_id, s.frame, s.message_id, b.mate, o.message_id is not null mate_seen, joint, ci.c c, cm.c m, n_intervals n from s join b on b.i = s.message_id left join s o on o.source_id = s.source_id and o.frame = s.frame and o.message_id = b.mate join c ci on ci.message_id = s.message_id join c cm on cm.message_id = b.mate, nn) select source_id, frame, message_id, mate, mate_seen, round(case when mate_seen then (joint + 0.5) / (m + 1) else (c - joint + 0.5) / (n - m + 1) end, 9) prob from r")
+@query(f"""with {S}, {_CO}, d as (select a i, b mate, joint, cast(ca as double) c, cast(cb as double) m, cast(n as double) n from q union all select b, a, joint, cb, ca, n from q),
+h as (select i, mate, n, m, joint / m p, case when n = m then 0 else (c - joint) / (n - m) end r from d),
+x as (select i message_id, mate, round(m / n * (case when p <= 0 or p >= 1 then 0 else -p * log2(p) - (1 - p) * log2(1 - p) end) + (n - m) / n * (case when r <= 0 or r >= 1 then 0 else -r * log2(r) - (1 - r) * log2(1 - r) end), 9) entropy from h),
+b as (select message_id i, arg_min(mate, (entropy, mate)) mate from x group by 1), j as (select b.i, b.mate, joint from b join (select a i, b mate, joint from p union all select b, a, joint from p) l on l.i = b.i and l.mate = b.mate),
+r as (select s.source_id, s.frame, s.message_id, j.mate, o.message_id is not null mate_seen, joint, ci.c c, cm.c m, n_intervals n from s join j on j.i = s.message_id left join s o on o.source_id = s.source_id and o.frame = s.frame and o.message_id = j.mate join c ci on ci.message_id = s.message_id join c cm on cm.message_id = j.mate, nn)
+select source_id, frame, message_id, mate, mate_seen, round(case when mate_seen then (joint + 0.5) / (m + 0.5) else (c - joint + 0.5) / (n - m + 0.5) end, 9) prob from r""")
 def mate_context_scores(spark: SparkSession, folder: str) -> DataFrame:
     s = hourly(spark, folder).select("source_id", "frame", "message_id", "n")
+    best = training.best_predictor(s, HOUR).select("message_id", "mate")
     p = training.cooccurrence(s)
     both = p.select(F.col("a").alias("message_id"), F.col("b").alias("mate"), "joint").unionByName(p.select(F.col("b").alias("message_id"), F.col("a").alias("mate"), "joint"))
-    best = both.groupBy("message_id").agg(F.max(F.struct("joint", "mate")).alias("x")).select("message_id", "x.mate", "x.joint")
     counts = s.groupBy("message_id").agg(F.count(F.lit(1)).alias("c"))
-    got = context.mate_scores(s, best, counts, F.lit(training.n_intervals(s, HOUR).first()[0]))
+    got = context.mate_scores(s, best.join(both, ["message_id", "mate"]), counts, training.n_intervals(s, HOUR).scalar())
     return got.withColumn("prob", F.round("prob", 9))
 
 
@@ -469,8 +487,9 @@ g as (select message_id, n, v, b, b / 100.0 * (n + 1) pos, cast(floor(b / 100.0
 select message_id, cast(b as integer) bin, round(case when lo >= n then v[-1] else (case when lo = 0 then 0 else v[lo] end) + (pos - lo) * (coalesce(v[lo + 1], 0) - (case when lo = 0 then 0 else v[lo] end)) end, 6) as value from g""")
 def percentile_nist_100(spark: SparkSession, folder: str) -> DataFrame:
     s = hourly(spark, folder).select("message_id", F.col("n").cast("double").alias("n"))
-    total = F.count(F.lit(1)).over(W.partitionBy("message_id")) + 50
-    return context.nist_percentiles(s, "message_id", "n", 100, total).withColumn("value", F.round("value", 6))
+    # Fifty intervals without the message stand for zeros.
+    total = s.groupBy("message_id").agg((F.count(F.lit(1)) + 50).alias("total"))
+    return context.nist_percentiles(s.join(total, "message_id"), "message_id", "n", 100, F.col("total")).withColumn("value", F.round("value", 6))
 
 
 @query(f"with {S}, i as (select source_id, frame, sum(n) score from s group by 1, 2), d as (select distinct source_id, frame - frame % 86400000 d from i), g as (select source_id, d, unnest(range(0, 24)) k from d) select g.source_id, d as day, cast(k as integer) serial, cast(score as bigint) score, score is null missing from g left join i on i.source_id = g.source_id and i.frame = d + k * 3600000")
