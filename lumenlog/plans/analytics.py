@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenlog.operators import clusters, context, framing, relational, scoring, training
+from lumenlog.operators import clusters, context, framing, lines, relational, scoring, statistics, training
 from lumenlog.operators.templates import message_ids, templates
 from lumenlog.functions import text as T
 from lumenlog.functions.ids import plain_id
@@ -217,10 +217,7 @@ def best_of_two(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {E}, k as (select unnest([1, 2, 3, 6, 12, 24]) k) select source_id, k slots, ms // (600000 * k) slot, count(*) n, count(distinct message_id) n_ids from e, k group by 1, 2, 3")
 def message_rate_multi_granularity(spark: SparkSession, folder: str) -> DataFrame:
-    # Ten-minute summaries first: the wider slots read those, not the rows.
-    fine = training.interval_summaries(events(spark, folder), 600_000).select("source_id", "message_id", "frame", "n")
-    wide = fine.withColumn("slots", F.explode(F.array(*map(F.lit, (1, 2, 3, 6, 12, 24)))))
-    return wide.groupBy("source_id", "slots", F.floor(F.col("frame") / (F.col("slots") * 600_000)).alias("slot")).agg(F.sum("n").alias("n"), F.count_distinct("message_id").alias("n_ids"))
+    return statistics.message_rates(events(spark, folder)).select("source_id", "slots", "slot", "n", "n_ids")
 
 
 @query(f"with {E}, r as (select source_id, ms // 600000 slot, count(*) n from e group by 1, 2) select source_id, count(*) slots, round(avg(n), 9) mean_n, min(n) min_n, max(n) max_n, round(stddev_pop(n), 9) sd_n from r group by 1")
@@ -229,10 +226,12 @@ def message_rate_stats(spark: SparkSession, folder: str) -> DataFrame:
     return r.groupBy("source_id").agg(F.count(F.lit(1)).alias("slots"), F.round(F.avg("n"), 9).alias("mean_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.round(F.stddev_pop("n"), 9).alias("sd_n"))
 
 
-@query(r"with r as (select array_to_string((string_split(trim(regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '[ \t]+', ' ', 'g')), ' '))[1:4], ' ') head from log_lines) select head, count(*) n from r group by 1 order by n desc, head limit 20")
+_OLD, _NEW = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) {1,2}\d{1,2} \d\d:\d\d:\d\d", r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)"
+
+
+@query(f"with r as (select array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(line, '{_NEW}', '<time>', 'g'), '{_OLD}', '<month> <day> <clock>', 'g'), ' +'), lambda w: w <> '')[1:case when regexp_matches(line, '{_NEW}') then 10 when regexp_matches(line, '{_OLD}') then 7 else 4 end], ' ') head from log_lines) select head, count(*) n from r group by 1 order by n desc, head limit 20")
 def parse_error_topk(spark: SparkSession, folder: str) -> DataFrame:
-    head = F.array_join(F.slice(F.split(F.btrim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "0"), "[ \t]+", " ")), " "), 1, 4), " ")
-    return table(spark, folder, "log_lines").groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "head").limit(20)
+    return statistics.error_top(table(spark, folder, "log_lines"), lines.error_heads(F.col("line")))
 
 
 @query(f"with {E} select event_id, source_id from (select *, row_number() over (partition by source_id, ms // 3600000 order by ms, event_id) k from e) where k <= 5")
@@ -242,8 +241,7 @@ def unexpected_source_limit5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {E}, u as (select source_id, count(distinct message_id) ids, count(distinct ms // 3600000) n_hours from e group by 1) select *, (ids < 180 and n_hours < 1000) or (ids < 20 and n_hours >= 1000) insufficient from u")
 def training_sufficiency(spark: SparkSession, folder: str) -> DataFrame:
-    u = events(spark, folder).groupBy("source_id").agg(F.count_distinct("message_id").alias("ids"), F.count_distinct(F.floor(F.col("ms") / HOUR)).alias("n_hours"))
-    return u.withColumn("insufficient", F.expr("(ids < 180 and n_hours < 1000) or (ids < 20 and n_hours >= 1000)"))
+    return statistics.sufficiency(events(spark, folder))
 
 
 @query("select source_id, case when source_id like 'dns-%' then 'names' when source_id like 'mq-%' then 'queues' when regexp_matches(source_id, '^.*-3.?$') then 'thirties' else 'UNASSIGNED' end group_name from sources")
@@ -507,7 +505,7 @@ def timeline_rescale(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {S} select message_id, count(*) k from s group by 1 having count(*) > 100")
 def drop_rare_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return hourly(spark, folder).groupBy("message_id").agg(F.count(F.lit(1)).alias("k")).where("k > 100")
+    return statistics.frequent_ids(hourly(spark, folder), 100)
 
 
 @query("select o_orderkey, count(*) over (partition by o_custkey order by o_totalprice desc, o_orderkey) place, o_totalprice from orders qualify place <= 5")
