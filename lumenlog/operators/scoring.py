@@ -132,11 +132,11 @@ def interval_scores(messages: DataFrame) -> DataFrame:
     return messages.groupBy("source_id", "frame").agg(F.sum("anomaly").alias("score"), F.count(F.lit(1)).alias("n_ids"))
 
 
-def percentile_rank(scores: DataFrame, buckets: int = 1000) -> DataFrame:
+def percentile_rank(scores: DataFrame, buckets: int = 1000, table: DataFrame | None = None) -> DataFrame:
     """Scores as their place in the percentile table: the first bucket whose value is not below, over ``buckets``; 1.01 beyond 1.5 times the largest.
 
-    The table has ``buckets`` numbers, so it goes to the tasks as one array."""
-    table = percentile_table(scores, "score", buckets).agg(F.array_sort(F.collect_list("value")).alias("t"))
+    The table (bucket, value) is that of the scores themselves unless given; it has ``buckets`` numbers, so it goes to the tasks as one array."""
+    table = (percentile_table(scores, "score", buckets) if table is None else table).agg(F.array_sort(F.collect_list("value")).alias("t"))
     # Two steps: how many of every 32nd value are below, then how many of the 32 after those.
     step = 32
     both = table.select(F.struct("t", F.filter("t", lambda x, i: i % step == step - 1).alias("coarse")).alias("t")).scalar()

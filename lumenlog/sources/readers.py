@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlog.operators.loglines import _head
+from lumenlog.sources import files
 
 
 def log_files(spark: SparkSession, path: str, only_gzip: bool = False) -> DataFrame:
@@ -30,12 +30,18 @@ def line_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataF
     return spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
-def demultiplexed(df: DataFrame, known: list[str] | None = None) -> DataFrame:
-    """Lines of a followed set of logs with the ``log`` each belongs to: '==> name <==' switches; header lines, the blank line before one, and unknown logs are dropped."""
-    w = W.partitionBy("file").orderBy("line_no")
+def demultiplexed(df: DataFrame, known: list[str] | None = None, block: int = 8192) -> DataFrame:
+    """Lines (file, line_no, line) of a followed set of logs with the ``log`` each belongs to: '==> name <==' switches; header lines, the blank line before one, and
+    unknown logs are dropped. Files are taken by blocks of lines; what holds at a block's end is carried on, what follows it is the next block's first line."""
     name = F.nullif(F.regexp_extract("line", r"^==> (.*) <==$", 1), F.lit(""))
-    marked = df.withColumn("own", name).withColumn("log", F.last("own", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("own").over(w))
-    kept = marked.where("own is null and log is not null and not (line = '' and next is not null)").drop("own", "next")
+    rows = df.withColumn("own", name).withColumn("blk", F.floor(F.col("line_no") / block))
+    ends = rows.groupBy("file", "blk").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("line_no"))).alias("last"), F.min_by(F.struct("own"), "line_no").alias("first"))
+    by = W.partitionBy("file").orderBy("blk")
+    carried = ends.select("file", "blk", F.last("last", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.lead("first").over(by).getField("own").alias("after"))
+    w = W.partitionBy("file", "blk").orderBy("line_no")
+    marked = rows.join(carried, ["file", "blk"]).withColumn("log", F.coalesce(F.last("own", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "before"))
+    marked = marked.withColumn("next", F.when(F.lead("line_no").over(w).isNull(), F.col("after")).otherwise(F.lead("own").over(w)))
+    kept = marked.where("own is null and log is not null and not (line = '' and next is not null)").drop("own", "next", "blk", "before", "after")
     return kept.where(F.col("log").isin(known)) if known else kept
 
 
@@ -46,7 +52,7 @@ def heads(df: DataFrame, text: str = "line") -> DataFrame:
 
 def groups(path: str) -> tuple[list[dict[str, object]], list[dict[str, object]]]:
     """Analysis groups and rules of a JSON file, validated: names unique without case, evaluation orders consecutive from 1, each rule used, each group's rule there."""
-    data = json.loads(Path(path).read_text())
+    data = json.loads(files.read_text(SparkSession.active(), path))
     found = [g for kind in data["groups"].values() for g in kind]
     rules = data["rules"]
     names = [g["name"].lower() for g in found]
@@ -62,7 +68,7 @@ def groups(path: str) -> tuple[list[dict[str, object]], list[dict[str, object]]]
 def word_list(path: str) -> list[str]:
     """Lower-case words, one a line; '#' begins a comment; several words in a line are an error."""
     words = []
-    for line in Path(path).read_text().splitlines():
+    for line in files.read_text(SparkSession.active(), path).splitlines():
         parts = line.split("#")[0].split()
         if len(parts) > 1:
             raise ValueError(f"several words in a line: {line!r}")
@@ -82,3 +88,14 @@ def intervals(spark: SparkSession, path: str, source: str | None = None, low: st
 def results_xml(spark: SparkSession, path: str) -> DataFrame:
     """Analysed intervals of XML files."""
     return spark.read.format("xml").option("rowTag", "interval").load(path)
+
+
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, v) of a text file of numbers separated by white space, a row a line; numbered from 0. Commas and '#' comments are allowed."""
+    lines = log_files(spark, path).select((F.col("line_no") - 1).alias("i"), F.filter(F.split(F.regexp_replace("line", "#.*$", ""), r"[\s,]+"), lambda x: x != "").alias("p")).where(F.size("p") > 0)
+    return lines.select("i", F.posexplode("p").alias("j", "v")).select("i", "j", F.col("v").cast("double").alias("v"))
+
+
+def new_clusters(spark: SparkSession, path: str, component: str, last: int) -> DataFrame:
+    """Text clusters of a component that are newer than the last one known."""
+    return spark.read.parquet(path).where((F.col("component") == component) & (F.col("number") > last))

@@ -19,7 +19,7 @@ def test_log_files_and_demultiplexing(spark, tmp_path):
     assert sorted((r["log"], r["line"]) for r in got.collect()) == [("a", "one"), ("b", "two")]
 
 
-def test_groups_and_words(tmp_path):
+def test_groups_and_words(spark, tmp_path):
     good = '{"groups": {"modelgroups": [{"name": "g", "evaluationOrder": 1, "ruleName": "r"}]}, "rules": [{"name": "r", "membershipRule": "*"}]}'
     (tmp_path / "g.json").write_text(good)
     assert readers.groups(str(tmp_path / "g.json"))[0][0]["name"] == "g"
@@ -51,8 +51,8 @@ def test_writers(spark, tmp_path):
 def test_model_store(spark, tmp_path):
     m = {"bernoulli": spark.createDataFrame([("a", 0.5)], "message_id string, p double")}
     catalog.store_model(m, str(tmp_path / "m1"), "g", {"version": "1"}, default=True)
-    got, meta = catalog.load_model(spark, catalog.default_model(str(tmp_path), "g"))
-    assert got["bernoulli"].first()["p"] == 0.5 and meta["version"] == "1" and catalog.default_model(str(tmp_path), "other") is None
+    got, meta = catalog.load_model(spark, catalog.default_model(spark, str(tmp_path), "g"))
+    assert got["bernoulli"].first()["p"] == 0.5 and meta["version"] == "1" and catalog.default_model(spark, str(tmp_path), "other") is None
 
 
 def test_relational(spark):
