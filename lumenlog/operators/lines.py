@@ -13,8 +13,12 @@ from lumenlog.sources.tables import fresh
 COMMAND = r"([|;&]*) *((?:(?i:exec) *|\[ *-x *)?[^ ;|&>]+)(?:'[^']*'|>&|[^;|&'])*"
 #: Most commands of a line that name a component, and most characters of a component and of a group.
 COMMANDS, LONGEST, GROUP = 5, 120, 100
-# Words that must be the same in two texts for them to be one message.
-MAGIC = r"(?i)\b(?:(?:start|end|fail|exception|finish|exit|begin|terminat)(?:ed)?|enabled?|disabled?|error|failure|stop|stopped)\b"
+# Words that must be the same in two texts for them to be one message, those that may end in "ed" and those as they are.
+MAGIC_STEMS = "start end fail exception finish exit begin terminat".split()
+MAGIC_WORDS = "enable enabled disable disabled error failure stop stopped".split()
+MAGIC = rf"(?i)\b(?:(?:{'|'.join(MAGIC_STEMS)})(?:ed)?|{'|'.join(sorted(MAGIC_WORDS, key=len, reverse=True))})\b"
+# Forms of the messages of sudo and cron that say who ran what.
+SUDO, CRON = r"(?s)\A([^:]+):.*COMMAND=(.*)\z", r"(?s)\A(\([^)]+\))? CMD \((.*)\) ?\z"
 
 
 def commands(text: Column) -> Column:
@@ -28,7 +32,7 @@ def component(name: Column, text: Column) -> Column:
     """The component of a message: for sudo and cron also the user and the commands run, for puppet-agent the group in its first brackets, both normalised.
 
     A null text leaves the component as it is."""
-    sudo, cron = r"(?s)\A([^:]+):.*COMMAND=(.*)\z", r"(?s)\A(\([^)]+\))? CMD \((.*)\) ?\z"
+    sudo, cron = SUDO, CRON
     low = F.lower(name)
     by_sudo = F.concat(F.btrim(name), F.lit("("), F.btrim(F.regexp_extract(text, sudo, 1)), F.lit("):"), commands(normalised(F.regexp_extract(text, sudo, 2))))
     by_cron = F.concat(name, F.regexp_extract(text, cron, 1), F.lit(":"), commands(normalised(F.regexp_extract(text, cron, 2))))

@@ -8,21 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_WORDS = 120
+#: Words of a text that count; texts that differ only after them are alike. None for all: alignment takes time with the square of the words.
+MOST_WORDS: int | None = 120
 _WORD = re.compile(r"[:,&=!></.\\(){}\[\]]|[^:,&=!></.\\(){}\[\]\s]+")
 
 
-def words(text: str | None) -> list[tuple[str, bool]]:
-    """(word, whether a blank stands before it) of at most MOST_WORDS words; '(CONT.)' is dropped."""
+def words(text: str | None, most: int | None = MOST_WORDS) -> list[tuple[str, bool]]:
+    """(word, whether a blank stands before it) of at most ``most`` words, of all with None; '(CONT.)' is dropped."""
     out = []
     for piece in (text or "").split():
         if piece == "(CONT.)":
             continue
         out += [(m[0], k == 0) for k, m in enumerate(_WORD.finditer(piece))]
-    return out[:MOST_WORDS]
+    return out[:most]
 
 
-def distance(a: list[str], b: list[str], most: int = MOST_WORDS) -> int:
+def distance(a: list[str], b: list[str], most: int = 120) -> int:
     """Edits of whole words between two texts, or ``most`` + 1 where it is more; only a band of ``most`` is computed."""
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -39,11 +40,11 @@ def distance(a: list[str], b: list[str], most: int = MOST_WORDS) -> int:
     return min(row[-1], most + 1)
 
 
-def template(a: str | None, b: str | None) -> str:
+def template(a: str | None, b: str | None, most: int | None = MOST_WORDS) -> str:
     """The common words of two texts in order, with one * for every stretch in which they differ.
 
     Alignment costs one per word; of equal ways back substitution comes before dropping a word of the first, then of the second."""
-    x, y = words(a), words(b)
+    x, y = words(a, most), words(b, most)
     n, m = len(x), len(y)
     cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
     for i in range(1, n + 1):
@@ -160,19 +161,19 @@ def _edits(bits: dict[str, int], n: int, other: list[str]) -> int:
     return got
 
 
-def message_ids(df: DataFrame, component: str, text: str, order: str) -> DataFrame:
+def message_ids(df: DataFrame, component: str, text: str, order: str, most: int | None = MOST_WORDS) -> DataFrame:
     """(component, text, message_id): texts within the threshold of a representative share its id.
 
     The distinct texts of a component are searched in order, most recently used representative first, against all representatives of the component;
     one that is close to none becomes a representative itself. Ids are the component and the running number of the representative.
-    A component is one task; null texts have no id, null components form one of their own."""
+    A component is one task; null texts have no id, null components form one of their own. Only the first ``most`` words of a text count, all with None."""
     distinct = df.where(f"`{text}` is not null").groupBy(component, text).agg(F.min(order).alias("first"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first", text])
         known, ids = Representatives(), []
         for t in pdf[text]:
-            mine = [x for x, _ in words(t)]
+            mine = [x for x, _ in words(t, most)]
             number = known.find(mine)
             ids.append(known.add(mine) if number is None else number)
         return pd.DataFrame({component: pdf[component], text: pdf[text], "number": ids})
@@ -184,10 +185,10 @@ def message_ids(df: DataFrame, component: str, text: str, order: str) -> DataFra
     return got.select(component, text, F.concat_ws("_", component, "number").alias("message_id"))
 
 
-def templates(df: DataFrame, key: str | list[str], text: str, order: str) -> DataFrame:
+def templates(df: DataFrame, key: str | list[str], text: str, order: str, most: int | None = MOST_WORDS) -> DataFrame:
     """(key columns, n_texts, template): the ordered fold of the texts of a key; equal texts take part once, so a key's work is bounded by its distinct texts.
 
-    Rows with a null in a key column or without a text are left out."""
+    Rows with a null in a key column or without a text are left out. Only the first ``most`` words of a text count, all with None."""
     keys = [key] if isinstance(key, str) else key
     distinct = df.where(" and ".join(f"`{c}` is not null" for c in [*keys, text])).groupBy(*keys, text).agg(F.min(order).alias("first"))
 
@@ -195,7 +196,7 @@ def templates(df: DataFrame, key: str | list[str], text: str, order: str) -> Dat
         texts = pdf.sort_values(["first", text])[text].tolist()
         got = texts[0]
         for t in texts[1:]:
-            got = template(got, t)
+            got = template(got, t, most)
             if got == "*":
                 break
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n_texts": [len(texts)], "template": [got]})

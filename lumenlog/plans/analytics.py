@@ -341,7 +341,7 @@ def tokenise_words(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "message_summaries").select("summary_id", F.array_join(T.words(F.col("text_summary")), " ").alias("words"))
 
 
-@query(rf"select instance_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', 'user@example.com', 'g'), '\b(?:{T._OCTET}\.){{3}}{T._OCTET}\b', '127.0.0.1', 'g') as masked from messages")
+@query(rf"select instance_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', 'user@example.com', 'g'), '{T._octets(4)}', '127.0.0.1', 'g') as masked from messages")
 def mask_ip_email(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "messages").select("instance_id", T.masked(F.col("text")).alias("masked"))
 

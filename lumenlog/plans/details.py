@@ -61,7 +61,7 @@ def unexpected_sources(spark: SparkSession, folder: str) -> DataFrame:
     return lines.allowed_sources(m, allowed)[1]
 
 
-@query(rf"with p as (select file, line_no, line, regexp_extract(line, '\A(?:<\d{{1,3}}>)?[A-Z][a-z]{{2}} [ \d]\d \d\d:\d\d:\d\d (\S+) ', 1) host from log_lines), q as (select *, regexp_replace(regexp_replace(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', 'user@example.com', 'g'), '\b(?:{T._OCTET}\.){{3}}{T._OCTET}\b', '127.0.0.1', 'g') m from p) select file, line_no, case when host <> '' then replace(replace(m, 'kernel', 'core'), host, 'system') else line end as masked from q")
+@query(rf"with p as (select file, line_no, line, regexp_extract(line, '\A(?:<\d{{1,3}}>)?[A-Z][a-z]{{2}} [ \d]\d \d\d:\d\d:\d\d (\S+) ', 1) host from log_lines), q as (select *, regexp_replace(regexp_replace(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', 'user@example.com', 'g'), '{T._octets(4)}', '127.0.0.1', 'g') m from p) select file, line_no, case when host <> '' then replace(replace(m, 'kernel', 'core'), host, 'system') else line end as masked from q")
 def masked_lines(spark: SparkSession, folder: str) -> DataFrame:
     host = F.regexp_extract("line", r"\A(?:<\d{1,3}>)?[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d (\S+) ", 1)
     return table(spark, folder, "log_lines").select("file", "line_no", lines.masked_line(F.col("line"), host, {"kernel": "core"}).alias("masked"))
