@@ -41,7 +41,7 @@ def make(seed, n):
 def test_all_pairs(spark, monkeypatch, tile, threshold):
     rows = make(tile, 160)
     real = neardup.candidate_pairs
-    monkeypatch.setattr(neardup, "candidate_pairs", lambda p, t: real(p, t, tile))
+    monkeypatch.setattr(neardup, "candidate_pairs", lambda s, c, t, _: real(s, c, t, tile))
     df = spark.createDataFrame([*rows, *rows[:5]], "kind string, id long, text string").selectExpr("kind as k", "id as i", "text as words", "1 as class")
     got = [tuple(r) for r in similar_records(df, "k", "i", "words", threshold).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
@@ -69,3 +69,22 @@ def test_groups(spark):
 
 def test_empty(spark):
     assert similar_records(spark.createDataFrame([], "k string, i long, t string"), "k", "i", "t").count() == 0
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_words_in_every_text(spark, monkeypatch, tile):
+    """Every group is larger than a tile: all words are frequent, one is in every text."""
+    r = random.Random(5)
+    few = [f"v{i}" for i in range(9)]
+    rows = [("k", i, " ".join(["common", *r.sample(few, r.randint(1, 8))])) for i in range(200)]
+    real = neardup.candidate_pairs
+    monkeypatch.setattr(neardup, "candidate_pairs", lambda s, c, t, _: real(s, c, t, tile))
+    got = [tuple(x) for x in similar_records(spark.createDataFrame(rows, "kind string, id long, text string"), "kind", "id", "text", 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7)
+
+
+def test_thresholds(spark):
+    df = spark.createDataFrame([("k", 1, "a b")], "kind string, id long, text string")
+    with pytest.raises(ValueError):
+        similar_records(df, "kind", "id", "text", 0.5)
+    assert similar_records(df, "kind", "id", "text", 1.0).count() == 0
