@@ -8,8 +8,9 @@ labels; and of skip edges, which tie tokens of the same spelling, and words to e
 are. The labelling is found by loopy max-product message passing: exact passes along the chains of a batch of texts at once alternate
 with damped messages over the skip edges until the messages stay the same (at most ROUNDS times).
 
-What a mention must have is fixed: a name is two words or initials in capitals in a row, an address has a street word and a number. So a text
-that TRIGGER does not match has no token that can be labelled, and is left out before; TRIGGER is made of the tokens' own patterns. The
+What a mention must have is fixed: a name is two words or initials in capitals in a row, an address has a street word and a number, and plain digits are a
+person's number only where the text names such a number or holds another possible mention. So a text
+without them (see ``can_mention``, made of the tokens' own patterns) has no token that can be labelled, and is left out before. The
 weights are trained by ``pii_train`` on generated labelled sentences and lie in pii_weights.json.
 """
 
@@ -25,7 +26,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("O", "E", "P", "I", "BN", "IN", "BA", "IA")
@@ -67,6 +68,8 @@ NUMBERS = {
     "d12": r"(?<![\w./-])\d{12,14}(?![\w/-])",
     "d9": r"(?<![\w./-])\d{9}(?![\w/-])",
 }
+#: Digits without a sign between them: they can be anything, so they count only where the text names such a number, or a person or address.
+PLAIN_DIGITS = ("d9", "d10", "d11", "d12")
 _PLUS = r"\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,8})){2,6}(?![\w-])"
 
 _TOKEN = re.compile(
@@ -93,17 +96,34 @@ _TOKEN = re.compile(
 )
 
 _SPACE = r"[\s\p{Z},\x1c-\x1f\x85]"
-#: What a text with a mention holds, from the tokens' own patterns: an address with @ or [at]; a word with a capital and, after white space or a comma,
-#: another capital; a number of a known shape; or a street word. Each branch is anchored where its token begins, so a search takes linear time.
-TRIGGER = "|".join(
-    [
-        r"@|[\[(]at[\])]",
-        rf"(?:^|{_SPACE})[^\s\p{{Z}},\x1c-\x1f\x85\p{{IsUppercase}}]*+\p{{IsUppercase}}[^\s\p{{Z}},\x1c-\x1f\x85]*+{_SPACE}++\p{{IsUppercase}}",
-        r"\+\p{Nd}",
-        *[v.replace(r"\d", r"\p{Nd}") for v in NUMBERS.values()],
-        rf"(?<![\p{{L}}&&[^ºª]])(?:rue|avenue|calle|(?=\p{{IsUppercase}})(?i:{'|'.join(sorted(STREET))}))(?!\p{{L}})|(?<![\p{{L}}&&[^ºª]])\p{{IsUppercase}}\p{{L}}*?(?i:stra(?:ß|ss)e|str|gasse|weg|platz|allee|ufer|damm|ring)(?!\p{{L}})|\bC/",
-    ]
-)
+_IN_WORD = r"(?<![\p{L}&&[^ºª]])"
+
+
+def _street_words() -> str:
+    """Street words in capitals (and the three that count in small letters), by their first letters."""
+    tails: dict[str, list[str]] = defaultdict(list)
+    for word in sorted(STREET):
+        tails[word[0].upper()].append(word[1:])
+    return "|".join(["rue", "avenue", "calle", *[f"{first}(?i:{'|'.join(rest)})" for first, rest in tails.items()]])
+
+
+#: What a text with a mention holds, from the tokens' own patterns, the cheap conditions first; each is anchored where its token begins, so a search takes
+#: linear time. An address with @ or [at], or an international number; a word with a capital and, after white space or a comma, another capital.
+_MAIL_OR_PLUS = r"@|[\[(]at[\])]|\+\p{Nd}"
+_NAME = rf"(?:^|{_SPACE})[^\s\p{{Z}},\x1c-\x1f\x85\p{{IsUppercase}}]*+\p{{IsUppercase}}[^\s\p{{Z}},\x1c-\x1f\x85]*+{_SPACE}++\p{{IsUppercase}}"
+#: A number of a known shape; all shapes have six digits with at most one other sign between two of them.
+_SIX_DIGITS = r"\p{Nd}(?:[ ./()-]{0,2}+\p{Nd}){5}"
+_NUMBER = "|".join(v.replace(r"\d", r"\p{Nd}") for k, v in NUMBERS.items() if k not in PLAIN_DIGITS)
+_DIGITS = r"(?<![\w./-])\p{Nd}{9,14}(?![\w/-])"
+_NAMED = rf"(?iu)(?<!\p{{L}})(?:{'|'.join(sorted((CUES['id'] + ' ' + CUES['phone']).split()))})(?!\p{{L}})"
+#: A street word, alone or at the end of a capitalised word.
+_STREET = rf"{_IN_WORD}(?:{_street_words()})(?!\p{{L}})|{_IN_WORD}\p{{IsUppercase}}\p{{L}}*?(?i:stra(?:ß|ss)e|str|gasse|weg|platz|allee|ufer|damm|ring)(?!\p{{L}})|\bC/"
+
+
+def can_mention(text: Column) -> Column:
+    """Whether a text holds a token that can have a label; null for a null text."""
+    digits = text.rlike(_SIX_DIGITS) & (text.rlike(_NUMBER) | (text.rlike(_DIGITS) & text.rlike(_NAMED)))
+    return text.rlike(_MAIL_OR_PLUS) | text.rlike(_NAME) | digits | (text.rlike(r"\p{Nd}") & text.rlike(_STREET))
 
 
 #: Labels that a shape can have at all: only addresses are E, only numbers P or I; names begin with words, addresses with numbers or street words.
@@ -198,6 +218,7 @@ def _number_end(token: str) -> int:
 
 _WORDY = frozenset(("given", "cap", "upper", "initial", "letter", "plainword"))
 _NUMBERS = frozenset(("plus", *NUMBERS))
+_SURE = frozenset(("email", "plus", *[k for k in NUMBERS if k not in PLAIN_DIGITS]))
 _STREETS = frozenset(("street", "streetword", "calle"))
 _STREETY = frozenset(("street", "streetword", "calle", "flat", "house", "floor"))
 _MENTION = frozenset(("email",)) | _WORDY | _NUMBERS | _STREETY
@@ -212,6 +233,7 @@ def features(toks: list[tuple[str, str, int, int]]) -> list[list[str]]:
     shapes = ["^^", "^"] + [f"low:{c}" if c and t[0] == "low" else t[0] for t, c in zip(toks, cue, strict=True)] + ["$", "$$", "$$$"]
     plain = [t[0] for t in toks]
     can = _possible(plain)
+    named = any(c in ("id", "phone") for c in cue) or any(name or address for name, address in can) or any(s in _SURE for s in plain)
     out: list[list[str]] = []
     heard: list[tuple[int, str]] = []  # cues so far: word number, kind
     words = 0
@@ -219,7 +241,7 @@ def features(toks: list[tuple[str, str, int, int]]) -> list[list[str]]:
         s, (name, address) = plain[i], can[i]
         before = plain[i - 1] if i else "^"
         inside = before in _MENTION and s in (",", "low", ".", "º", "mixed", "punct")
-        if s in ("email", "plus") or s in NUMBERS or name or (s in _WORDY and (before in _WORDY or before == "," or address)) or (address and (s in _STREETY or inside)) or (inside and before in _WORDY and s == ","):
+        if s in _SURE or (named and s in PLAIN_DIGITS) or name or (s in _WORDY and (before in _WORDY or before == "," or address)) or (address and (s in _STREETY or inside)) or (inside and before in _WORDY and s == ","):
             p1, p2, n1, n2, n3 = shapes[i + 1], shapes[i], shapes[i + 3], shapes[i + 4], shapes[i + 5]
             f = [f"s={s}", f"s={s} p={p1}", f"s={s} n={n1}", f"s={s} p={p1} n={n1}", f"s={s} n={n1},{n2}", f"s={s} n={n1},{n2},{n3}", f"s={s} p={p2},{p1}"]
             near = [(c, words - at) for at, c in heard if words - at < 6]
@@ -410,7 +432,7 @@ def find_mentions(df: DataFrame, ident: str, text: str, names: DataFrame | None
                         rows["e"].append(e)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows["i"], pa.int64())), pa.array(rows["k"], pa.string()), pa.array(rows["s"], pa.int32()), pa.array(rows["e"], pa.int32())], names=[ident, "kind", "start_pos", "end_pos"])
 
-    return df.where(F.col(f"`{text}`").rlike(TRIGGER)).select(ident, text).mapInArrow(search, f"`{ident}` {kind}, kind string, start_pos int, end_pos int")
+    return df.where(can_mention(F.col(f"`{text}`"))).select(ident, text).mapInArrow(search, f"`{ident}` {kind}, kind string, start_pos int, end_pos int")
 
 
 def redact(df: DataFrame, text: str, names: DataFrame | None = None, out: str = "redacted") -> DataFrame:
@@ -429,4 +451,4 @@ def redact(df: DataFrame, text: str, names: DataFrame | None = None, out: str =
         return pa.array(result, pa.string())
 
     body = F.col(f"`{text}`")
-    return df.withColumn(out, F.when(body.rlike(TRIGGER), F.arrow_udf(replace, "string")(body)).otherwise(body))
+    return df.withColumn(out, F.when(can_mention(body), F.arrow_udf(replace, "string")(body)).otherwise(body))
