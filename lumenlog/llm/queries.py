@@ -29,6 +29,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.select(columns).unionByName(b.select(columns))
 
 
+def p2_steady(spark: SparkSession, folder: str) -> DataFrame:
+    """Intervals over which the number of occurrences of a message id stays about the same: neighbours and the deviations from the run's median count."""
+    i = table(spark, folder, "interval_messages").select(plain_id("source_id").alias("source_id"), plain_id("message_id").alias("message_id"), "interval_serial", "num_occurrences", "stored_at")
+    got = collapse_runs(i, ["source_id", "message_id"], "interval_serial", F.lit(""), F.col("num_occurrences"), F.col("num_occurrences"), F.lit(0), "stored_at", penalty=3.0, least=2, spread=0.5)
+    return got.select("source_id", "message_id", "first_pos", "last_pos", "n_rows", "n_events")
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     fatal = table(spark, folder, "messages").where("severity = 4").select(F.lit("messages").alias("record_kind"), F.col("instance_id").alias("id"), "text")
     return fatal.unionByName(table(spark, folder, "message_summaries").select(F.lit("message_summaries").alias("record_kind"), F.col("summary_id").alias("id"), F.col("text_summary").alias("text")))
@@ -81,4 +88,4 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"), "doc_id", "text").where("not residue").select("doc_id", F.round("coverage", 6).alias("coverage"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_kept": p10_kept}
+QUERIES = {"p2_found": p2_found, "p2_steady": p2_steady, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_kept": p10_kept}

@@ -2,19 +2,25 @@
 
 Per entity the events, in order of their positions, are cut into runs so that the dissimilarity within the runs plus
 a penalty for each boundary is least: F(t) = min over s < t of F(s) + C(s, t) + penalty. C(s, t) sums a
-dissimilarity of neighbours, so the pruned search (a start s is dropped as soon as F(s) + C(s, t) >= F(t)) keeps a
-handful of starts and takes time in proportion to the events. Neighbours whose positions don't follow on each
+dissimilarity of neighbours and, with a weight ``spread``, the deviations of all events of the run from its median. Both only grow
+when runs are put together, so the pruned search (a start s is dropped as soon as F(s) + C(s, t) >= F(t)) keeps few
+starts. Neighbours whose positions don't follow on each
 other, whose labels differ, or of which one has no value, are infinitely dissimilar.
 
-A long entity is cut into blocks of positions that are segmented apart from each other, so no task gets a whole
+Without ``spread`` C adds up over neighbours, and the optimum has a boundary exactly where a pair of neighbours costs more than
+the penalty: runs that are chains of small steps, as far apart as their ends may be. With it a slow drift is cut
+where the deviations from the median outweigh a boundary.
+
+Without ``spread`` a long entity is cut into blocks of positions that are segmented apart from each other, so no task gets a whole
 entity. As C adds up over neighbours, the optimal segmentation of the whole is that of the blocks, with
 the last run of a block and the first of the next joined if the pair of neighbours between them costs no
-more than a boundary; that pair lies in neither block, so runs at the edges of blocks are joined by a window
-over those edge runs only.
+more than a boundary; that pair lies in neither block, so runs at the edges of blocks are joined by windows
+over those edge runs only: first within groups of FAN blocks, then the runs at the edges of the groups.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +31,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Blocks whose edge runs one task joins.
+FAN = 4096
 _RUN = "first_pos long, last_pos long, n_rows long, n_events long, from_us long, to_us long, first_value double, last_value double, edge boolean"
 
 
@@ -56,7 +64,34 @@ def boundaries(dissimilarity: np.ndarray, penalty: float) -> list[int]:
     return cuts[::-1]
 
 
-def _segmented(penalty: float, least: int, keyed: int) -> object:
+def segments(values: list[float], links: list[float], penalty: float, spread: float) -> list[int]:
+    """Starts of the runs of the optimal segmentation where a run costs its links and ``spread`` times its deviations from its median; pruned dynamic programming.
+
+    Of segmentations that cost the same, the one with the fewest boundaries found first is taken."""
+    n = len(values)
+    cost, back = [-penalty] + [0.0] * n, [0] * (n + 1)
+    starts: list[tuple[int, list[float], float]] = []  # start, its events sorted, their links
+    for t in range(1, n + 1):
+        x = values[t - 1]
+        if t > 1:
+            starts = [(s, sorted_, link + links[t - 2]) for s, sorted_, link in starts]
+        starts.append((t - 1, [], 0.0))
+        costs = []
+        for s, events, link in starts:
+            bisect.insort(events, x)
+            h = len(events) // 2
+            costs.append(cost[s] + link + spread * (sum(events[-h:]) - sum(events[:h]) if h else 0.0))
+        best = min(costs) + penalty
+        cost[t], back[t] = best, starts[costs.index(min(costs))][0]
+        starts = [c for c, k in zip(starts, costs, strict=True) if k < best]
+    cuts, t = [], n
+    while t > 0:
+        t = back[t]
+        cuts.append(t)
+    return cuts[::-1]
+
+
+def _segmented(penalty: float, least: int, keyed: int, spread: float) -> object:
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by entity, block and position; a block's rows may spread over batches."""
         rest: pa.Table | None = None
@@ -92,7 +127,12 @@ def _segmented(penalty: float, least: int, keyed: int) -> object:
         hard = np.concatenate([[0], np.flatnonzero(np.isinf(d)) + 1, [len(i)]])
         starts = []
         for a, b in zip(hard[:-1].tolist(), hard[1:].tolist(), strict=True):
-            starts += [a] if b - a == 1 else [a + c for c in boundaries(d[a : b - 1], penalty)]
+            if b - a == 1:
+                starts.append(a)
+            elif spread:
+                starts += [a + c for c in segments(value[i[a:b]].tolist(), d[a : b - 1].tolist(), penalty, spread)]
+            else:
+                starts += [a + c for c in boundaries(d[a : b - 1], penalty)]
         s = np.array(starts)
         e = np.append(s[1:], len(i)) - 1
         block_first = np.concatenate([[True], np.diff(group[i]) != 0])
@@ -111,13 +151,16 @@ def _segmented(penalty: float, least: int, keyed: int) -> object:
     return segment
 
 
-def collapse_runs(df: DataFrame, entity: list[str], pos: str, label: Column, value: Column, n: Column, at: Column, prefer: str, penalty: float = 0.5, least: int = 2, block: int = 8192) -> DataFrame:
+def collapse_runs(df: DataFrame, entity: list[str], pos: str, label: Column, value: Column, n: Column, at: Column, prefer: str, penalty: float = 0.5, least: int = 2, block: int = 8192, spread: float = 0.0) -> DataFrame:
     """Runs of at least ``least`` events: entity columns, label, first_pos, last_pos, n_rows, n_events (sum of ``n``), from_us, to_us (of ``at``).
 
     Of rows with the same entity and position the one with the smallest ``prefer`` counts. A null label or
     value ends a run and belongs to none; a null ``n`` adds nothing; rows with a null in the entity or the position belong to no run.
-    Runs that would cost the same as their pieces stay whole. Empty tables give no runs; extra columns are ignored.
+    Runs that would cost the same as their pieces stay whole. Empty tables give no runs; extra columns are ignored. With ``spread``
+    an entity is segmented as a whole by one task: it is for entities of bounded length.
     """
+    if spread:
+        block = 1 << 62
     names = [f"k{i}" for i in range(len(entity))]
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [*entity, pos])).select(
         *[F.col(c).alias(k) for c, k in zip(entity, names, strict=True)],
@@ -127,12 +170,26 @@ def collapse_runs(df: DataFrame, entity: list[str], pos: str, label: Column, val
     # One shuffle: blocks of an entity spread over the tasks.
     laid = rows.withColumn("group", group).repartition("group").sortWithinPartitions("group", *names, "pos", "prefer").select(*names, "group", "label", "value", "n", "at", "pos")
     kinds = ", ".join(f"{k} string" for k in names)
-    runs = laid.mapInArrow(_segmented(penalty, least, len(names)), f"{kinds}, label string, {_RUN}")
+    runs = laid.mapInArrow(_segmented(penalty, least, len(names), spread), f"{kinds}, label string, {_RUN}")
     inner = runs.where(f"not edge and n_rows >= {least}")
-    # Edge runs: a few per block.
-    by = W.partitionBy(*names, "label").orderBy("first_pos")
-    joined = (F.lag("last_pos").over(by) + 1 == F.col("first_pos")) & (F.abs(F.lag("last_value").over(by) - F.col("first_value")) <= penalty)
-    edges = runs.where("edge").withColumn("begins", F.when(joined, 0).otherwise(1)).withColumn("run", F.sum("begins").over(by))
-    edges = edges.groupBy(*names, "label", "run").agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n_rows").alias("n_rows"), F.sum("n_events").alias("n_events"), F.min("from_us").alias("from_us"), F.max("to_us").alias("to_us")).where(f"n_rows >= {least}")
+    # Edge runs, a few per block: joined within groups of blocks, then those at the edges of the groups.
+    values = ["first_pos", "last_pos", "n_rows", "n_events", "from_us", "to_us", "first_value", "last_value"]
+
+    def joined(df: DataFrame, *group: str) -> DataFrame:
+        by = W.partitionBy(*names, "label", *group).orderBy("first_pos")
+        follows = (F.lag("last_pos").over(by) + 1 == F.col("first_pos")) & (F.abs(F.lag("last_value").over(by) - F.col("first_value")) <= penalty)
+        marked = df.withColumn("begins", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("begins").over(by))
+        made = [F.min("first_pos"), F.max("last_pos"), F.sum("n_rows"), F.sum("n_events"), F.min("from_us"), F.max("to_us"), F.min_by("first_value", "first_pos"), F.max_by("last_value", "first_pos")]
+        return marked.groupBy(*names, "label", *group, "run").agg(*[m.alias(v) for m, v in zip(made, values, strict=True)]).drop("run")
+
+    if spread:
+        edges = runs.where(f"edge and n_rows >= {least}")
+    else:
+        size = block * FAN
+        near = joined(runs.where("edge").withColumn("group", F.floor(F.col("first_pos") / size)), "group")
+        # Of a group's runs those that touch its first or last position may go on in the next.
+        touches = (F.pmod("first_pos", F.lit(size)) == 0) | (F.pmod(F.col("last_pos") + 1, F.lit(size)) == 0)
+        far = joined(near.where(touches).drop("group")).unionByName(near.where(~touches).drop("group"))
+        edges = far.where(f"n_rows >= {least}")
     kept = [*names, "label", "first_pos", "last_pos", "n_rows", "n_events", "from_us", "to_us"]
     return inner.select(kept).unionByName(edges.select(kept)).select(*[F.col(k).alias(c) for c, k in zip(entity, names, strict=True)], *kept[len(names) :])
