@@ -126,15 +126,6 @@ def rescaled_ticks(ticks: Column, start: Column, length: int, new_start: Column,
     return F.array_sort(F.array_distinct(F.transform(ticks, lambda t: F.least(F.greatest(F.floor((at(t) - new_start) * n / new_length), F.lit(-1)), F.lit(n)).cast("int"))))
 
 
-def repeated(df: DataFrame, order: list[str], partition: list[str], text: str = "text") -> DataFrame:
-    """``df`` with ``cnt``: 'last message repeated N times' lines add N to the message before, and are dropped."""
-    w = W.partitionBy(*partition).orderBy(*order)
-    n = F.nullif(F.regexp_extract(text, r"^(?:last message|message) repeated (\d+) times$", 1), F.lit("")).cast("int")
-    marked = df.withColumn("repeats", n).withColumn("group", F.sum(F.when(n.isNull(), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    total = F.coalesce(F.sum("repeats").over(W.partitionBy(*partition, "group")), F.lit(0))
-    return marked.withColumn("cnt", F.greatest(total, F.lit(1))).where("repeats is null").drop("repeats", "group")
-
-
 def overlaps(periods: DataFrame, key: str, low: str, high: str) -> DataFrame:
     """Pairs of periods of one key that overlap: each against the greatest end before it, by order of their starts."""
     w = W.partitionBy(key).orderBy(low, high).rowsBetween(W.unboundedPreceding, -1)

@@ -19,8 +19,8 @@ def tree_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, tuple[s
     state per key before anything is shuffled (the state of a chunk leaves its task complete). Then
     rounds merge up to ``fan_in`` chunks' states per key until one is left, so however many rows a
     key has, no reducer receives more than ``fan_in`` states of it. The rounds follow from the number of
-    chunks: ``chunks`` where the caller knows it, else the number of rows (of Parquet a count reads only
-    footers) over ``chunk_rows``.
+    chunks: ``chunks`` where the caller knows it, else the number of rows over ``chunk_rows``. Of Parquet tables a count reads only
+    footers; what explodes or filters rows is better counted before and given as ``chunks``.
 
     Null keys form a key of their own; null values are skipped, a key of only nulls gives null (count:
     all rows). An empty table gives an empty result. The result has the keys and the aggregates only.

@@ -216,9 +216,16 @@ def instants(parts: pa.Array, arrived: pa.Array, zones: pa.Array) -> pa.Array:
         hours = np.where(pc.utf8_length(o).to_numpy(zero_copy_only=False) > 3, own // 100 * 60 + own % 100, own * 60)
         offset = np.where(has["O"], np.where(pc.starts_with(o, "-").to_numpy(zero_copy_only=False), -hours, hours) * 60_000, 0)
     offset = np.where(has["Q"], number("Q") * 60_000, offset)
-    for i in np.flatnonzero(has["A"]):
-        if zone_of[i] >= 0 and (a := _abbreviations(zone_texts[zone_of[i]]).get(text["A"][i].as_py().lower())) is not None:
-            offset[i], fixed[i] = a, True
+    if has["A"].any():
+        # Each distinct pair of zone and abbreviation is looked up once.
+        words = pc.dictionary_encode(pc.utf8_lower(text["A"]))
+        known, word = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(has["A"] & (zone_of >= 0))
+        pairs, place = np.unique(zone_of[rows].astype(np.int64) * len(known) + word[rows], return_inverse=True)
+        found = [_abbreviations(zone_texts[p // len(known)]).get(known[p % len(known)]) for p in pairs.tolist()]
+        means = np.array([f is not None for f in found], bool)[place]
+        offset[rows[means]] = np.array([f or 0 for f in found], np.int64)[place][means]
+        fixed[rows[means]] = True
     local = ~(fixed | has["A"])
     named, name_of = _encoded(pc.if_else(pa.array(has["T"]), text["T"], None))
     for k, zone in enumerate([*zone_texts, *named]):

@@ -36,10 +36,13 @@ def p3_key_results(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("interval_messages").alias("record_kind"), _keys(),
         F.col("num_occurrences").cast("long").alias("n"), F.lit(None).cast("long").alias("failed"), "severity", F.expr("unix_micros(interval_start)").alias("at"), F.lit(None).cast("long").alias("chars"),
     )
+    # The tables are counted by their footers; every row counts for three keys.
+    n_rows = 3 * sum(table(spark, folder, t).count() for t in ("messages", "interval_messages"))
     rows = m.unionByName(i).select("record_kind", "k.key_kind", "k.source_id", "k.message_id", "n", "failed", "severity", "at", "chars")
     return tree_aggregate(
         rows, ["record_kind", "key_kind", "source_id", "message_id"],
         {"n_rows": ("count", None), "sum_n": ("sum", "n"), "sum_failed": ("sum", "failed"), "max_n": ("max", "n"), "max_severity": ("max", "severity"), "first_us": ("min", "at"), "last_us": ("max", "at"), "sum_chars": ("sum", "chars")},
+        chunks=max(1, -(-n_rows // 131_072)),
     )
 
 

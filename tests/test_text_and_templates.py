@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import text as T
 from lumenlog.operators.clusters import information_clusters, kmeans, n_clusters, partition, score
-from lumenlog.operators.context import repeated
 from lumenlog.operators.ordering import running_sum
 from lumenlog.operators.templates import distance, message_ids, template, templates, threshold
 
@@ -75,12 +74,6 @@ def test_text_functions(spark):
     assert one.select(T.ticks_of(T.time_vector(F.col("k")))).first()[0] == [0, 1, 8, 119]
 
 
-def test_repeated(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "last message repeated 3 times"), (3, "b"), (4, "c"), (5, "message repeated 2 times")], "i long, text string").withColumn("s", F.lit("x"))
-    assert [(r["i"], r["cnt"]) for r in repeated(df, ["i"], ["s"]).orderBy("i").collect()] == [(1, 3), (3, 1), (4, 2)]
-
-
-@pytest.mark.parametrize("pieces", [2, 7, 256])
 def test_running_sum(spark, pieces):
     r = random.Random(pieces)
     values = r.sample(range(10_000), 500)
