@@ -78,6 +78,14 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", 2048).select("container", "doc_id", "piece", F.col("size").alias("tokens"))
 
 
+def p9_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers of all documents: every document is placed, no container is over-full, no piece comes twice."""
+    placed = p9_containers(spark, folder)
+    over = placed.groupBy("container").agg(F.sum("tokens").alias("load")).where("load > 2048").agg(F.count(F.lit(1)).alias("n"))
+    pieces = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.max("piece").alias("last"), F.count_distinct("piece").alias("d"))
+    return pieces.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.expr("k <> d or k <> last + 1")).alias("wrong")).withColumn("over_full", over.scalar())
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are template residue, filler, error pages or script notices."""
     return judged(table(spark, folder, "documents"), "doc_id", "text").where("residue").select("doc_id")
@@ -88,4 +96,4 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"), "doc_id", "text").where("not residue").select("doc_id", F.round("coverage", 6).alias("coverage"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_steady": p2_steady, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_kept": p10_kept}
+QUERIES = {"p2_found": p2_found, "p2_steady": p2_steady, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_checked": p9_checked, "p10_found": p10_found, "p10_kept": p10_kept}

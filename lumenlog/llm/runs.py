@@ -171,7 +171,6 @@ def collapse_runs(df: DataFrame, entity: list[str], pos: str, label: Column, val
     laid = rows.withColumn("group", group).repartition("group").sortWithinPartitions("group", *names, "pos", "prefer").select(*names, "group", "label", "value", "n", "at", "pos")
     kinds = ", ".join(f"{k} string" for k in names)
     runs = laid.mapInArrow(_segmented(penalty, least, len(names), spread), f"{kinds}, label string, {_RUN}")
-    inner = runs.where(f"not edge and n_rows >= {least}")
     # Edge runs, a few per block: joined within groups of blocks, then those at the edges of the groups.
     values = ["first_pos", "last_pos", "n_rows", "n_events", "from_us", "to_us", "first_value", "last_value"]
 
@@ -182,14 +181,12 @@ def collapse_runs(df: DataFrame, entity: list[str], pos: str, label: Column, val
         made = [F.min("first_pos"), F.max("last_pos"), F.sum("n_rows"), F.sum("n_events"), F.min("from_us"), F.max("to_us"), F.min_by("first_value", "first_pos"), F.max_by("last_value", "first_pos")]
         return marked.groupBy(*names, "label", *group, "run").agg(*[m.alias(v) for m, v in zip(made, values, strict=True)]).drop("run")
 
-    if spread:
-        edges = runs.where(f"edge and n_rows >= {least}")
-    else:
+    if not spread:
         size = block * FAN
-        near = joined(runs.where("edge").withColumn("group", F.floor(F.col("first_pos") / size)), "group")
-        # Of a group's runs those that touch its first or last position may go on in the next.
+        # Runs that lie within their block are groups of their own.
+        near = joined(runs.withColumn("group", F.floor(F.col("first_pos") / size)).withColumn("alone", F.when(~F.col("edge"), F.col("first_pos"))), "group", "alone")
+        # Of the others those that touch a group's first or last position may go on in the next.
         touches = (F.pmod("first_pos", F.lit(size)) == 0) | (F.pmod(F.col("last_pos") + 1, F.lit(size)) == 0)
-        far = joined(near.where(touches).drop("group")).unionByName(near.where(~touches).drop("group"))
-        edges = far.where(f"n_rows >= {least}")
+        runs = joined(near.drop("group", "alone").withColumn("alone", F.when(~touches, F.col("first_pos"))), "alone")
     kept = [*names, "label", "first_pos", "last_pos", "n_rows", "n_events", "from_us", "to_us"]
-    return inner.select(kept).unionByName(edges.select(kept)).select(*[F.col(k).alias(c) for c, k in zip(entity, names, strict=True)], *kept[len(names) :])
+    return runs.where(f"n_rows >= {least}").select(*[F.col(k).alias(c) for c, k in zip(entity, names, strict=True)], *kept[len(names) :])

