@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.operators.relational import assign_groups, set_changes
@@ -36,6 +37,41 @@ def ask(spark: SparkSession, text: str) -> list[DataFrame]:
     return [spark.sql(s) for s in text.split(";") if s.strip()]
 
 
+def one(df: DataFrame, needed: bool = False) -> object:
+    """The value of a result of one column and at most one row; None (or an error where it is ``needed``) for no row, an error for more."""
+    rows = df.limit(2).collect()
+    if len(rows) > 1 or (needed and not rows):
+        raise ValueError(f"{'no row' if not rows else 'several rows'} where one is wanted")
+    return rows[0][0] if rows else None
+
+
+def column(df: DataFrame, most: int = 100_000) -> list[object]:
+    """The first column of a short result; more than ``most`` rows are an error, not a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return [r[0] for r in rows]
+
+
+def each_row(df: DataFrame, call: Callable[[Row], None]) -> int:
+    """Hands the rows to a function one by one, a partition at a time on the driver; their number."""
+    n = 0
+    for n, row in enumerate(df.toLocalIterator(), 1):
+        call(row)
+    return n
+
+
+#: What names of groups, rules and sources may be: letters, digits and a few signs, so long at most.
+NAME, LONGEST_NAME = r"\A[\p{L}\p{N}][\p{L}\p{N} ._*?-]*\z", 200
+
+
+def bad_names(df: DataFrame, column: str, longest: int = LONGEST_NAME) -> DataFrame:
+    """(value, reason) of names that can't be used: missing, too long, or with a sign that names can't have."""
+    c = F.col(column)
+    reason = F.when(F.coalesce(F.length(c), F.lit(0)) == 0, "missing").when(F.length(c) > longest, "too long").when(~c.rlike(NAME), "sign")
+    return df.select(c.alias("value"), reason.alias("reason")).where("reason is not null")
+
+
 def create_tables(spark: SparkSession, database: str) -> None:
     spark.sql(f"create database if not exists {database}")
     for name, columns in TABLES.items():

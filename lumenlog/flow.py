@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.operators import clusters, context, scoring, training
@@ -162,7 +162,6 @@ class Flow:
     framer: str = "tumbling"
     scorers: tuple[Step, ...] = (Step("clusters"), Step("rarity"), Step("count"), Step("periodicity"), Step("weighted"))
     outputs: tuple[str, ...] = ("results", "xml")
-    group_of: Callable[[Column], Column] | None = None
 
     def checked(self) -> list[tuple[str, Scorer]]:
         """Scorers in the order of their dependencies; unknown names, settings and cycles are errors."""
@@ -180,6 +179,11 @@ class Flow:
         return [(n, made[n]) for n in order]
 
 
+def flow_of(group: str | None, flows: dict[str, Flow], default: Flow) -> Flow:
+    """The flow that a group's sources take, by name without case; the default for other groups."""
+    return {k.lower(): f for k, f in flows.items()}.get((group or "").lower(), default)
+
+
 def load(spark: SparkSession, path: str) -> Flow:
     """A flow of a JSON file: fine_ms, coarse_ms, framer, scorers (name and settings), outputs; unknown keys are errors."""
     data = json.loads(files.read_text(spark, path))

@@ -185,6 +185,12 @@ def message_ids(df: DataFrame, component: str, text: str, order: str, most: int
     return got.select(component, text, F.concat_ws("_", component, "number").alias("message_id"))
 
 
+def text_clusters(df: DataFrame, ids: DataFrame, component: str, text: str, ms: str) -> DataFrame:
+    """(component, message_id, text, last_day, n) of ``df`` and its ``message_ids``: the first text of each id, the last day it was observed, and its messages."""
+    day = F.to_date(F.timestamp_millis(F.col(ms)))
+    return df.join(ids, [component, text]).groupBy(component, "message_id").agg(F.min_by(text, F.struct(ms, text)).alias("text"), F.max(day).alias("last_day"), F.count(F.lit(1)).alias("n"))
+
+
 def templates(df: DataFrame, key: str | list[str], text: str, order: str, most: int | None = MOST_WORDS) -> DataFrame:
     """(key columns, n_texts, template): the ordered fold of the texts of a key; equal texts take part once, so a key's work is bounded by its distinct texts.
 

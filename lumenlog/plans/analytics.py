@@ -386,9 +386,10 @@ def inter_arrival(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("source_id").agg(F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("mean_ms"), F.max("d").alias("max_ms"))
 
 
-@query(f"with {_SCORES} select source_id, frame, message_id, round(0.2 * count_score + 0.8 * rarity, 6) anomaly from x order by anomaly desc, source_id, frame, message_id limit 50")
+@query(f"with {_SCORES}, o as (select source_id, frame, message_id, round(rarity, 6) rarity, round(0.2 * count_score + 0.8 * rarity, 6) anomaly from x) select * from o order by anomaly desc, rarity desc, message_id nulls first, source_id, frame limit 50")
 def top_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return message_scores(spark, folder).select("source_id", "frame", "message_id", "anomaly").orderBy(F.desc("anomaly"), "source_id", "frame", "message_id").limit(50)
+    m = message_scores(spark, folder).select("source_id", "frame", "message_id", "rarity", "anomaly")
+    return m.orderBy(F.desc("anomaly"), F.desc("rarity"), F.asc_nulls_first("message_id"), "source_id", "frame").limit(50)
 
 
 @query("select lower(trim(source_id, ' \t\r\n')) source_id, severity, count(*) n, cast(sum(cnt) as bigint) cnt, cast(sum(coalesce(cnt_failed, 0)) as bigint) failed from messages where source_id is not null and trim(source_id, ' \t\r\n') <> '' group by 1, 2")
@@ -411,7 +412,7 @@ def poisson_scores(spark: SparkSession, folder: str) -> DataFrame:
     return got.groupBy("message_id").agg((F.floor(-F.max("poisson_score") * 1e9 + 0.5) / 1e9).alias("least_lp"))
 
 
-@query()
+@query(f"with {E}, t as (select source_id, ms - ms % 3600000 frame, message_id, list_distinct(list((ms % 3600000) * 120 // 3600000)) t from e group by 1, 2, 3) select source_id, frame, message_id, to_base64(unhex(array_to_string(list_transform(range(0, list_max(t) // 8 + 1), lambda b: printf('%02X', cast(coalesce(list_sum(list_transform(list_filter(t, lambda x: x // 8 = b), lambda x: cast(power(2, x % 8) as bigint))), 0) as bigint))), ''))) time_vector from t")
 def timeline_base64(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).select("source_id", "frame", "message_id", T.time_vector(F.col("ticks")).alias("time_vector"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions import text as T
 from lumenlog.functions import times, vectors
 from lumenlog.functions.ids import plain_id
-from lumenlog.operators import framing, lines, periods, relational, scoring, statistics, training
+from lumenlog.operators import framing, lines, periods, relational, scoring, statistics, templates, training
 from lumenlog.plans.analytics import _CO, E, HOUR, S, _cell, _labels, _SCORES, events, hourly, registry
 from lumenlog.sources.tables import table
 
@@ -230,3 +230,10 @@ def training_periods(spark: SparkSession, folder: str) -> DataFrame:
     p = i.groupBy(plain_id("source_id").alias("source_id"), F.floor(F.col("interval_serial") / 144).alias("d")).agg(F.min("interval_serial").alias("start"), F.max("interval_serial").alias("end"), (F.count(F.lit(1)) % 5 == 0).alias("exclude"))
     ends = i.agg(F.min("interval_serial"), F.max("interval_serial")).first()
     return periods.for_training(periods.within(p, (ends[0] or 0) + 144, (ends[1] or 0) - 144)).select("source_id", "start", "end")
+
+
+@query()
+def text_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message id by similar texts with its first text, its messages and the last day it was observed."""
+    m = table(spark, folder, "messages").where("text is not null").select(T.component_or_none(F.col("component_id")).alias("component"), T.normalised(F.col("text")).alias("text"), "instance_id", F.expr("unix_micros(ts) div 1000").alias("ms"))
+    return templates.text_clusters(m, templates.message_ids(m, "component", "text", "instance_id"), "component", "text", "ms").withColumn("last_day", F.col("last_day").cast("string"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,6 +27,15 @@ def log_files(spark: SparkSession, path: str, only_gzip: bool = False) -> DataFr
     return lines.withColumn("k", F.row_number().over(W.partitionBy("file", "block").orderBy("place"))).join(offsets, ["file", "block"]).select("line", "file", (F.col("before") + F.col("k")).cast("long").alias("line_no"))
 
 
+def spooled(spark: SparkSession, lines: Iterable[str], folder: str, batch: int = 10_000) -> int:
+    """Lines of a pipe (as sys.stdin) written into a folder in numbered files, each complete as soon as it is seen, for ``line_stream``; the number of files."""
+    made, rest = 0, iter(lines)
+    while part := list(islice(rest, batch)):
+        files.write_text(spark, f"{folder}/part-{made:09d}.log", "".join(line.rstrip("\n") + "\n" for line in part))
+        made += 1
+    return made
+
+
 def line_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     """A stream of (line, file) from files that appear in a folder."""
     return spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))

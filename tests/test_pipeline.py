@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog import __main__ as commands
 from lumenlog import catalog, flow, pipeline
-from lumenlog.sources import files, writers
+from lumenlog.sources import files, readers, writers
 
 
 def write_logs(folder, days, hosts=("web1", "db1"), odd=False):
@@ -151,3 +151,23 @@ def test_commands(spark, tmp_path, capsys):
     assert commands.main(["mask", logs, str(tmp_path / "masked"), "--name", "sda", "disk", "--host", "h"]) == 0
     masked = [r["value"] for r in spark.read.text(str(tmp_path / "masked")).collect()]
     assert masked[-1] == "not a head at all" and not any(" web1 " in x or "10.0.0." in x for x in masked) and any("127.0.0.1" in x for x in masked)
+
+
+def test_small_results(spark):
+    df = spark.range(3)
+    assert catalog.one(df.where("id = 1")) == 1 and catalog.one(df.where("id > 5")) is None and sorted(catalog.column(df)) == [0, 1, 2]
+    for wrong in (lambda: catalog.one(df), lambda: catalog.one(df.where("id > 5"), needed=True), lambda: catalog.column(df, 2)):
+        with pytest.raises(ValueError):
+            wrong()
+    seen = []
+    assert catalog.each_row(df, lambda r: seen.append(r["id"])) == 3 and sorted(seen) == [0, 1, 2]
+    names = spark.createDataFrame([("web-*",), ("",), (None,), ("x" * 201,), ("a;b",)], "n string")
+    assert sorted((r["reason"]) for r in catalog.bad_names(names, "n").collect()) == ["missing", "missing", "sign", "too long"]
+    a, b = flow.Flow(), flow.Flow(fine_ms=300_000)
+    assert flow.flow_of("WEB", {"web": b}, a) is b and flow.flow_of(None, {"web": b}, a) is a
+
+
+def test_lines_of_a_pipe(spark, tmp_path):
+    assert readers.spooled(spark, (f"line {i}\n" for i in range(25)), str(tmp_path / "spool"), 10) == 3
+    q = readers.line_stream(spark, str(tmp_path / "spool")).writeStream.format("memory").queryName("piped").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    assert q.awaitTermination(60) and spark.table("piped").count() == 25
