@@ -197,11 +197,13 @@ def load(spark: SparkSession, path: str) -> Flow:
 
 
 def fit(summaries: DataFrame, flow: Flow) -> Models:
-    """Models of all scorers, each trained on the summaries as those before it leave them."""
+    """Models of all scorers, each trained on the summaries as those before it leave them.
+
+    Model tables are small and used many times, so they are kept in memory; the caller drops them with ``unpersist``."""
     models: Models = {}
     marked = summaries
     for _, scorer in flow.checked():
-        models |= scorer.fit(marked, models, flow.coarse_ms)
+        models |= {name: table.persist() for name, table in scorer.fit(marked, models, flow.coarse_ms).items()}
         if "labels" in models and "inside" not in marked.columns:
             marked = scorer.score(marked, models, flow.coarse_ms).drop("cluster", "status")
     scored = score(summaries, models, flow)

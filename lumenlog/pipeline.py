@@ -71,6 +71,8 @@ def train(spark: SparkSession, store: str, name: str, flow: flows.Flow = flows.F
     s = stored(spark, store, flow, low, high)
     s = s.where(F.col("source_id").isin(sources)) if sources else s
     s = s.where(~F.date_format(F.timestamp_millis("frame"), "yyyy-MM-dd").isin(excluded)) if excluded else s
+    # Every scorer reads the summaries again, some twice.
+    s = s.persist()
     span = periods.time_span(s, flow.coarse_ms).first()
     if span["start"] is None:
         raise ValueError("nothing stored to train on")
@@ -78,6 +80,8 @@ def train(spark: SparkSession, store: str, name: str, flow: flows.Flow = flows.F
     meta = {"start": span["start"], "end": span["end"], "interval_ms": flow.coarse_ms, "intervals_per_day": DAY // flow.coarse_ms, "training_days": -(-(span["end"] - span["start"]) // DAY)}
     path = f"{store}/models/{name}"
     catalog.store_model(models, path, group, meta)
+    for kept in (*models.values(), s):
+        kept.unpersist()
     limited = scoring.limited_model(spark.read.parquet(f"{path}/percentiles")).first()["limited"]
     files.write_text(spark, f"{path}/limited", "Yes" if limited else "No")
     if default:
@@ -86,17 +90,20 @@ def train(spark: SparkSession, store: str, name: str, flow: flows.Flow = flows.F
 
 
 def analyze(spark: SparkSession, messages: DataFrame, store: str, flow: flows.Flow = flows.Flow(), group: str | None = None, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(scored messages, scored intervals) of new messages by the group's default model; they are uploaded too, and go to the flow's outputs."""
+    """(scored messages, scored intervals) of new messages by the group's default model; they are uploaded too, and go to the flow's outputs.
+
+    Both results are kept in memory for the outputs and the caller, who may ``unpersist`` them."""
     path = catalog.default_model(spark, f"{store}/models", group)
     if path is None:
         raise ValueError("no model")
     models, meta = catalog.load_model(spark, path)
     upload(spark, messages, store, flow)
-    new = flows.FRAMERS[flow.framer](messages, flow.coarse_ms)
+    new = flows.FRAMERS[flow.framer](messages, flow.coarse_ms).persist()
     scored = scoring.output_fields(flows.score(new, models, flow), meta["intervals_per_day"]) if {"clusters", "periodicity"} <= {s.name for s in flow.scorers} else flows.score(new, models, flow)
+    scored = scored.persist()
     intervals = flows.score_intervals(scored, models, least)
     fresh = statistics.interval_statistics(new.select("source_id", "frame", "message_id", "n")).select("source_id", "frame", "n_new", "n_never")
-    intervals = intervals.join(fresh, ["source_id", "frame"], "left").withColumn("model", F.lit(path)).withColumn("limited", F.lit(files.read_text(spark, f"{path}/limited") == "Yes"))
+    intervals = intervals.join(fresh, ["source_id", "frame"], "left").withColumn("model", F.lit(path)).withColumn("limited", F.lit(files.read_text(spark, f"{path}/limited") == "Yes")).persist()
     for name in flow.outputs:
         flows.OUTPUTS[name](scored, intervals, store)
     return scored, intervals
