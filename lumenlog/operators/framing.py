@@ -41,10 +41,11 @@ def lagged(df: DataFrame, keys: list[str], at: str, column: str, out: str, block
     return got.withColumn(out, F.coalesce(out, last).getField("v")).drop(blk, last)
 
 
-def runs(df: DataFrame, keys: list[str], at: str, gap: int, block: int = 86_400_000) -> DataFrame:
-    """``df`` with ``run``: a new run of a key begins where more than ``gap`` passed since the row before; numbered from 1, in blocks of time."""
+def runs(df: DataFrame, keys: list[str], at: str, gap: int, block: int = 86_400_000, starts: Column | None = None) -> DataFrame:
+    """``df`` with ``run``: a new run of a key begins where more than ``gap`` passed since the row before, or at a row for which ``starts`` holds (a logger's
+    restart, another file); numbered from 1, in blocks of time."""
     blk, begins, ahead = fresh(df, "block"), fresh(df, "begins"), fresh(df, "ahead")
-    rows = previous(df, keys, at, block).withColumn(begins, F.when(F.col(at) - F.col("previous") <= gap, 0).otherwise(1)).drop("previous").withColumn(blk, F.floor(F.col(at) / block))
+    rows = previous(df, keys, at, block).withColumn(begins, F.when((F.col(at) - F.col("previous") <= gap) & ~(F.lit(False) if starts is None else F.coalesce(starts, F.lit(False))), 0).otherwise(1)).drop("previous").withColumn(blk, F.floor(F.col(at) / block))
     sums = rows.groupBy(*keys, blk).agg(F.sum(begins).alias(ahead))
     offsets = sums.withColumn(ahead, F.coalesce(F.sum(ahead).over(W.partitionBy(*keys).orderBy(blk).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = W.partitionBy(*keys, blk).orderBy(at).rowsBetween(W.unboundedPreceding, 0)

@@ -106,3 +106,20 @@ def masked_line(line: Column, host: Column, names: dict[str, str], new_host: str
     for old, new in names.items():
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.when(F.coalesce(F.length(host), F.lit(0)) > 0, F.replace(out, host, F.lit(new_host))).otherwise(line)
+
+
+#: A line of a cluster's own log: date, level, component, text.
+SPARK_LINE = r"(?s)\A(\d\d/\d\d/\d\d \d\d:\d\d:\d\d) (\w+) (\w+): ?(.*)\z"
+
+
+def spark_fields(line: Column, as_source: bool = True) -> Column:
+    """Struct (ms, source_id, component, severity, text) of a line of a cluster's own log, null for another line. Clocks are UTC.
+
+    Such lines name no host: with ``as_source`` their level stands as the source, and the component is 'master'; else the source is null and the
+    component is the one written."""
+    part = lambda i: F.regexp_extract(line, SPARK_LINE, i)
+    level = F.lower(part(2))
+    severity = F.when(level.isin("fatal", "critical"), 4).when(level.isin("error", "severe"), 3).when(level.isin("warn", "warning"), 2).when(level.isin("info", "debug", "trace"), 1).otherwise(0)
+    source, name = (level, F.lit("master")) if as_source else (F.lit(None).cast("string"), part(3))
+    made = F.struct(F.unix_millis(F.try_to_timestamp(part(1), F.lit("yy/MM/dd HH:mm:ss"))).alias("ms"), source.alias("source_id"), name.alias("component"), severity.alias("severity"), part(4).alias("text"))
+    return F.when(line.rlike(SPARK_LINE), made)

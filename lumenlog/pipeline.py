@@ -21,11 +21,8 @@ from lumenlog.sources import files, readers, writers
 HOST = r"\A(?:<\d{1,3}>)?(?:[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d|\d \d{4}-\d\d-\d\dT\S+) (\S+) "
 
 
-def parsed(spark: SparkSession, path: str, arrived: str, zone: str = "UTC") -> DataFrame:
-    """(source_id, ms, component, severity, text, instance_id) of the entries of log files; the source is the host, or the file's name where a line has none.
-
-    A date without a year is the one closest to ``arrived`` (as 2026-01-31 12:00:00); local clocks are those of ``zone``. Entries without a readable
-    time are left out (see ``unreadable``)."""
+def _dated(spark: SparkSession, path: str, arrived: str, zone: str) -> tuple[DataFrame, DataFrame]:
+    """(raw lines, entries with source_id, date_text and utc_ms, which is null for a time that can't be read)."""
     raw = readers.log_files(spark, path)
     entries = loglines.entries(raw)
     host = raw.select("file", "line_no", F.nullif(F.lower(F.substring(F.regexp_extract("line", HOST, 1), 1, 200)), F.lit("")).alias("host"))
@@ -33,12 +30,29 @@ def parsed(spark: SparkSession, path: str, arrived: str, zone: str = "UTC") -> D
     # Date texts with a comma before the milliseconds are written with a point.
     both = entries.join(host, ["file", "line_no"]).select(named.alias("source_id"), F.regexp_replace("stamp", r"(?<=\d\d:\d\d:\d\d),", ".").alias("date_text"), F.to_timestamp(F.lit(arrived)).alias("ts"), "component", "severity", "message", "file", "line_no")
     zones = both.select("source_id").distinct().withColumn("time_zone", F.lit(zone))
-    dated = utc_millis(both, zones).where("utc_ms is not null")
+    return raw, utc_millis(both, zones)
+
+
+def parsed(spark: SparkSession, path: str, arrived: str, zone: str = "UTC") -> DataFrame:
+    """(source_id, ms, component, severity, text, instance_id) of the entries of log files; the source is the host, or the file's name where a line has none.
+
+    A date without a year is the one closest to ``arrived`` (as 2026-01-31 12:00:00); local clocks are those of ``zone``. Entries without a readable
+    time are left out (see ``unreadable``)."""
+    dated = _dated(spark, path, arrived, zone)[1].where("utc_ms is not null")
     text = T.without_controls(F.col("message"))
     name = T.component_or_none(F.col("component"))
     return dated.select("source_id", F.col("utc_ms").alias("ms"), lines.component(name, text).alias("component"), "severity", text.alias("text"), F.xxhash64("file", "line_no").alias("instance_id"), F.lit(1).alias("cnt"), F.lit(0).alias("cnt_failed"))
 
 
+def unreadable(spark: SparkSession, path: str, arrived: str, zone: str = "UTC") -> DataFrame:
+    """(kind, n, examples) of what ``parsed`` leaves out: lines before a file's first entry, and entries whose time can't be read."""
+    raw, dated = _dated(spark, path, arrived, zone)
+    first = dated.groupBy("file").agg(F.min("line_no").alias("first"))
+    stray = raw.join(first, "file", "left").where("first is null or line_no < first").select(F.lit("no entry").alias("kind"), "line")
+    untimed = dated.where("utc_ms is null").select(F.lit("no time").alias("kind"), F.col("date_text").alias("line"))
+    return writers.error_report(stray.unionByName(untimed), "kind", "line")
+
+
 def with_ids(messages: DataFrame) -> DataFrame:
     """``messages`` with message_id: that of the group of similar texts within the component."""
     m = messages.withColumn("plain", T.normalised(F.col("text")))

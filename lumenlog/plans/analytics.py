@@ -361,9 +361,8 @@ def syslog5424_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"select file, line_no, epoch_ms(strptime('20' || regexp_extract(line, '^(\d\d/\d\d/\d\d \d\d:\d\d:\d\d) (\w+) (\w+): ', 1), '%Y/%m/%d %H:%M:%S')) ms, lower(regexp_extract(line, '^(\d\d/\d\d/\d\d \d\d:\d\d:\d\d) (\w+) (\w+): ', 2)) source_id, 'master' component from log_lines where regexp_matches(line, '^\d\d/\d\d/\d\d \d\d:\d\d:\d\d \w+ \w+: ')")
 def spark_log_parse(spark: SparkSession, folder: str) -> DataFrame:
-    p = r"^(\d\d/\d\d/\d\d \d\d:\d\d:\d\d) (\w+) (\w+): "
-    at = F.unix_millis(F.try_to_timestamp(F.regexp_extract("line", p, 1), F.lit("yy/MM/dd HH:mm:ss")))
-    return table(spark, folder, "log_lines").where(F.col("line").rlike(p)).select("file", "line_no", at.alias("ms"), F.lower(F.regexp_extract("line", p, 2)).alias("source_id"), F.lit("master").alias("component"))
+    got = table(spark, folder, "log_lines").withColumn("f", lines.spark_fields(F.col("line"))).where("f is not null")
+    return got.select("file", "line_no", "f.ms", "f.source_id", "f.component")
 
 
 @query("select l_returnflag, round(covar_samp(l_quantity, l_extendedprice), 4) cov, round(corr(l_quantity, l_extendedprice), 9) cor, round(median(l_discount), 9) med from lineitem group by 1")

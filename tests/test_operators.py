@@ -64,6 +64,14 @@ def test_masks_and_sources(spark):
     assert [r["h"] for r in heads] == ["<month> <day> <clock> h a b c", "<time> a b c d e f g h i", "a b c d"]
 
 
+def test_cluster_logs_and_restarts(spark):
+    df = spark.createDataFrame([("25/06/08 14:37:39 ERROR Exec: went away",), ("nothing",), (None,)], "line string")
+    got = df.select(lines.spark_fields(F.col("line")).alias("a"), lines.spark_fields(F.col("line"), as_source=False).alias("b")).collect()
+    assert tuple(got[0]["a"]) == (1749393459000, "error", "master", 3, "went away") and tuple(got[0]["b"])[1:3] == (None, "Exec") and got[1]["a"] is None and got[2]["a"] is None
+    m = spark.createDataFrame([("s", 0, "x", "a"), ("s", 10, "syslog-ng", "syslog-ng starting up; version"), ("s", 20, "x", "b"), ("s", 99, "x", "c")], "source_id string, ms long, component string, text string")
+    assert [r["run"] for r in framing.runs(m, ["source_id"], "ms", 50, starts=lines.logger_restarted(F.col("component"), F.col("text"))).orderBy("ms").collect()] == [1, 2, 2, 3]
+
+
 def last_seen_plain(summaries, length):
     """Interval after interval, with the last tick of every id kept."""
     tick, known, out = length // 120, {}, []

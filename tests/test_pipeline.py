@@ -33,6 +33,9 @@ def test_from_lines_to_scored_intervals(spark, tmp_path):
     store, own = str(tmp_path / "store"), flow.Flow(scorers=(flow.Step("clusters", {"restarts": 4}), *flow.Flow().scorers[1:]))
     old = pipeline.with_ids(pipeline.parsed(spark, write_logs(tmp_path / "old", 3), "2026-03-06 00:00:00"))
     first = old.orderBy("ms").first()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.log").write_text("stray\nFeb 30 10:00:00 h a: b\nFeb 3 10:00:00 h a: c\n")
+    assert {r["kind"]: (r["n"], r["examples"]) for r in pipeline.unreadable(spark, str(tmp_path / "bad"), "2026-03-06 00:00:00").collect()} == {"no entry": (1, ["stray"]), "no time": (1, ["Feb 30 10:00:00"])}
     assert (first["source_id"], first["ms"] >= 1772409600000, first["component"]) == (first["source_id"], True, "sshd")
     assert {r["source_id"] for r in old.select("source_id").distinct().collect()} == {"web1", "db1"}
     n = old.count()
