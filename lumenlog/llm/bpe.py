@@ -178,7 +178,7 @@ def _table(values: DataFrame) -> Column:
 
 
 def _by_word(df: DataFrame, text: str, out: str, value: Callable[[Column], Column], combined: Callable[[Column], Column], table_words: int, name: str, folder: str) -> DataFrame:
-    """``df`` with ``out``: ``combined`` of the values of the text's words in order."""
+    """``df`` with ``out``: ``combined`` (null if any is null) of the values of the text's words in order."""
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     counted = counted_words(df, text)
@@ -187,8 +187,8 @@ def _by_word(df: DataFrame, text: str, out: str, value: Callable[[Column], Colum
     known, made, own, row = (fresh(df, x) for x in ("known", "made", "own", "row"))
     every = df.withColumn(known, table)
     looked = lambda t: F.transform(words(body), lambda w: _found(t, w))
-    # explode drops the texts whose array is null, and makes the values once.
-    whole = lambda t: _given(looked(t), lambda v: F.when(~F.exists(v, lambda x: x.isNull()), F.array(combined(v))))
+    # What is combined is null where the value of any word is; explode drops those texts, and makes the values once.
+    whole = lambda t: _given(combined(looked(t)), lambda c: F.when(c.isNotNull(), F.array(c)))
     usual = every.select(*keep, F.explode(_given(F.col(known), whole)).alias(out))
     if not outside:
         return usual
@@ -208,7 +208,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", table_words: int
     Null and empty texts give an empty list. Texts are taken whole. An existing column ``out`` is replaced;
     rows are neither dropped nor doubled, and other columns pass through.
     """
-    return _by_word(df, text, out, lambda ids: ids, lambda v: F.coalesce(F.flatten(v), F.array().cast("array<int>")), table_words, name, folder)
+    return _by_word(df, text, out, lambda ids: ids, F.flatten, table_words, name, folder)
 
 
 def token_counts(df: DataFrame, text: str = "text", out: str = "tokens", table_words: int = 32_768, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
