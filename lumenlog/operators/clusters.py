@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,10 +83,11 @@ def information_clusters(pairs: DataFrame, restarts: int = 50, trials: int = 100
     names = sorted(r["id"] for r in ids.limit(most_ids + 1).collect())
     if len(names) > most_ids:
         raise ValueError(f"more than {most_ids} message ids")
-    index = {n: i for i, n in enumerate(names)}
     matrix = np.zeros((len(names), len(names)))
-    for r in pairs.select("a", "b", "mi").collect():
-        matrix[index[r["a"]], index[r["b"]]] = matrix[index[r["b"]], index[r["a"]]] = r["mi"]
+    # Columns of numbers, not rows: at most half of most_ids squared.
+    rows = pairs.select("a", "b", "mi").toArrow()
+    i, j = (pc.index_in(rows[c], pa.array(names)).to_numpy() for c in "ab")
+    matrix[i, j] = matrix[j, i] = rows["mi"].to_numpy()
     k = n_clusters(len(names))
     sent = spark.sparkContext.broadcast(matrix)
 

@@ -9,7 +9,7 @@ from lumenlog.functions import text as T
 from lumenlog.functions import times, vectors
 from lumenlog.functions.ids import plain_id
 from lumenlog.operators import framing, lines, periods, relational, scoring, statistics, templates, training
-from lumenlog.plans.analytics import _CO, E, HOUR, S, _cell, _labels, _SCORES, events, hourly, registry
+from lumenlog.plans.analytics import _CO, E, HOUR, S, _cell, _SCORES, events, hourly, registry
 from lumenlog.sources.tables import table
 
 QUERIES, SQL, query = registry()
