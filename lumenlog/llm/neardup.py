@@ -53,9 +53,9 @@ def classes(df: DataFrame, kind: str, ident: str, text: str) -> tuple[DataFrame,
     """(members, sets): the class of every record, and the words of every class.
 
     The class of texts with equal word sets is their smallest id. Texts without a word are similar only where they are equal.
-    Null texts belong to no class.
+    Rows without a text, an id or a kind belong to no class.
     """
-    rows = word_sets(df.where(f"`{text}` is not null").select(F.col(kind).alias("kind"), F.col(ident).cast("long").alias("id"), F.col(text).alias("text")), "text")
+    rows = word_sets(df.where(f"`{text}` is not null and `{ident}` is not null and `{kind}` is not null").select(F.col(kind).alias("kind"), F.col(ident).cast("long").alias("id"), F.col(text).alias("text")), "text")
     none = F.size("words") == 0
     keyed = rows.select("kind", "id", "words", F.when(none, F.xxhash64(F.lit("no word"), "text")).otherwise(F.xxhash64("words")).alias("h1"), F.when(none, F.hash("text")).otherwise(F.hash("words")).alias("h2"))
     # Each set once, with the ids of its texts counted; the texts are read once more for the ids alone.
@@ -275,7 +275,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.7, tile: int = TILE) -
 def similar_records(df: DataFrame, kind: str, ident: str, text: str, threshold: float = 0.7) -> DataFrame:
     """(kind, id_a, id_b), id_a < id_b: all pairs of records of one kind whose texts are similar, equal texts included.
 
-    Ids are unique within a kind; a repeated row counts once. Null texts are in no pair, texts without a word only in pairs of equal texts.
+    Ids are unique within a kind; a repeated row counts once. Rows without a text, an id or a kind are in no pair, texts without a word only in pairs of equal texts.
     n equal texts are n (n - 1) / 2 pairs: where copies are many, use ``groups``, which doesn't expand them.
     """
     members, sets = classes(df, kind, ident, text)
@@ -312,7 +312,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def groups(df: DataFrame, kind: str, ident: str, text: str, threshold: float = 0.7) -> DataFrame:
-    """(kind, id, class, n_links, group) of every record with a text: its class of equal word sets, the number of other classes
+    """(kind, id, class, n_links, group) of every record with a kind, an id and a text: its class of equal word sets, the number of other classes
     that are similar to it, and the least class of its group of linked classes. Copies are not expanded into pairs."""
     members, sets = classes(df, kind, ident, text)
     links = checkpointed(similar_classes(sets, threshold).select("kind", "a", "b"))

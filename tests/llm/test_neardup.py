@@ -88,3 +88,12 @@ def test_thresholds(spark):
     with pytest.raises(ValueError):
         similar_records(df, "kind", "id", "text", 0.5)
     assert similar_records(df, "kind", "id", "text", 1.0).count() == 0
+
+
+def test_nulls_and_empty_tables(spark):
+    rows = [("k", 1, None), (None, 2, "a b c d"), (None, 3, "a b c d e"), ("k", None, "a b c d"), ("k", 5, "a b c d"), ("k", 6, "a b c d e")]
+    df = spark.createDataFrame(rows, "kind string, id long, text string")
+    assert [tuple(r) for r in similar_records(df, "kind", "id", "text").collect()] == [("k", 5, 6)]
+    assert sorted((r["id"], r["n_links"], r["group"]) for r in groups(df, "kind", "id", "text").collect()) == [(5, 1, 5), (6, 1, 5)]
+    for empty in (df.limit(0), df.where("id = 1")):
+        assert similar_records(empty, "kind", "id", "text").count() == 0 and groups(empty, "kind", "id", "text").count() == 0
