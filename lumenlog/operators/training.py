@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,11 +137,35 @@ def rarity(summaries: DataFrame, length: int, most: int = 16) -> DataFrame:
     return full.select("message_id", "bucket", "count", ((F.col("count") + 0.5) / (F.col("total") + (most + 1) / 2)).alias("prob"))
 
 
-def cooccurrence(summaries: DataFrame) -> DataFrame:
-    """(a, b, joint), a < b: intervals with both ids. The self-join is on the interval, whose ids are bounded by the dictionary."""
-    s = summaries.select("source_id", "frame", "message_id").distinct()
-    a, b = s.withColumnRenamed("message_id", "a"), s.withColumnRenamed("message_id", "b")
-    return a.join(b, ["source_id", "frame"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("joint"))
+def cooccurrence(summaries: DataFrame, span: int = 1024 * 3_600_000) -> DataFrame:
+    """(a, b, joint), a < b: intervals with both ids.
+
+    Intervals of a source are taken together by ``span`` milliseconds: a table of which ids are in which of them, multiplied with itself, counts all
+    pairs at once, so what leaves a task is one row per pair and span, not per pair and interval. Rows that come twice count once; those with a null in
+    a key column are left out."""
+    s = summaries.select("source_id", "frame", "message_id").where("source_id is not null and frame is not null and message_id is not null")
+    block = 2048
+
+    def counted(t: pa.Table) -> pa.Table:
+        codes = pc.dictionary_encode(t["message_id"]).combine_chunks()
+        order = pc.array_sort_indices(codes.dictionary).to_numpy()
+        names, place = codes.dictionary.take(pa.array(order)), np.argsort(order)
+        frames, row = np.unique(t["frame"].to_numpy(), return_inverse=True)
+        here = np.zeros((len(frames), len(names)), np.float32)
+        here[row, place[codes.indices.to_numpy()]] = 1
+        left, right, joint = [], [], []
+        for i in range(0, len(names), block):
+            for j in range(i, len(names), block):
+                both = here[:, i : i + block].T @ here[:, j : j + block]
+                x, y = np.nonzero(np.triu(both, 1) if i == j else both)
+                left.append(x + i)
+                right.append(y + j)
+                joint.append(both[x, y].astype(np.int64))
+        x, y, n = (np.concatenate(c) for c in (left, right, joint))
+        return pa.table({"a": names.take(pa.array(x)), "b": names.take(pa.array(y)), "joint": n})
+
+    parts = s.groupBy("source_id", F.floor(F.col("frame") / span).alias("part")).applyInArrow(counted, "a string, b string, joint long")
+    return parts.groupBy("a", "b").agg(F.sum("joint").alias("joint"))
 
 
 def smoothed_cooccurrence(summaries: DataFrame, length: int, legal: DataFrame | None = None) -> DataFrame:

@@ -153,6 +153,25 @@ def test_chain_in_context_against_plain_python(spark):
         assert x["anomaly"] == pytest.approx(0 if (f, m) in inside else 0.2 * count + 0.8 * -math.log(p / (1 - p)))
 
 
+@pytest.mark.parametrize("span", [HOUR, 7 * HOUR, 10_000 * HOUR])
+def test_cooccurrence_against_plain_python(spark, span):
+    r = random.Random(3)
+    made = [(r.choice(["s", "t", None]), HOUR * r.randint(0, 40), r.choice([*"fbadce", None])) for _ in range(400)]
+    here = {}
+    for s, f, m in made:
+        if s and m:
+            here.setdefault((s, f), set()).add(m)
+    want = {}
+    for ids in here.values():
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(made, "source_id string, frame long, message_id string")
+    assert {(x["a"], x["b"]): x["joint"] for x in training.cooccurrence(df, span).collect()} == want
+    assert training.cooccurrence(df.limit(0), span).count() == 0
+
+
 def test_log_factorial(spark):
     ns = [0, 1, 2, 19, 20, 21, 100, 12345, 10**6, 10**9]
     got = spark.createDataFrame([(n,) for n in ns], "n long").select(training.log_factorial(F.col("n")).alias("x")).collect()
