@@ -2,9 +2,9 @@
 
 Texts are split by the vocabulary's pattern (one JVM regex); words of the same spelling have the same ids. Over the
 whole corpus the words are counted (combined before the shuffle) and kept, and every distinct word is encoded once, by a fold over
-its bytes. The most frequent words, at most ``table_words``, become a literal table that every task looks words up in: texts that
-hold only those are done where they lie. The other texts get the ids of their rarer words by a join on the word, of which none is
-frequent, so no key is hot; what is shuffled is each text's distinct rarer words, then those texts.
+its bytes. The most frequent words, at most ``table_words``, become a literal table that every task looks words up in: where there are
+no others, texts are done where they lie. Else texts get the ids of their rarer words by a join on the word, of which none is
+frequent, so no key is hot; what is shuffled is each text's distinct rarer words, by word and by text, and once the texts, never the table.
 
 The fold: a word is an array of hexadecimal byte pieces and an array of the ranks of neighbouring pieces put together
 (null: no token). Each step merges the first pair of least rank and looks up the ranks of the two new pairs.
@@ -31,8 +31,9 @@ from lumenlog.sources.tables import fresh
 
 #: Folder of the public vocabularies.
 TOKENIZERS = "/opt/tokenizers"
-#: The vocabulary's split pattern; (?U) makes \s the Unicode white space.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The vocabulary's split pattern; (?U) makes \s the Unicode white space. The most frequent alternatives come first, where no other
+#: can begin, and give nothing back, as nothing follows them: the matches are those of '(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+|...
+PATTERN = r"(?U) ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 BUCKETS = 1 << 15
 #: Distinct words of more bytes than this are merged with a heap, which takes n log n steps instead of n².
 LONG = 512
@@ -178,28 +179,25 @@ def _table(values: DataFrame) -> Column:
 
 
 def _by_word(df: DataFrame, text: str, out: str, value: Callable[[Column], Column], combined: Callable[[Column], Column], table_words: int, name: str, folder: str) -> DataFrame:
-    """``df`` with ``out``: ``combined`` (null if any is null) of the values of the text's words in order."""
+    """``df`` with ``out``: ``combined`` of the values of the text's words in order."""
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     counted = counted_words(df, text)
     cut, inside, outside = _cut(counted, table_words)
     table = _table(word_values(counted.where(f"{_LEVEL} >= {cut}"), max(8, inside // 2048), value, name, folder))
-    known, made, own, row = (fresh(df, x) for x in ("known", "made", "own", "row"))
-    every = df.withColumn(known, table)
-    looked = lambda t: F.transform(words(body), lambda w: _found(t, w))
-    # What is combined is null where the value of any word is; explode drops those texts, and makes the values once.
-    whole = lambda t: _given(combined(looked(t)), lambda c: F.when(c.isNotNull(), F.array(c)))
-    usual = every.select(*keep, F.explode(_given(F.col(known), whole)).alias(out))
-    if not outside:
-        return usual
-    missing = lambda t: _given(F.array_distinct(F.filter(words(body), lambda w: _found(t, w).isNull())), lambda m: F.when(F.size(m) > 0, F.array(m)))
-    hashed = [c for c, kind in df.dtypes if "map<" not in kind]
-    rest = every.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias(row), F.explode(_given(F.col(known), missing)).alias(made))
-    rare = word_values(counted.where(f"{_LEVEL} < {cut}"), max(8, outside // 4096), value, name, folder)
-    pairs = rest.select(row, F.explode(made).alias("w")).distinct()
-    found = pairs.join(rare, "w").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias(own))
-    both = lambda t: F.transform(words(body), lambda w: F.coalesce(_found(t, w), F.try_element_at(F.col(own), w)))
-    return usual.unionByName(rest.drop(made).join(found, row).select(*keep, _given(F.col(known), lambda t: combined(both(t))).alias(out)))
+    known, own, row = (fresh(df, x) for x in ("known", "own", "row"))
+    value_of = _found
+    if outside:
+        hashed = [c for c, kind in df.dtypes if "map<" not in kind]
+        df = df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+        frequent, rare = counted.where(f"{_LEVEL} >= {cut}").select("w"), counted.where(f"{_LEVEL} < {cut}")
+        pairs = df.select(row, F.explode(F.array_distinct(words(F.col(f"`{text}`")))).alias("w")).join(F.broadcast(frequent), "w", "left_anti")
+        # Rows that are the same have the same pairs: a set holds them once.
+        found = pairs.join(word_values(rare, max(8, outside // 4096), value, name, folder), "w").groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct("w", "v"))).alias(own))
+        df = df.join(found, row, "left")
+        value_of = lambda t, w: F.coalesce(_found(t, w), F.try_element_at(F.col(own), w))
+    # The table is joined to the texts last: below a join it would be written into each shuffled row.
+    return df.withColumn(known, table).select(*keep, _given(F.col(known), lambda t: combined(F.transform(words(body), lambda w: value_of(t, w)))).alias(out))
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", table_words: int = 32_768, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

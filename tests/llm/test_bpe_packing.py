@@ -30,6 +30,27 @@ def test_ids_equal_the_library_and_decode(spark):
     assert encode(df.limit(0)).count() == 0
 
 
+def joined(plan):
+    """Types of the columns that the joins of a plan take."""
+    inputs = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [x.output().apply(i).dataType().catalogString() for x in inputs if plan.nodeName() == "Join" for i in range(x.output().size())]
+    return own + [kind for x in inputs for kind in joined(x)]
+
+
+def test_rare_words_are_joined_without_the_table(spark):
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    # A number of its own in each text, texts without one, rows that are the same.
+    texts = [*[f"line {i * 7919} of {i % 3} lines, line {i * 7919}" for i in range(300)], *["of lines"] * 20, *["same 4711 4711"] * 20, None]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for make, result in ((encode, list), (token_counts, len)):
+        got = make(df, out="made", table_words=8)
+        kinds = joined(got._jdf.queryExecution().optimizedPlan())
+        assert "string" in kinds and not [x for x in kinds if x.startswith("array<map<")]
+        rows = got.collect()
+        assert len(rows) == len(texts) and [r for r in rows if r["made"] != result(t.encode(r["text"] or "", add_special_tokens=False).ids)] == []
+
+
 def fill(placed, capacity):
     room = {}
     for c, s in placed:
