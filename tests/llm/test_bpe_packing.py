@@ -96,3 +96,17 @@ def test_pack(spark):
     assert total == {i: max(s or 0, 0) for i, s in enumerate(sizes)}
     assert fill([(x["container"], x["size"]) for x in rows], 2048) > 0.97
     assert pack(df.limit(0), "doc_id", "tokens", 2048).count() == 0
+
+
+def test_pack_of_counted_texts_with_rare_words(spark):
+    # Each text has a number of its own: sizes come by the join, which takes rows of a few columns, not the table.
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    texts = [f"line {i * 7919} " + "of lines " * (i % 40) for i in range(300)]
+    sizes = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table_words=8).select("doc_id", "tokens")
+    assert not [x for x in joined(sizes._jdf.queryExecution().optimizedPlan()) if x.startswith("array<map<")]
+    rows = pack(sizes, "doc_id", "tokens", 64, chunk_items=50).collect()
+    total = {}
+    for x in rows:
+        total[x["doc_id"]] = total.get(x["doc_id"], 0) + x["size"]
+    assert total == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert fill([(x["container"], x["size"]) for x in rows], 64) > 0.9
