@@ -5,6 +5,7 @@ whole corpus the words are counted (combined before the shuffle) and kept, and e
 its bytes. The most frequent words, at most ``table_words``, become a literal table that every task looks words up in: where there are
 no others, texts are done where they lie. Else texts get the ids of their rarer words by a join on the word, of which none is
 frequent, so no key is hot; what is shuffled is each text's distinct rarer words, by word and by text, and once the texts, never the table.
+Where only the number of ids is asked for, a text is reduced to the number of its frequent words' ids where it lies, and is not shuffled.
 
 The fold: a word is an array of hexadecimal byte pieces and an array of the ranks of neighbouring pieces put together
 (null: no token). Each step merges the first pair of least rank and looks up the ranks of the two new pairs.
@@ -178,26 +179,18 @@ def _table(values: DataFrame) -> Column:
     return every.join(filled, "b", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"]), lambda x: x["m"]).alias("t")).scalar()
 
 
-def _by_word(df: DataFrame, text: str, out: str, value: Callable[[Column], Column], combined: Callable[[Column], Column], table_words: int, name: str, folder: str) -> DataFrame:
-    """``df`` with ``out``: ``combined`` of the values of the text's words in order."""
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+def _divided(df: DataFrame, text: str, value: Callable[[Column], Column], table_words: int, name: str, folder: str) -> tuple[Column, DataFrame, DataFrame | None]:
+    """The literal table of the frequent words' values, those words, and (w, v) of the others: none where the table holds all."""
     counted = counted_words(df, text)
     cut, inside, outside = _cut(counted, table_words)
-    table = _table(word_values(counted.where(f"{_LEVEL} >= {cut}"), max(8, inside // 2048), value, name, folder))
-    known, own, row = (fresh(df, x) for x in ("known", "own", "row"))
-    value_of = _found
-    if outside:
-        hashed = [c for c, kind in df.dtypes if "map<" not in kind]
-        df = df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
-        frequent, rare = counted.where(f"{_LEVEL} >= {cut}").select("w"), counted.where(f"{_LEVEL} < {cut}")
-        pairs = df.select(row, F.explode(F.array_distinct(words(F.col(f"`{text}`")))).alias("w")).join(F.broadcast(frequent), "w", "left_anti")
-        # Rows that are the same have the same pairs: a set holds them once.
-        found = pairs.join(word_values(rare, max(8, outside // 4096), value, name, folder), "w").groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct("w", "v"))).alias(own))
-        df = df.join(found, row, "left")
-        value_of = lambda t, w: F.coalesce(_found(t, w), F.try_element_at(F.col(own), w))
-    # The table is joined to the texts last: below a join it would be written into each shuffled row.
-    return df.withColumn(known, table).select(*keep, _given(F.col(known), lambda t: combined(F.transform(words(body), lambda w: value_of(t, w)))).alias(out))
+    frequent, rare = counted.where(f"{_LEVEL} >= {cut}"), counted.where(f"{_LEVEL} < {cut}")
+    table = _table(word_values(frequent, max(8, inside // 2048), value, name, folder))
+    return table, frequent.select("w"), word_values(rare, max(8, outside // 4096), value, name, folder) if outside else None
+
+
+def _hashed(df: DataFrame) -> list[Column]:
+    """The columns that tell rows apart and can be hashed."""
+    return [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", table_words: int = 32_768, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -206,12 +199,46 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", table_words: int
     Null and empty texts give an empty list. Texts are taken whole. An existing column ``out`` is replaced;
     rows are neither dropped nor doubled, and other columns pass through.
     """
-    return _by_word(df, text, out, lambda ids: ids, F.flatten, table_words, name, folder)
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    table, frequent, rare = _divided(df, text, lambda ids: ids, table_words, name, folder)
+    known, own, row = (fresh(df, x) for x in ("known", "own", "row"))
+    value_of = _found
+    if rare is not None:
+        df = df.withColumn(row, F.xxhash64(*_hashed(df)))
+        pairs = df.select(row, F.explode(F.array_distinct(words(F.col(f"`{text}`")))).alias("w")).join(F.broadcast(frequent), "w", "left_anti")
+        # Rows that are the same have the same pairs: a set holds them once.
+        found = pairs.join(rare, "w").groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct("w", "v"))).alias(own))
+        df = df.join(found, row, "left")
+        value_of = lambda t, w: F.coalesce(_found(t, w), F.try_element_at(F.col(own), w))
+    # The table is joined to the texts last: below a join it would be written into each shuffled row.
+    return df.withColumn(known, table).select(*keep, _given(F.col(known), lambda t: F.flatten(F.transform(words(body), lambda w: value_of(t, w)))).alias(out))
 
 
 def token_counts(df: DataFrame, text: str = "text", out: str = "tokens", table_words: int = 32_768, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """Like encode, with the number of ids instead of the ids: only a number per word is looked up and added."""
-    return _by_word(df, text, out, lambda ids: F.size(ids), lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x), table_words, name, folder)
+    """Like encode, with the number of ids instead of the ids: only a number per word is looked up and added.
+
+    The order of words doesn't matter to a sum, so the join needs no text: of the columns, only those that are used later are shuffled.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    table, frequent, rare = _divided(df, text, F.size, table_words, name, folder)
+    known, here, there, pairs, row, second = (fresh(df, x) for x in ("known", "here", "there", "pairs", "row", "second"))
+    every = df.withColumn(known, table)
+    # The ids of the words in the table, and above 32 bits the number of words that aren't: a text has fewer than 2^31 of either.
+    other = F.lit(1 << 32)
+    looked = lambda t: F.aggregate(words(body), F.lit(0).cast("long"), lambda a, w: a + F.coalesce(_found(t, w).cast("long"), other))
+    total = _given(F.col(known), looked)
+    if rare is None:
+        return every.select(*keep, total.alias(out))
+    # 96 bits tell rows apart: here, other than in encode, two rows of the same hash would get each other's words.
+    key = [F.xxhash64(*_hashed(df)).alias(row), F.hash(*_hashed(df)).alias(second)]
+    outside = df.select(*key, F.explode(words(F.col(f"`{text}`"))).alias("w")).join(F.broadcast(frequent), "w", "left_anti")
+    found = outside.join(rare, "w").groupBy(row, second).agg(F.sum("v").alias(there), F.count(F.lit(1)).alias(pairs))
+    # Rows that are the same have their words added together: pairs / (total >> 32) times.
+    added = F.expr(f"`{there}` div (`{pairs}` div (`{here}` >> 32))")
+    joined = every.select(*keep, *key, total.alias(here)).join(found, [row, second], "left")
+    return joined.select(*keep, (F.col(here).bitwiseAND(F.lit((1 << 32) - 1)) + F.when(F.col(pairs) > 0, added).otherwise(F.lit(0))).alias(out))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -110,3 +110,26 @@ def test_pack_of_counted_texts_with_rare_words(spark):
         total[x["doc_id"]] = total.get(x["doc_id"], 0) + x["size"]
     assert total == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert fill([(x["container"], x["size"]) for x in rows], 64) > 0.9
+
+
+def names(plan):
+    """Names of the columns that the joins of a plan take."""
+    inputs = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [x.output().apply(i).name() for x in inputs if plan.nodeName() == "Join" for i in range(x.output().size())]
+    return own + [name for x in inputs for name in names(x)]
+
+
+def test_sizes_are_joined_without_the_texts(spark):
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    # Rows that are the same, or the same but for a map, have their rarer words added together; words that are in a text several times; texts without any.
+    texts = [*[f"line {i * 7919} of {i % 3} lines, line {i * 7919}" for i in range(200)], *["of lines"] * 20, *["same 4711 4711 4712"] * 20, "77 " * 3000, "", None, *[x for x in TEXTS if x]]
+    df = spark.createDataFrame([(i if i < 200 else -1, x) for i, x in enumerate(texts)], "doc_id long, text string").withColumn("m", F.create_map(F.rand(), F.lit(1)))
+    expected = sorted((i if i < 200 else -1, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in enumerate(texts))
+    for table_words in (8, 0):
+        sizes = token_counts(df, table_words=table_words).select("doc_id", "tokens")
+        taken = names(sizes._jdf.queryExecution().optimizedPlan())
+        assert "doc_id" in taken and "text" not in taken
+        assert sizes.schema["tokens"].dataType.typeName() == "long" and sorted(map(tuple, sizes.collect())) == expected
+    kept = token_counts(df, table_words=8)
+    assert kept.columns == ["doc_id", "text", "m", "tokens"] and sorted((r["doc_id"], r["tokens"]) for r in kept.collect()) == expected
